@@ -69,6 +69,15 @@ def _any(conditions: list[Column]) -> Column:
     return reduce(or_, conditions)
 
 
+def _limits(inside: Column, barrel: tuple, endcap: tuple) -> list[Column]:
+    """Each threshold as a column: the barrel's where ``inside``, else the endcap's.
+
+    Cuts then appear once with a varying limit, rather than once per region,
+    which keeps the generated code small enough for the JVM to compile.
+    """
+    return [F.when(inside, F.lit(b)).otherwise(F.lit(e)) for b, e in zip(barrel, endcap)]
+
+
 def _getter(prefix: str):
     return lambda name: F.col(f"{prefix}_{name}")
 
@@ -108,22 +117,19 @@ def photon_id(
         for name, area in zip(("chHadIso", "neuHadIso", "gammaIso"), areas)
     )
 
-    def passes(r: PhotonRegion) -> Column:
-        growth = F.exp(F.lit(r.neutral_slope) * c("pt") * F.lit(r.neutral_scale))
-        return _any(
-            [
-                c("sieie") <= F.lit(r.sieie),
-                charged <= F.lit(r.charged),
-                neutral <= F.lit(r.neutral_base) + growth,
-                gamma <= F.lit(r.gamma_base) + F.lit(r.gamma_slope) * c("pt"),
-            ]
-        )
-
     distance = F.abs(c("scEta"))
-    region = F.when(distance <= F.lit(REGION_EDGE), passes(PHOTON_BARREL)).when(
-        distance > F.lit(REGION_EDGE), passes(PHOTON_ENDCAP)
+    r = PhotonRegion(*_limits(distance <= F.lit(REGION_EDGE), PHOTON_BARREL, PHOTON_ENDCAP))
+    cuts = _any(
+        [
+            c("sieie") <= r.sieie,
+            charged <= r.charged,
+            neutral <= r.neutral_base + F.exp(r.neutral_slope * c("pt") * r.neutral_scale),
+            gamma <= r.gamma_base + r.gamma_slope * c("pt"),
+        ]
+    )
+    return F.when(c("sthovere") <= F.lit(PHOTON_MAX_HOVERE), F.lit(True)).otherwise(
+        c("scEta").isNotNull() & cuts
     )
-    return F.when(c("sthovere") <= F.lit(PHOTON_MAX_HOVERE), F.lit(True)).otherwise(region)
 
 
 def electron_isolation(prefix: str = "Electron", pileup: Column | None = None) -> Column:
@@ -143,40 +149,29 @@ def electron_cut_flow(
 ) -> tuple[Column, Column]:
     """The two electron selections: (shower shape and isolation, track quality)."""
     c = _getter(prefix)
-    isolation = electron_isolation(prefix, pileup)
-
-    def shape(r: ElectronRegion) -> Column:
-        return _any(
-            [
-                isolation < F.lit(r.iso_fraction) * c("pt"),
-                F.abs(c("dEtaIn")) < F.lit(r.d_eta),
-                F.abs(c("dPhiIn")) < F.lit(r.d_phi),
-                c("sieie") < F.lit(r.sieie),
-            ]
-        )
-
-    def track(r: ElectronRegion) -> Column:
-        return _any(
-            [
-                c("hovere") < F.lit(r.hovere),
-                F.abs(F.lit(1.0) - c("eoverp")) < F.lit(r.e_over_p) * c("ecalEnergy"),
-                F.abs(c("d0")) < F.lit(r.d0),
-                F.abs(c("dz")) < F.lit(r.dz),
-                c("nMissingHits") <= F.lit(r.missing_hits),
-            ]
-        )
-
-    distance = F.abs(c("scEta"))
-
-    def by_region(cut) -> Column:
-        return F.when(distance < F.lit(REGION_EDGE), cut(ELECTRON_BARREL)).when(
-            distance >= F.lit(REGION_EDGE), cut(ELECTRON_ENDCAP)
-        )
-
-    first, second = by_region(shape), by_region(track)
+    inside = F.abs(c("scEta")) < F.lit(REGION_EDGE)
+    r = ElectronRegion(*_limits(inside, ELECTRON_BARREL, ELECTRON_ENDCAP))
+    placed = c("scEta").isNotNull()
+    shape = placed & _any(
+        [
+            electron_isolation(prefix, pileup) < r.iso_fraction * c("pt"),
+            F.abs(c("dEtaIn")) < r.d_eta,
+            F.abs(c("dPhiIn")) < r.d_phi,
+            c("sieie") < r.sieie,
+        ]
+    )
+    track = placed & _any(
+        [
+            c("hovere") < r.hovere,
+            F.abs(F.lit(1.0) - c("eoverp")) < r.e_over_p * c("ecalEnergy"),
+            F.abs(c("d0")) < r.d0,
+            F.abs(c("dz")) < r.dz,
+            c("nMissingHits") <= r.missing_hits,
+        ]
+    )
     if veto_conversions:
-        first = F.when(c("isConv") == 1, F.lit(False)).otherwise(first)
-    return first, second
+        shape = F.when(c("isConv") == 1, F.lit(False)).otherwise(shape)
+    return shape, track
 
 
 def jet_id(prefix: str) -> Column:

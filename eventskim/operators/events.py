@@ -22,7 +22,14 @@ EVENT = event_key("Info")
 
 
 def _same_event(left: Sequence[str], right: Sequence[str]) -> Column:
-    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right)])
+    pairs = list(zip(left, right))
+    return reduce(and_, [F.col(a).eqNullSafe(F.col(b)) for a, b in reversed(pairs)])
+
+
+def _by_event(df: DataFrame, keys: Sequence[str]):
+    # Event number first: sorting compares by the first key before all else, and
+    # runs and lumi sections repeat.
+    return df.groupBy(*reversed(keys))
 
 
 def join_event(objects: DataFrame, info: DataFrame, group: str, how: str = "left") -> DataFrame:
@@ -46,7 +53,7 @@ def leading(
     aggs = [F.max(F.struct(*fields)).alias("_top")]
     if count:
         aggs.append(F.count(F.lit(1)).alias(count))
-    out = df.groupBy(*keys).agg(*aggs)
+    out = _by_event(df, keys).agg(*aggs)
     return out.select(*keys, "_top.*", *([count] if count else []))
 
 
@@ -92,7 +99,7 @@ def combine_events(*branches: EventBranch) -> DataFrame:
     for b in branches:
         aggs.append(F.max(b.name).alias(b.name))
         aggs.append(F.coalesce(F.sum(f"{b.name}_rows"), F.lit(0)).cast("long").alias(f"{b.name}_rows"))
-    return rows.groupBy(*EVENT).agg(*aggs)
+    return _by_event(rows, EVENT).agg(*aggs)
 
 
 def count_under_cuts(

@@ -1,14 +1,15 @@
 """Selections: an identification predicate plus the kinematic window.
 
 The kinematic window comes first and uses plain columns, so it reaches the
-Parquet scan. The predicate columns stay in the output, as a record of the
-selection that was made.
+Parquet scan. The output has the flag columns of the selection that was made.
+They are true on every row that passed, so they are constants there: computing
+the predicate a second time would double the generated code.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -44,6 +45,10 @@ KINEMATICS = {
 MET_THRESHOLD = 200
 
 
+def _passing(df: DataFrame, *flags: str, where: Column) -> DataFrame:
+    return df.filter(where).withColumns({f: F.lit(True) for f in flags})
+
+
 def _kinematic(df: DataFrame, prefix: str) -> DataFrame:
     pt, eta = KINEMATICS[prefix]
     return df.filter((F.col(f"{prefix}_pt") >= F.lit(pt)) & within(F.col(f"{prefix}_eta"), eta))
@@ -51,7 +56,7 @@ def _kinematic(df: DataFrame, prefix: str) -> DataFrame:
 
 def filter_muon(df: DataFrame, id_bit: int = 1) -> DataFrame:
     """Muon selection. ``id_bit`` is 1 for the loose and 2 for the tight one."""
-    return _kinematic(df, "Muon").withColumn("passfilter", muon_id(id_bit)).filter("passfilter")
+    return _passing(_kinematic(df, "Muon"), "passfilter", where=muon_id(id_bit))
 
 
 def filter_muon_udf(df: DataFrame, id_bit: int = 1) -> DataFrame:
@@ -73,12 +78,12 @@ def filter_muon_udf(df: DataFrame, id_bit: int = 1) -> DataFrame:
         return ((bits & id_bit) != 0) & (isolation < MUON_ISO_FRACTION * pt)
 
     inputs = ("chHadIso", "neuHadIso", "gammaIso", "puIso", "pogIDBits", "pt")
-    flagged = _kinematic(df, "Muon").withColumn("passfilter", passes(*[f"Muon_{c}" for c in inputs]))
-    return flagged.filter("passfilter")
+    where = passes(*[f"Muon_{c}" for c in inputs])
+    return _passing(_kinematic(df, "Muon"), "passfilter", where=where)
 
 
 def filter_tau(df: DataFrame) -> DataFrame:
-    return _kinematic(df, "Tau").withColumn("passfilter", tau_id()).filter("passfilter")
+    return _passing(_kinematic(df, "Tau"), "passfilter", where=tau_id())
 
 
 def with_photon_areas(df: DataFrame) -> DataFrame:
@@ -96,8 +101,9 @@ def filter_photon(df: DataFrame) -> DataFrame:
     such a photon passes the isolation cuts.
     """
     areas = tuple(F.col(f"rhoArea{i}") for i in range(3))
-    flagged = with_photon_areas(_kinematic(df, "Photon")).withColumn("passfilter", photon_id(areas))
-    return flagged.filter("passfilter")
+    return _passing(
+        with_photon_areas(_kinematic(df, "Photon")), "passfilter", where=photon_id(areas)
+    )
 
 
 def filter_electron(
@@ -113,16 +119,12 @@ def filter_electron(
         pileup=F.col("rhoEffarea") if subtract_pileup else None,
         veto_conversions=veto_conversions,
     )
-    flagged = (
-        _kinematic(df, "Electron")
-        .withColumn("rhoEffarea", area)
-        .withColumns({"passfilter1": first, "passfilter2": second})
-    )
-    return flagged.filter("passfilter1 AND passfilter2")
+    measured = _kinematic(df, "Electron").withColumn("rhoEffarea", area)
+    return _passing(measured, "passfilter1", "passfilter2", where=first & second)
 
 
 def _filter_jets(df: DataFrame, prefix: str) -> DataFrame:
-    return _kinematic(df, prefix).withColumn("passfilter", jet_id(prefix)).filter("passfilter")
+    return _passing(_kinematic(df, prefix), "passfilter", where=jet_id(prefix))
 
 
 def filter_jet(df: DataFrame) -> DataFrame:

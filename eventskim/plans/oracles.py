@@ -6,7 +6,7 @@ import zlib
 
 from ..schema import event_key
 from .fixtures import VIEWS, view_sql
-from .queries import ANGLE_DIGITS, MERGED_NAME, SUM_DECIMALS
+from .queries import ANGLE_DIGITS, MERGED_NAME, SUM_DIGITS
 
 
 def _with(groups: list[str], body: str, **more: str) -> str:
@@ -248,10 +248,9 @@ def _columns(group: str) -> list[str]:
     return [w.strip(",") for w in text.split() if w.startswith(f"{group}_")]
 
 
-def _sums(group: str) -> str:
+def _sums(group: str, total: str = f"ROUND(CAST(SUM({{}}) AS DOUBLE), {SUM_DIGITS})") -> str:
     return "\nUNION ALL ".join(
-        f"""SELECT '{group}' AS "group", '{c}' AS dataset,
-  CAST(SUM(CAST({c} AS DECIMAL(28, {SUM_DECIMALS}))) AS DOUBLE) AS total FROM {group}"""
+        f"""SELECT '{group}' AS "group", '{c}' AS dataset, {total.format(c)} AS total FROM {group}"""
         for c in _columns(group)
     )
 
@@ -359,5 +358,9 @@ UNION ALL SELECT 'Electron_eta' AS "column", * FROM ({_hist("Electron_eta", 5)})
             "GenEvtInfo", "SUM(weight) AS sum_weight, COUNT(*) AS n_events"
         ),
         "column_sums_of_groups": _with(list(VIEWS), "\nUNION ALL ".join(map(_sums, VIEWS))),
+        "exact_weight_sums": _with(
+            ["GenEvtInfo"],
+            _sums("GenEvtInfo", "CAST(SUM(CAST({} AS DECIMAL(28, 4))) AS DOUBLE)"),
+        ),
         "met_preselect": _one("Info", rest="WHERE pfMET > 200 OR puppET > 200"),
     }

@@ -9,8 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-# Settings that matter at scale. The shuffle starts with many partitions and
-# adaptive execution merges them to the advisory size; it also splits hot ones.
+# Settings that matter at scale. Adaptive execution merges shuffle partitions to
+# the advisory size and splits hot ones. The JVM leaves methods above 8000 bytes
+# of bytecode uncompiled, so larger fused stages are better split by Spark.
 SCALE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -18,6 +19,7 @@ SCALE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 
