@@ -35,10 +35,11 @@ from ..session import work_dir
 from ..sources import (
     copy_format,
     merge_groups,
+    read_colgroup,
     read_columns,
     read_dynamic,
     read_group,
-    register_colgroup,
+    write_colgroup,
     write_group,
 )
 from . import pipelines as p
@@ -120,22 +121,17 @@ def read_columns_of_group(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def scan_colgroup(spark: SparkSession, d: str) -> DataFrame:
-    register_colgroup(spark)
     path = work_dir(spark, "colgroup")
-    muons = _dotted(view(spark, d, "Muon"), "Muon")
-    muons.write.format("colgroup").option("groups", "Muon").mode("append").save(path)
-    reader = spark.read.format("colgroup").option("groups", "Muon")
-    return reader.option("slices_per_file", "4").load(path)
+    write_colgroup(_dotted(view(spark, d, "Muon"), "Muon"), path, "Muon")
+    return read_colgroup(spark, path, "Muon", slices_per_file=4)
 
 
 @_query
 def scan_colgroup_columns(spark: SparkSession, d: str) -> DataFrame:
-    register_colgroup(spark)
     path = work_dir(spark, "colgroup")
-    electrons = view(spark, d, "Electron")
-    electrons.write.format("colgroup").option("groups", "Electron").mode("append").save(path)
-    reader = spark.read.format("colgroup").option("groups", "Electron")
-    return reader.option("columns", "Electron_evtNum,Electron_pt,Electron_isConv").load(path)
+    write_colgroup(view(spark, d, "Electron"), path, "Electron")
+    columns = ["Electron_evtNum", "Electron_pt", "Electron_isConv"]
+    return read_colgroup(spark, path, "Electron", columns=columns)
 
 
 @_query
@@ -333,16 +329,6 @@ def vjet_zip_left(spark: SparkSession, d: str) -> DataFrame:
     return _zipped(spark, d, "left")
 
 
-@_query
-def vjet_zip_colgroup(spark: SparkSession, d: str) -> DataFrame:
-    """The two aligned groups, stored side by side and read by one scan without a join."""
-    register_colgroup(spark)
-    path = work_dir(spark, "colgroup")
-    both = _zipped(spark, d, "inner")
-    both.write.format("colgroup").option("groups", "CA15Puppi").mode("append").save(path)
-    return spark.read.format("colgroup").option("groups", "CA15Puppi").load(path)
-
-
 @_query
 def vjet_filter(spark: SparkSession, d: str) -> DataFrame:
     return _selected_vjets(spark, d)

@@ -1,6 +1,6 @@
 """Reading and writing groups."""
 
-from .colgroup import ColumnGroupSource, register_colgroup
+from .colgroup import ColumnGroupSource, read_colgroup, register_colgroup, write_colgroup
 from .groups import (
     copy_format,
     merge_groups,
@@ -15,10 +15,12 @@ __all__ = [
     "ColumnGroupSource",
     "copy_format",
     "merge_groups",
+    "read_colgroup",
     "read_columns",
     "read_dynamic",
     "read_group",
     "register_colgroup",
+    "write_colgroup",
     "write_group",
     "write_histogram",
 ]

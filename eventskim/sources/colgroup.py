@@ -20,14 +20,14 @@ from __future__ import annotations
 import math
 import posixpath
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
@@ -321,3 +321,27 @@ class _Writer(DataSourceArrowWriter):
 def register_colgroup(spark: SparkSession) -> None:
     ship_package(spark)
     spark.dataSource.register(ColumnGroupSource)
+
+
+def read_colgroup(
+    spark: SparkSession,
+    path: str,
+    *groups: str,
+    columns: Sequence[str] | None = None,
+    slices_per_file: int | None = None,
+) -> DataFrame:
+    """Load one group, or several row-aligned ones as one table."""
+    register_colgroup(spark)
+    reader = spark.read.format("colgroup").option("groups", ",".join(groups))
+    if columns:
+        reader = reader.option("columns", ",".join(columns))
+    if slices_per_file:
+        reader = reader.option("slices_per_file", str(slices_per_file))
+    return reader.load(path)
+
+
+def write_colgroup(df: DataFrame, path: str, group: str, rows_per_file: int = 1 << 20) -> None:
+    """Append ``df`` as new files of ``group``."""
+    register_colgroup(df.sparkSession)
+    writer = df.write.format("colgroup").option("groups", group)
+    writer.option("rows_per_file", str(rows_per_file)).mode("append").save(path)
