@@ -8,6 +8,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from eventskim.operators import check_aligned
 from eventskim.plans import pipelines as p
 from eventskim.session import build_session
 from eventskim.sources import read_colgroup, read_group, write_histogram
@@ -20,9 +21,9 @@ def _electrons(load: Loader) -> tuple[DataFrame, DataFrame]:
 
 
 def _vjets(load: Loader) -> DataFrame:
-    return p.select_vjets(
-        load("CA15Puppi", stamped=True), load("AddCA15Puppi", stamped=True)
-    )
+    vjet, extra = load("CA15Puppi", stamped=True), load("AddCA15Puppi", stamped=True)
+    check_aligned(vjet, extra)
+    return p.select_vjets(vjet, extra)
 
 
 ANALYSES: dict[str, Callable[[Loader], DataFrame]] = {

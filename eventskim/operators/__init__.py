@@ -32,6 +32,7 @@ from .filters import (
 from .provenance import tag_provenance
 from .rows import (
     add_row_index,
+    check_aligned,
     index_scan_rows,
     misaligned_files,
     stamp_rows,
@@ -41,6 +42,7 @@ from .rows import (
 __all__ = [
     "EventBranch",
     "add_row_index",
+    "check_aligned",
     "column_sums",
     "combine_events",
     "count_rows",

@@ -159,12 +159,12 @@ def substructure(df: DataFrame) -> DataFrame:
 def step_lookup_join(df: DataFrame, on: str, table: StepTable, out: str) -> DataFrame:
     """Add the table's value at column ``on`` by joining a table of bins.
 
-    For lookups whose values live in a table of their own. The bin number turns
-    the range condition into an equality, so this is a hash join; the bins are
-    as many as the caller listed, and Spark broadcasts them by their known size.
+    The bin number turns the range condition into an equality, so this is a hash
+    join. The bins are literals of the plan: Spark knows their exact size, and
+    broadcasts them only below its own threshold.
     """
     check_table(table)
-    rows = [(i, float(v)) for i, v in enumerate(table.values)]
-    bins = df.sparkSession.createDataFrame(rows, f"_bin INT, `{out}` DOUBLE")
+    rows = ", ".join(f"({i}, DOUBLE('{float(v)!r}'))" for i, v in enumerate(table.values))
+    bins = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS bins(_bin, `{out}`)")
     numbered = df.withColumn("_bin", bin_index(F.col(on), table.edges))
     return numbered.join(bins, "_bin", "left").drop("_bin")

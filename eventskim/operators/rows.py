@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 FILE, ROW = "_file", "_row"
+MISALIGNED_SHOWN = 5
+# Files or partitions whose row counts are sent to every task; about 200 bytes each.
+BROADCAST_ENTRIES = 250_000
 
 
 def stamp_rows(df: DataFrame, root: str | None = None) -> DataFrame:
@@ -45,24 +48,42 @@ def misaligned_files(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.filter("left_rows <> right_rows")
 
 
+def check_aligned(left: DataFrame, right: DataFrame) -> None:
+    """Raise if :func:`misaligned_files` finds any. Runs a job that counts rows by file."""
+    bad = misaligned_files(left, right).limit(MISALIGNED_SHOWN).collect()
+    if bad:
+        raise ValueError(f"tables are not row-aligned: {[tuple(r) for r in bad]}")
+
+
 def _prefix_sums(counts: DataFrame, order: str) -> DataFrame:
     # One row per file or partition, never per data row.
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(order, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
 
 
+def _add_bases(rows: DataFrame, bases: DataFrame, key: str, entries: int, index: str) -> DataFrame:
+    """Number the rows from their group's base; ``entries`` is the number of bases.
+
+    Up to the limit the bases are sent to every task and no row moves. Beyond it
+    this is a plain join, and adaptive execution may split a large file's rows.
+    """
+    if entries <= BROADCAST_ENTRIES:
+        bases = F.broadcast(bases)
+    numbered = rows.join(bases, key).withColumn(index, F.col("_base") + F.col("_pos"))
+    return numbered.drop(key, "_pos", "_base")
+
+
 def index_scan_rows(df: DataFrame, index: str = "_index") -> DataFrame:
     """Number the rows of a whole Parquet scan 0..n-1, files in path order.
 
-    Counting reads Parquet footers only, and the numbering needs no shuffle of
-    the rows: each adds its position to the rows of the files before its own.
+    Counting reads Parquet footers only. Each row adds its position in its file
+    to the rows of the files before, so retried tasks give the same numbers.
     """
     path = F.col("_metadata.file_path").alias("_path")
     counts = df.select(path).groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
-    bases = _prefix_sums(counts, "_path")
     rows = df.select("*", path, F.col("_metadata.row_index").alias("_pos"))
-    numbered = rows.join(bases, "_path").withColumn(index, F.col("_base") + F.col("_pos"))
-    return numbered.drop("_path", "_pos", "_base")
+    files = len(df.inputFiles())
+    return _add_bases(rows, _prefix_sums(counts, "_path"), "_path", files, index)
 
 
 def add_row_index(df: DataFrame, index: str = "_index") -> DataFrame:
@@ -73,13 +94,14 @@ def add_row_index(df: DataFrame, index: str = "_index") -> DataFrame:
     across a lost executor.
     """
     ensure_checkpoint_dir(df.sparkSession)
+    saved = df.checkpoint()
     part = F.spark_partition_id()
-    fixed = df.checkpoint().withColumns(
+    rows = saved.withColumns(
         {
             "_part": part,
             "_pos": F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33),
         }
     )
-    counts = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    numbered = fixed.join(_prefix_sums(counts, "_part"), "_part")
-    return numbered.withColumn(index, F.col("_base") + F.col("_pos")).drop("_part", "_pos", "_base")
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    partitions = saved.rdd.getNumPartitions()
+    return _add_bases(rows, _prefix_sums(counts, "_part"), "_part", partitions, index)

@@ -284,7 +284,8 @@ def oracle_sql() -> dict[str, str]:
         "scan_vjet": _one("CA15Puppi"),
         "scan_addvjet": _one("AddCA15Puppi"),
         "read_group_electron": _one(
-            "Electron", "Electron_lumisec, Electron_evtNum, Electron_pt, Electron_isConv"
+            "Electron",
+            "Electron_runNum, Electron_lumisec, Electron_evtNum, Electron_pt, Electron_isConv",
         ),
         "scan_dynamic_group": _one("Tau"),
         "read_columns_of_group": _one("Photon", "Photon_evtNum, Photon_pt, Photon_eta"),

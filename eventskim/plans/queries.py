@@ -103,8 +103,8 @@ def _selected_vjets(spark: SparkSession, d: str) -> DataFrame:
 def read_group_electron(spark: SparkSession, d: str) -> DataFrame:
     root = work_dir(spark, "group")
     write_group(view(spark, d, "Electron"), root, "Electron", partition_by=["Electron_runNum"])
-    columns = [*event_key("Electron")[1:], "Electron_pt", "Electron_isConv"]
-    return read_group(spark, root, "Electron", columns)
+    columns = [*event_key("Electron"), "Electron_pt", "Electron_isConv"]
+    return read_group(spark, root, "Electron", columns, partitioned=True)
 
 
 @_query

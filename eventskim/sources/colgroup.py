@@ -23,6 +23,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,7 @@ from ..session import ship_package
 SUFFIX = ".npy"
 BATCH_ROWS = 1 << 17
 PLANNING_THREADS = 32
+LISTING_CHUNK = 256
 
 _SPARK_TYPES = {
     "i8": T.LongType(),
@@ -105,20 +107,25 @@ def _list(filesystem: fs.FileSystem, path: str) -> list[fs.FileInfo]:
     return [f for f in found if not f.base_name.startswith(("_", "."))]
 
 
-def _find_files(filesystem: fs.FileSystem, root: str, group: str) -> list[str]:
-    """Folders at any depth that hold ``group``; a level is listed in parallel."""
-    found, level = [], [root]
+def _find_files(filesystem: fs.FileSystem, root: str, group: str) -> Iterator[str]:
+    """Folders at any depth that hold ``group``, in a fixed order.
+
+    Folders are listed some hundreds at a time, in parallel, and no further than
+    the caller asks for.
+    """
+    level = [root]
     with ThreadPoolExecutor(PLANNING_THREADS) as pool:
         while level:
             deeper = []
-            for parent, entries in zip(level, pool.map(lambda d: _list(filesystem, d), level)):
-                folders = [e for e in entries if e.type == fs.FileType.Directory]
-                if any(e.base_name == group for e in folders):
-                    found.append(parent)
-                else:
-                    deeper += [e.path for e in folders]
-            level = deeper
-    return sorted(found)
+            for i in range(0, len(level), LISTING_CHUNK):
+                chunk = level[i : i + LISTING_CHUNK]
+                for parent, entries in zip(chunk, pool.map(partial(_list, filesystem), chunk)):
+                    folders = [e for e in entries if e.type == fs.FileType.Directory]
+                    if any(e.base_name == group for e in folders):
+                        yield parent
+                    else:
+                        deeper += [e.path for e in folders]
+            level = sorted(deeper)
 
 
 @dataclass
@@ -143,12 +150,12 @@ class ColumnGroupSource(DataSource):
         """Column -> (group, dataset, dtype), as the first file has them."""
         filesystem, root = _open(self.options["path"])
         groups = self.groups()
-        files = _find_files(filesystem, root, groups[0])
-        if not files:
+        first = next(_find_files(filesystem, root, groups[0]), None)
+        if first is None:
             raise ValueError(f"no file below {root} has group {groups[0]}")
         out = {}
         for group in groups:
-            for entry in _list(filesystem, f"{files[0]}/{group}"):
+            for entry in _list(filesystem, f"{first}/{group}"):
                 if entry.base_name.endswith(SUFFIX):
                     dataset = entry.base_name.removesuffix(SUFFIX)
                     dtype = _read_header(filesystem, entry.path).dtype
@@ -207,7 +214,7 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[Slice]:
         filesystem, root = _open(self.path)
-        files = _find_files(filesystem, root, self.groups[0])
+        files = list(_find_files(filesystem, root, self.groups[0]))
         with ThreadPoolExecutor(PLANNING_THREADS) as pool:
             planned = pool.map(lambda f: self._plan_file(filesystem, f), files)
             return [s for slices in planned for s in slices]

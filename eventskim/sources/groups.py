@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.rows import stamp_rows
+from ..operators.rows import FILE, ROW, stamp_rows
 from ..schema import column_name, group_schema
 
 
@@ -51,13 +51,18 @@ def read_group(
     group: str,
     columns: Sequence[str] | None = None,
     stamped: bool = False,
+    partitioned: bool = False,
 ) -> DataFrame:
     """Load a catalogue group, bound by name.
 
     A field gets its catalogue type, or the stored one where that is wider, so no
     value is ever cut. ``columns`` slims the group to those columns. A dataset the
     files lack is an error.
-    ``stamped`` adds the row ids that :func:`~eventskim.operators.zip_rows` joins on.
+    ``stamped`` adds the row ids that :func:`~eventskim.operators.zip_rows` joins on:
+    those stored with the group if it was written with them, else the scan's own.
+    The latter pair two groups whose files have the same names.
+    ``partitioned`` is for a group written with ``partition_by``: those columns are
+    read from the folder names, and a filter on them leaves folders out.
     """
     wanted = group_schema(group)
     if columns is not None:
@@ -67,16 +72,19 @@ def read_group(
             raise ValueError(f"not in group {group}: {unknown}")
         wanted = T.StructType([known[c.lower()] for c in columns])
     path = f"{root.rstrip('/')}/{group.strip('/')}"
-    stored = _bind(_reader(spark).parquet(path).schema, wanted)
-    raw = _reader(spark).schema(stored).parquet(path)
-    extra = ["_file", "_row"] if stamped else []
-    if stamped:
+    nested = str(not partitioned).lower()
+    reader = spark.read.option("recursiveFileLookup", nested)
+    found = reader.parquet(path).schema
+    stored = _bind(found, wanted)
+    kept = [f for f in found if f.name in (FILE, ROW)] if stamped else []
+    raw = reader.schema(T.StructType([*stored, *kept])).parquet(path)
+    if stamped and not kept:
         raw = stamp_rows(raw, path)
     cast = [
         _quoted(s.name).cast(_wider(s.dataType, w.dataType)).alias(w.name)
         for s, w in zip(stored, wanted)
     ]
-    return raw.select(*cast, *extra)
+    return raw.select(*cast, *([FILE, ROW] if stamped else []))
 
 
 def read_dynamic(spark: SparkSession, path: str) -> DataFrame:
@@ -97,8 +105,15 @@ def write_group(
     mode: str = "errorifexists",
     partition_by: Sequence[str] = (),
 ) -> str:
-    """Store ``df`` as a group. Partitioning by run lets a range of runs be read alone."""
+    """Store ``df`` as a group; partitioning by run lets some runs be read alone.
+
+    A partitioned write first brings the rows of a partition together, so that not
+    every task writes a file into each. The rebalance splits a large partition
+    among tasks again.
+    """
     path = f"{root.rstrip('/')}/{group.strip('/')}"
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
     return path
 
@@ -116,7 +131,7 @@ def merge_groups(spark: SparkSession, sources: Sequence[str], target: str) -> No
     The columns of the target rule. They must be those of the sources, all of
     whose files are looked at, in parallel.
     """
-    schema = spark.read.option("recursiveFileLookup", "true").parquet(target).schema
+    schema = _reader(spark).parquet(target).schema
     found = _reader(spark).option("mergeSchema", "true").parquet(*sources).schema
     if {f.name.lower() for f in found} != {f.name.lower() for f in schema}:
         raise ValueError(f"columns differ: {found.names} and {schema.names}")
