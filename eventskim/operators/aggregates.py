@@ -112,6 +112,8 @@ def histogram(df: DataFrame, column: str, buckets: int, dense: bool = False) ->
     )
     if dense:
         every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
+        exists = lo.isNotNull() & ((hi > lo) | (F.col("bucket") == 0))
+        every = _with_ends(every, df, ["x"]).filter(exists).drop("_ends")
         counted = every.join(counted, "bucket", "left").fillna(0, ["n"])
-    out = _with_ends(counted, df, ["x"]).filter(lo.isNotNull() & ((hi > lo) | (F.col("bucket") == 0)))
+    out = _with_ends(counted, df, ["x"])
     return out.select("bucket", *_edges(F.col("bucket"), lo, hi, n), "n")

@@ -20,6 +20,8 @@ SCALE_CONF = {
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Columns are built by many small calls; do not look up the caller of each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 
