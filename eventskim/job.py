@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventskim.operators import check_aligned
 from eventskim.plans import pipelines as p
-from eventskim.session import build_session
+from eventskim.session import build_session, size_shuffle
 from eventskim.sources import read_colgroup, read_group, write_histogram
 
 Loader = Callable[..., DataFrame]
@@ -59,6 +59,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     else:
         load = partial(_load_colgroup, spark, opt.data, opt.slices_per_file)
     result = ANALYSES[opt.analysis](load)
+    size_shuffle(result)
     if opt.analysis == "histograms":
         write_histogram(result, opt.out)
     else:

@@ -33,6 +33,7 @@ from ..operators import (
 from ..schema import event_key
 from ..session import work_dir
 from ..sources import (
+    bind_group,
     copy_format,
     merge_groups,
     read_colgroup,
@@ -75,7 +76,7 @@ def _register_scans() -> None:
         "scan_addvjet": "AddCA15Puppi",
     }
     for name, group in names.items():
-        _QUERIES[name] = lambda spark, d, g=group: view(spark, d, g)
+        _QUERIES[name] = lambda spark, d, g=group: bind_group(view(spark, d, g), g)
 
 
 _register_scans()

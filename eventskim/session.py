@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale. Adaptive execution merges shuffle partitions to
 # the advisory size and splits hot ones. The JVM leaves methods above 8000 bytes
@@ -36,6 +36,27 @@ def build_session(app: str, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+BYTES_PER_SHUFFLE_PARTITION = 256 << 20
+MAX_SHUFFLE_PARTITIONS = 100_000
+
+
+def size_shuffle(df: DataFrame) -> int:
+    """Set the number of shuffle partitions by what ``df`` reads; returns it.
+
+    Adaptive execution merges partitions that turn out small, but never makes
+    more than it is given, and the default of 200 would be far too few for a large
+    input. A higher number already set is kept.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    # Sizes are the planner's, after leaving out partitions the filters rule out.
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    wanted = min(read // BYTES_PER_SHUFFLE_PARTITION + 1, MAX_SHUFFLE_PARTITIONS)
+    chosen = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.conf.set("spark.sql.shuffle.partitions", str(chosen))
+    return chosen
+
+
 _fallback: dict[str, str] = {}
 
 

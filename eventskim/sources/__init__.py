@@ -2,6 +2,7 @@
 
 from .colgroup import ColumnGroupSource, read_colgroup, register_colgroup, write_colgroup
 from .groups import (
+    bind_group,
     copy_format,
     merge_groups,
     read_columns,
@@ -13,6 +14,7 @@ from .groups import (
 
 __all__ = [
     "ColumnGroupSource",
+    "bind_group",
     "copy_format",
     "merge_groups",
     "read_colgroup",

@@ -20,9 +20,20 @@ def _quoted(name: str):
     return F.col(f"`{name}`")
 
 
-def _bind(stored: T.StructType, wanted: T.StructType) -> T.StructType:
-    """The stored fields that carry ``wanted``, found by name after renaming."""
-    by_name = {column_name(f.name).lower(): f for f in stored}
+def _wanted(group: str, columns: Sequence[str] | None) -> T.StructType:
+    schema = group_schema(group)
+    if columns is None:
+        return schema
+    known = {f.name.lower(): f for f in schema}
+    unknown = [c for c in columns if c.lower() not in known]
+    if unknown:
+        raise ValueError(f"not in group {group}: {unknown}")
+    return T.StructType([known[c.lower()] for c in columns])
+
+
+def _stored(found: T.StructType, wanted: T.StructType) -> T.StructType:
+    """The found fields that carry ``wanted``, by name after renaming."""
+    by_name = {column_name(f.name).lower(): f for f in found}
     missing = [f.name for f in wanted if f.name.lower() not in by_name]
     if missing:
         raise ValueError(f"missing datasets: {missing}")
@@ -45,6 +56,23 @@ def _wider(stored: T.DataType, wanted: T.DataType) -> T.DataType:
     return max(stored, wanted, key=_WIDENING.index)
 
 
+def bind_group(
+    df: DataFrame, group: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Give ``df`` the catalogue's columns of ``group``, or those in ``columns``.
+
+    Columns are found by name, whatever their order, and row stamps stay. A field
+    gets its catalogue type, or the one it has where that is wider, so no value is
+    ever cut. A missing dataset is an error.
+    """
+    wanted = _wanted(group, columns)
+    cast = [
+        _quoted(s.name).cast(_wider(s.dataType, w.dataType)).alias(w.name)
+        for s, w in zip(_stored(df.schema, wanted), wanted)
+    ]
+    return df.select(*cast, *[c for c in (FILE, ROW) if c in df.columns])
+
+
 def read_group(
     spark: SparkSession,
     root: str,
@@ -53,38 +81,24 @@ def read_group(
     stamped: bool = False,
     partitioned: bool = False,
 ) -> DataFrame:
-    """Load a catalogue group, bound by name.
+    """Load a catalogue group, bound as :func:`bind_group` does.
 
-    A field gets its catalogue type, or the stored one where that is wider, so no
-    value is ever cut. ``columns`` slims the group to those columns. A dataset the
-    files lack is an error.
     ``stamped`` adds the row ids that :func:`~eventskim.operators.zip_rows` joins on:
     those stored with the group if it was written with them, else the scan's own.
     The latter pair two groups whose files have the same names.
     ``partitioned`` is for a group written with ``partition_by``: those columns are
     read from the folder names, and a filter on them leaves folders out.
     """
-    wanted = group_schema(group)
-    if columns is not None:
-        known = {f.name.lower(): f for f in wanted}
-        unknown = [c for c in columns if c.lower() not in known]
-        if unknown:
-            raise ValueError(f"not in group {group}: {unknown}")
-        wanted = T.StructType([known[c.lower()] for c in columns])
     path = f"{root.rstrip('/')}/{group.strip('/')}"
     nested = str(not partitioned).lower()
     reader = spark.read.option("recursiveFileLookup", nested)
     found = reader.parquet(path).schema
-    stored = _bind(found, wanted)
     kept = [f for f in found if f.name in (FILE, ROW)] if stamped else []
-    raw = reader.schema(T.StructType([*stored, *kept])).parquet(path)
+    schema = T.StructType([*_stored(found, _wanted(group, columns)), *kept])
+    raw = reader.schema(schema).parquet(path)
     if stamped and not kept:
         raw = stamp_rows(raw, path)
-    cast = [
-        _quoted(s.name).cast(_wider(s.dataType, w.dataType)).alias(w.name)
-        for s, w in zip(stored, wanted)
-    ]
-    return raw.select(*cast, *([FILE, ROW] if stamped else []))
+    return bind_group(raw, group, columns)
 
 
 def read_dynamic(spark: SparkSession, path: str) -> DataFrame:

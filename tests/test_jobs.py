@@ -75,3 +75,17 @@ def test_shared_dir_follows_the_session():
     assert session.shared_dir(Session()) == "hdfs://shared/ckpt"
     one, two = (session.work_dir(Session(), "merge") for _ in range(2))
     assert one != two and one.startswith("hdfs://shared/ckpt/merge-")
+
+
+def test_shuffle_follows_the_input(spark, root, monkeypatch):
+    muon = read_group(spark, root, "Muon")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert session.size_shuffle(muon) == int(before)
+        monkeypatch.setattr(session, "BYTES_PER_SHUFFLE_PARTITION", 1000)
+        assert session.size_shuffle(muon) > 50
+        monkeypatch.setattr(session, "MAX_SHUFFLE_PARTITIONS", 60)
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        assert session.size_shuffle(p.leading_muons(muon)) == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
