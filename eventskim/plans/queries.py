@@ -18,6 +18,7 @@ from ..operators import (
     filter_muon_udf,
     filter_photon,
     filter_tau,
+    filter_vjet,
     histogram,
     index_scan_rows,
     join_event,
@@ -330,6 +331,12 @@ def vjet_zip_left(spark: SparkSession, d: str) -> DataFrame:
     return _zipped(spark, d, "left")
 
 
+@_query
+def vjet_cut(spark: SparkSession, d: str) -> DataFrame:
+    """The selection alone, without the substructure."""
+    return filter_vjet(view(spark, d, "CA15Puppi"))
+
+
 @_query
 def vjet_filter(spark: SparkSession, d: str) -> DataFrame:
     return _selected_vjets(spark, d)

@@ -63,9 +63,12 @@ _fallback: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Where it is unset, as in tests on one machine, a temporary folder stands in.
+    Where no checkpoint folder is set, as in tests on one machine, a temporary one
+    stands in.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.sparkContext.getCheckpointDir()
     if not folder:
         app = spark.sparkContext.applicationId
         folder = _fallback.get(app) or tempfile.mkdtemp(prefix="eventskim-")
