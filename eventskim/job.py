@@ -4,45 +4,69 @@ from __future__ import annotations
 
 import argparse
 from collections.abc import Callable, Sequence
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from eventskim.operators import check_aligned
 from eventskim.plans import pipelines as p
+from eventskim.schema import group_schema
 from eventskim.session import build_session, size_shuffle
 from eventskim.sources import read_colgroup, read_group, write_histogram
 
-Loader = Callable[..., DataFrame]
 
+class Groups:
+    """The groups below a folder of Parquet tables."""
 
-def _electrons(load: Loader) -> tuple[DataFrame, DataFrame]:
-    return load("Electron"), load("Info")
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root
 
+    def load(self, group: str) -> DataFrame:
+        return read_group(self.spark, self.root, group)
 
-def _vjets(load: Loader) -> DataFrame:
-    vjet, extra = load("CA15Puppi", stamped=True), load("AddCA15Puppi", stamped=True)
-    check_aligned(vjet, extra)
-    return p.select_vjets(vjet, extra)
+    def vjets(self) -> DataFrame:
+        vjet, extra = (
+            read_group(self.spark, self.root, g, stamped=True)
+            for g in ("CA15Puppi", "AddCA15Puppi")
+        )
+        check_aligned(vjet, extra)
+        return p.select_vjets(vjet, extra)
 
 
-ANALYSES: dict[str, Callable[[Loader], DataFrame]] = {
-    "histograms": lambda load: p.electron_histograms(*_electrons(load)),
-    "count": lambda load: p.electron_count(*_electrons(load)),
-    "electrons": lambda load: p.leading_electrons(*_electrons(load)),
-    "muons": lambda load: p.leading_muons(load("Muon")),
-    "taus": lambda load: p.leading_taus(load("Tau")),
-    "photons": lambda load: p.leading_photons(load("Photon"), load("Info")),
-    "jets": lambda load: p.jets(load("AK4Puppi"), load("Info"), _vjets(load)),
-}
+class ColumnArrays(Groups):
+    """The groups below a folder of column arrays."""
+
+    def __init__(self, spark: SparkSession, root: str, slices_per_file: int | None = None):
+        super().__init__(spark, root)
+        self.slices_per_file = slices_per_file
+
+    def _read(self, *groups: str) -> DataFrame:
+        # This source reads all columns of its schema, so name the wanted ones.
+        columns = [c for g in groups for c in group_schema(g).names]
+        return read_colgroup(
+            self.spark, self.root, *groups, columns=columns, slices_per_file=self.slices_per_file
+        )
+
+    def load(self, group: str) -> DataFrame:
+        return self._read(group)
 
+    def vjets(self) -> DataFrame:
+        return p.select_paired_vjets(self._read("CA15Puppi", "AddCA15Puppi"))
 
-def _load_colgroup(
-    spark: SparkSession, root: str, slices: int | None, group: str, stamped: bool = False
-) -> DataFrame:
-    if stamped:
-        raise ValueError("column arrays have no row stamps; scan aligned groups together")
-    return read_colgroup(spark, root, group, slices_per_file=slices)
+
+def _electrons(groups: Groups) -> tuple[DataFrame, DataFrame]:
+    return groups.load("Electron"), groups.load("Info")
+
+
+ANALYSES: dict[str, Callable[[Groups], DataFrame]] = {
+    "histograms": lambda g: p.electron_histograms(*_electrons(g)),
+    "count": lambda g: p.electron_count(*_electrons(g)),
+    "electrons": lambda g: p.leading_electrons(*_electrons(g)),
+    "muons": lambda g: p.leading_muons(g.load("Muon")),
+    "taus": lambda g: p.leading_taus(g.load("Tau")),
+    "photons": lambda g: p.leading_photons(g.load("Photon"), g.load("Info")),
+    "jets": lambda g: p.jets(g.load("AK4Puppi"), g.load("Info"), g.vjets()),
+}
 
 
 def main(argv: Sequence[str] | None = None) -> None:
@@ -55,10 +79,10 @@ def main(argv: Sequence[str] | None = None) -> None:
     opt = args.parse_args(argv)
     spark = build_session("eventskim")
     if opt.source == "parquet":
-        load = partial(read_group, spark, opt.data)
+        groups = Groups(spark, opt.data)
     else:
-        load = partial(_load_colgroup, spark, opt.data, opt.slices_per_file)
-    result = ANALYSES[opt.analysis](load)
+        groups = ColumnArrays(spark, opt.data, opt.slices_per_file)
+    result = ANALYSES[opt.analysis](groups)
     size_shuffle(result)
     if opt.analysis == "histograms":
         write_histogram(result, opt.out)

@@ -344,6 +344,7 @@ UNION ALL SELECT 'Electron_eta' AS "column", * FROM ({_hist("Electron_eta", 5)})
         "vjet_zip_left": _BOTH,
         "vjet_cut": _with(["CA15Puppi"], _jets("CA15Puppi", "CA15Puppi", 150, 2.5)),
         "vjet_filter": _VJETS,
+        "vjet_filter_aligned_scan": _VJETS,
         "vjet_leading": f"WITH vjets AS ({_VJETS})\n{_VJET_TOP}",
         "jet_vjet_join": _jet_query("SELECT * FROM pairs"),
         "jet_vjet_deltar": _jet_query(f"SELECT {_ROUNDED} FROM measured"),

@@ -117,12 +117,17 @@ def _pairs(name: str):
 def select_vjets(vjet: DataFrame, addvjet: DataFrame) -> DataFrame:
     """Wide jets with their substructure row, selected. Both inputs carry row stamps.
 
-    The kinematic window concerns wide jets only, so it acts before the join.
+    The selection concerns wide jets only, so it acts before the join.
     """
     extra = substructure(addvjet).drop(*event_key("AddCA15Puppi"))
     return filter_vjet(zip_rows(vjet, extra))
 
 
+def select_paired_vjets(pairs: DataFrame) -> DataFrame:
+    """:func:`select_vjets` on rows that a scan of both groups has paired already."""
+    return filter_vjet(substructure(pairs)).drop(*event_key("AddCA15Puppi"))
+
+
 def leading_vjets(vjet: DataFrame, addvjet: DataFrame) -> DataFrame:
     return leading(select_vjets(vjet, addvjet), "CA15Puppi", VJET_FIELDS, "N")
 

@@ -342,6 +342,14 @@ def vjet_filter(spark: SparkSession, d: str) -> DataFrame:
     return _selected_vjets(spark, d)
 
 
+@_query
+def vjet_filter_aligned_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The rows paired by one scan of both groups, instead of a join."""
+    path, groups = work_dir(spark, "colgroup"), ("CA15Puppi", "AddCA15Puppi")
+    write_colgroup(_zipped(spark, d, "inner"), path, *groups)
+    return p.select_paired_vjets(read_colgroup(spark, path, *groups))
+
+
 @_query
 def vjet_leading(spark: SparkSession, d: str) -> DataFrame:
     return p.leading_vjets(

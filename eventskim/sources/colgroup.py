@@ -5,7 +5,8 @@ holding groups, and each dataset is one 1-D array. A scan is cut into slices
 ``[begin, end)`` of a file, and a task reads its slice of each wanted array.
 
 Several row-aligned groups can be scanned as one table, since their slices are
-cut alike: ``groups=CA15Puppi,AddCA15Puppi`` pairs the two without a join.
+cut alike: ``groups=CA15Puppi,AddCA15Puppi`` pairs the two without a join. A table
+is written to several groups by the group names its columns begin with.
 
 Options
     ``groups``           one group, or several row-aligned ones (required)
@@ -184,9 +185,20 @@ class ColumnGroupSource(DataSource):
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
             raise ValueError("colgroup can only append")
-        if len(self.groups()) != 1:
-            raise ValueError("write one group at a time")
-        return _Writer(self.options, self.groups()[0])
+        return _Writer(self.options, _route(schema.names, self.groups()))
+
+
+def _route(columns: list[str], groups: list[str]) -> dict[str, str]:
+    """Column -> group. Of several groups, it is the one the column's name begins with."""
+    if len(groups) == 1:
+        return dict.fromkeys(columns, groups[0])
+    routes = {
+        c: g for c in columns for g in groups if c.startswith((f"{g}_", f"{g}."))
+    }
+    lost = [c for c in columns if c not in routes]
+    if lost:
+        raise ValueError(f"columns of no group: {lost}")
+    return routes
 
 
 class _Reader(DataSourceReader):
@@ -269,22 +281,24 @@ class _Staged(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     """Tasks write to a staging folder; files of finished tasks are then moved in."""
 
-    def __init__(self, options, group):
+    def __init__(self, options, routes):
         self.path = options["path"]
-        self.group = group
+        self.routes = routes
         self.rows_per_file = int(options.get("rows_per_file", 1 << 20))
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def _flush(self, filesystem: fs.FileSystem, root: str, batches: list[pa.RecordBatch]) -> str:
         table = pa.Table.from_batches(batches)
         name = f"part-{uuid.uuid4().hex}"
-        folder = posixpath.join(root, self.staging, name, self.group)
-        filesystem.create_dir(folder, recursive=True)
+        folder = posixpath.join(root, self.staging, name)
+        for group in set(self.routes.values()):
+            filesystem.create_dir(f"{folder}/{group}", recursive=True)
         for column in table.column_names:
             values = table.column(column)
             if values.null_count:
                 raise ValueError(f"column {column} has NULLs; an array cannot hold them")
-            with filesystem.open_output_stream(f"{folder}/{column}{SUFFIX}") as out:
+            path = f"{folder}/{self.routes[column]}/{column}{SUFFIX}"
+            with filesystem.open_output_stream(path) as out:
                 np.lib.format.write_array(out, values.to_numpy(), allow_pickle=False)
         return name
 
@@ -347,8 +361,10 @@ def read_colgroup(
     return reader.load(path)
 
 
-def write_colgroup(df: DataFrame, path: str, group: str, rows_per_file: int = 1 << 20) -> None:
-    """Append ``df`` as new files of ``group``."""
+def write_colgroup(
+    df: DataFrame, path: str, *groups: str, rows_per_file: int = 1 << 20
+) -> None:
+    """Append ``df`` as new files of one group, or of several row-aligned ones."""
     register_colgroup(df.sparkSession)
-    writer = df.write.format("colgroup").option("groups", group)
+    writer = df.write.format("colgroup").option("groups", ",".join(groups))
     writer.option("rows_per_file", str(rows_per_file)).mode("append").save(path)

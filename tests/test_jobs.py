@@ -3,7 +3,7 @@ import csv
 import pytest
 
 from eventskim import job, session
-from eventskim.operators import filter_muon, filter_muon_udf
+from eventskim.operators import filter_muon, filter_muon_udf, zip_rows
 from eventskim.plans import pipelines as p
 from eventskim.plans.fixtures import view
 from eventskim.sources import read_group, write_colgroup, write_group
@@ -52,16 +52,24 @@ def test_jets_job_refuses_unpaired_files(spark, sf_dir, tmp_path):
     for group in ("CA15Puppi", "AddCA15Puppi"):
         write_group(view(spark, sf_dir, group), str(tmp_path / "data"), group)
     with pytest.raises(ValueError, match="not row-aligned"):
-        job._vjets(lambda group, stamped: read_group(spark, str(tmp_path / "data"), group, stamped=stamped))
+        job.Groups(spark, str(tmp_path / "data")).vjets()
 
 
-def test_job_on_column_arrays(spark, sf_dir, root, tmp_path):
+def test_jobs_on_column_arrays(spark, sf_dir, root, tmp_path):
+    """The same results from column arrays as from Parquet, the rows paired by the scan."""
     data = str(tmp_path / "arrays")
-    write_colgroup(view(spark, sf_dir, "Muon"), data, "Muon")
-    argv = ["--data", data, "--source", "colgroup", "--slices-per-file", "3"]
-    job.main([*argv, "--out", str(tmp_path / "out"), "--analysis", "muons"])
-    want = p.leading_muons(view(spark, sf_dir, "Muon"))
-    assert spark.read.parquet(str(tmp_path / "out")).exceptAll(want).count() == 0
+    for group in ("Muon", "AK4Puppi", "Info"):
+        write_colgroup(view(spark, sf_dir, group), data, group)
+    pairs = zip_rows(view(spark, sf_dir, "CA15Puppi", True), view(spark, sf_dir, "AddCA15Puppi", True))
+    write_colgroup(pairs, data, "CA15Puppi", "AddCA15Puppi", rows_per_file=500)
+    for analysis in ("muons", "jets"):
+        for source, where in (("colgroup", data), ("parquet", root)):
+            argv = ["--data", where, "--source", source, "--slices-per-file", "3"]
+            out = str(tmp_path / f"{analysis}-{source}")
+            job.main([*argv, "--out", out, "--analysis", analysis])
+        a, b = (spark.read.parquet(str(tmp_path / f"{analysis}-{s}")) for s in ("colgroup", "parquet"))
+        assert a.count() > 0
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
 
 
 def test_shared_dir_follows_the_session():
@@ -89,3 +97,16 @@ def test_shuffle_follows_the_input(spark, root, monkeypatch):
         assert session.size_shuffle(p.leading_muons(muon)) == 60
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_shared_dir_follows_the_context():
+    class Context:
+        @staticmethod
+        def getCheckpointDir():
+            return "hdfs://shared/ckpt/run"
+
+    class Session:
+        conf = {}
+        sparkContext = Context
+
+    assert session.shared_dir(Session()) == "hdfs://shared/ckpt/run"

@@ -10,7 +10,7 @@ from eventskim.plans import pipelines as p
 from eventskim.schema import event_key
 from eventskim.sources import read_group
 
-PYTHON_QUERIES = {"muon_filter_udf", "scan_colgroup", "scan_colgroup_columns"}
+PYTHON_QUERIES = {"muon_filter_udf", "scan_colgroup", "scan_colgroup_columns", "vjet_filter_aligned_scan"}
 
 
 def plan(df):

@@ -229,6 +229,15 @@ def test_colgroup_round_trip(spark, sf_dir, tmp_path):
     assert read_colgroup(spark, path, "Electron").count() == 2 * electron.count()
 
 
+def test_colgroup_routes_columns(spark, tmp_path):
+    both = spark.range(10).select(F.col("id").alias("A_x"), (F.col("id") * 2).alias("B.y"))
+    write_colgroup(both, str(tmp_path / "ok"), "A", "B")
+    back = read_colgroup(spark, str(tmp_path / "ok"), "A", "B", slices_per_file=2)
+    assert {tuple(r) for r in back.select("A_x", "B_y").collect()} == {(i, 2 * i) for i in range(10)}
+    with pytest.raises(Exception, match="of no group"):
+        write_colgroup(both.withColumn("z", F.lit(1)), str(tmp_path / "bad"), "A", "B")
+
+
 def test_colgroup_failed_write_leaves_nothing(spark, tmp_path):
     path = tmp_path / "out"
     bad = spark.range(0, 100, 1, 4).select(
