@@ -53,6 +53,8 @@ _WIDENING = (
 def _wider(stored: T.DataType, wanted: T.DataType) -> T.DataType:
     if stored not in _WIDENING:
         raise ValueError(f"a dataset cannot be {stored.simpleString()}")
+    if wanted == T.FloatType() and stored in (T.IntegerType(), T.LongType()):
+        return T.DoubleType()
     return max(stored, wanted, key=_WIDENING.index)
 
 
@@ -91,12 +93,10 @@ def read_group(
     """
     path = f"{root.rstrip('/')}/{group.strip('/')}"
     nested = str(not partitioned).lower()
-    reader = spark.read.option("recursiveFileLookup", nested)
-    found = reader.parquet(path).schema
-    kept = [f for f in found if f.name in (FILE, ROW)] if stamped else []
-    schema = T.StructType([*_stored(found, _wanted(group, columns)), *kept])
-    raw = reader.schema(schema).parquet(path)
-    if stamped and not kept:
+    raw = spark.read.option("recursiveFileLookup", nested).parquet(path)
+    if not stamped:
+        raw = raw.drop(FILE, ROW)
+    elif FILE not in raw.columns:
         raw = stamp_rows(raw, path)
     return bind_group(raw, group, columns)
 
@@ -146,11 +146,11 @@ def merge_groups(spark: SparkSession, sources: Sequence[str], target: str) -> No
     whose files are looked at, in parallel.
     """
     schema = _reader(spark).parquet(target).schema
-    found = _reader(spark).option("mergeSchema", "true").parquet(*sources).schema
-    if {f.name.lower() for f in found} != {f.name.lower() for f in schema}:
-        raise ValueError(f"columns differ: {found.names} and {schema.names}")
-    rows = _reader(spark).schema(schema).parquet(*sources)
-    rows.write.mode("append").parquet(target)
+    rows = _reader(spark).option("mergeSchema", "true").parquet(*sources)
+    if {c.lower() for c in rows.columns} != {n.lower() for n in schema.names}:
+        raise ValueError(f"columns differ: {rows.columns} and {schema.names}")
+    bound = [_quoted(f.name).cast(f.dataType) for f in schema]
+    rows.select(*bound).write.mode("append").parquet(target)
 
 
 def write_histogram(hist: DataFrame, path: str, mode: str = "errorifexists") -> None:
