@@ -82,7 +82,7 @@ def index_scan_rows(df: DataFrame, index: str = "_index") -> DataFrame:
     path = F.col("_metadata.file_path").alias("_path")
     counts = df.select(path).groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
     rows = df.select("*", path, F.col("_metadata.row_index").alias("_pos"))
-    files = len(df.inputFiles())
+    files = len(df._jdf.inputFiles())  # the number only; the names stay in the JVM
     return _add_bases(rows, _prefix_sums(counts, "_path"), "_path", files, index)
 
 
