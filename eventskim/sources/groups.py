@@ -154,6 +154,11 @@ def merge_groups(spark: SparkSession, sources: Sequence[str], target: str) -> No
 
 
 def write_histogram(hist: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write a histogram as one CSV file in bucket order; it has a row per bucket."""
+    """Write a histogram as one CSV file in bucket order.
+
+    It has a row per bucket. Those are brought together after the counts are
+    complete, so that the counting itself stays spread over the tasks.
+    """
     order = [c for c in ("column", "bucket") if c in hist.columns]
-    hist.coalesce(1).sortWithinPartitions(*order).write.mode(mode).option("header", "true").csv(path)
+    one = hist.repartition(1).sortWithinPartitions(*order)
+    one.write.mode(mode).option("header", "true").csv(path)
