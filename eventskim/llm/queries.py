@@ -7,16 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
+from .bpe import op2_bpe
 from .common import table
 from .mixing import op4_mixing
+from .quality import op5_quality
 from .sharding import op3_sharding
 from .warc import op9_warc
 
 
-def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+#: Vocabulary of op2; every executor opens the file at this path.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def _over(names: str, operator: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query that applies ``operator`` to whole tables."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
-        return operator(table(spark, sf_dir, name))
+        return operator(*(table(spark, sf_dir, name) for name in names.split()))
 
     query.__doc__ = operator.__doc__
     return query
@@ -24,8 +38,10 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Callable[[Sp
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bpe": _over("documents", lambda docs: op2_bpe(docs, vocabulary())),
         "op3_sharding": _over("documents", op3_sharding),
         "op4_mixing": _over("documents", op4_mixing),
+        "op5_quality": _over("documents labels", op5_quality),
         "op9_warc": _over("pages", op9_warc),
     }
 
