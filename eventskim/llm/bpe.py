@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import KEPT, Recent, slices, utf8
 
 # Ranges that the tokenizer's Unicode tables (16.0) leave unassigned and
 # newer ones do not.
@@ -46,7 +46,6 @@ PIECE = regex.compile(
 #: The same for text whose letters are all of Latin alphabets, where it is quicker.
 _LATIN = re.compile(r"[\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\u01ff]*")
 _LATIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-KEPT = 200_000  # entries of a cache generation
 BATCH_BYTES = 2 << 20
 
 
@@ -59,23 +58,6 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-class _Recent(dict):
-    """``make(key)`` for every key; two generations of bounded size are remembered."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.older = make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        if len(self) >= KEPT:
-            self.older = dict(self)
-            self.clear()
-        self[key] = found
-        return found
-
-
 def pieces(text: str) -> list[str]:
     return (_LATIN_PIECE if _LATIN.fullmatch(text) else PIECE).findall(text)
 
@@ -122,8 +104,8 @@ class Bpe:
         self.added = added
         self.split_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.known: dict[tuple[int, int], bool] = {}
-        self.piece = _Recent(self._encode_piece)
-        self.after_space = _Recent(self._encode_after_space)
+        self.piece = Recent(self._encode_piece)
+        self.after_space = Recent(self._encode_after_space)
 
     def goes_with(self, left: int, right: int, before: float = float("inf")) -> bool:
         """Whether no merge across the border would have come before those that made the two.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,6 +40,26 @@ def uniform(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
 
 
+KEPT = 200_000  # entries of a cache generation
+
+
+class Recent(dict):
+    """``make(key)`` for every key; two generations of bounded size are remembered."""
+
+    def __init__(self, make: Callable):
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all values of a string column on end, and the n + 1 offsets; NULL is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,11 +25,20 @@ class Sample:
     weights: tuple[float, float]
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int = 0) -> Sample:
-    """Up to ``per_class`` documents of each label, in an order drawn by their ids.
+def sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    per_class: tuple[int, int],
+    through: Callable[[DataFrame], DataFrame] = lambda df: df,
+    seed: int = 0,
+) -> Sample:
+    """Up to ``per_class`` documents of label 0 and of label 1, in an order drawn by their ids.
+
+    ``through`` is applied to the sampled rows (doc_id, text, label) before they are collected.
 
     Held-out rows, rows whose label is neither 0 nor 1, ids with both labels and texts
-    of over ``LONGEST`` bytes take no part. At most ``2 * per_class`` rows reach the driver.
+    of over ``LONGEST`` bytes take no part. At most ``sum(per_class)`` rows reach the driver.
     """
     known = (
         labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
@@ -37,15 +47,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed:
         .filter("label = other")
     )
     ids = [
-        known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class)
+        known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(per_class[k])
         for k in (0, 1)
     ]
     count = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    # Two lists of at most per_class ids.
+    # Two lists of bounded length.
     chosen = F.broadcast(ids[0].union(ids[1]).select(F.col("doc_id").alias("__id"), "label"))
     short = F.octet_length("text") <= LONGEST
     rows = (
-        docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).filter(short)
+        through(docs.join(chosen, F.col("doc_id") == F.col("__id")).filter(short).select("doc_id", "text", "label"))
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
         .collect()
     )

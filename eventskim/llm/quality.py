@@ -79,7 +79,7 @@ class CompressionModel:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> CompressionModel:
     """Fit on at most ``per_class`` rows of each label; half train dictionaries, half calibrate."""
-    rows = sample(docs, labels, label, per_class)
+    rows = sample(docs, labels, label, (per_class, per_class))
     y = rows.labels
     texts = [t.encode() for t in rows.texts]
     half = np.zeros(len(y), bool)

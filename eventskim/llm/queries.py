@@ -12,6 +12,7 @@ from .common import table
 from .mixing import op4_mixing
 from .quality import op5_quality
 from .sharding import op3_sharding
+from .toxicity import op1_toxicity
 from .warc import op9_warc
 
 
@@ -38,6 +39,7 @@ def _over(names: str, operator: Callable[..., DataFrame]) -> Callable[[SparkSess
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": _over("documents labels", op1_toxicity),
         "op2_bpe": _over("documents", lambda docs: op2_bpe(docs, vocabulary())),
         "op3_sharding": _over("documents", op3_sharding),
         "op4_mixing": _over("documents", op4_mixing),
