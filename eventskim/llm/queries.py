@@ -12,6 +12,7 @@ from .common import table
 from .mixing import op4_mixing
 from .quality import op5_quality
 from .sharding import op3_sharding
+from .simhash import op10_simhash
 from .toxicity import op1_toxicity
 from .warc import op9_warc
 
@@ -45,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": _over("documents", op4_mixing),
         "op5_quality": _over("documents labels", op5_quality),
         "op9_warc": _over("pages", op9_warc),
+        "op10_simhash": _over("documents", op10_simhash),
     }
 
 

@@ -35,8 +35,8 @@ LOOKALIKES = {
     "а": "a", "е": "e", "і": "i", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x",
 }
 # Costs of changes, in nats.
-SUBSTITUTED, DROPPED_SIGN, KEPT_SIGN, JOINED, PARTED = 0.5, 2.0, 4.0, 0.3, 3.0
-DOUBLE_TO_ONE, MANY_TO_ONE, MANY_TO_TWO = 2.5, 0.5, 1.0
+SUBSTITUTED, DROPPED_SIGN, DROPPED_RUN, KEPT_SIGN, JOINED, PARTED = 0.5, 12.0, 1.0, 12.0, 0.3, 2.0
+DOUBLE_TO_ONE, MANY_TO_ONE, MANY_TO_TWO = 4.0, 0.5, 1.0
 PER_CLASS = (6000, 4000)  # most labelled rows of label 0 and 1 that a fit looks at
 MOST_WORDS = 50_000  # most words that carry a weight
 TRIM = ".,;:?\"'`)]}>%&#*!-_("
@@ -94,7 +94,8 @@ def lattice(token: str) -> list[list[tuple[tuple[int, ...], float]]]:
         elif sign == " ":
             out.append([((), JOINED), ((0,), PARTED)])
         else:
-            ways = [((), DROPPED_SIGN if sign in LOOKALIKES else JOINED)]
+            dropped = DROPPED_RUN if times > 2 else DROPPED_SIGN
+            ways = [((), dropped if sign in LOOKALIKES else JOINED)]
             for letter in LOOKALIKES.get(sign, ""):
                 s = NUMBER[letter]
                 ways.append(((s,), SUBSTITUTED))
@@ -141,6 +142,7 @@ class Restorer:
         return "".join(reversed(out)).strip()
 
     def _restore(self, token: str) -> str:
+        token = token.rstrip(" !|") or token  # such signs after a word are marks
         core = token.strip(TRIM) if not token[0] in LOOKALIKES and not token[-1] in LOOKALIKES else token
         if core.isalpha():
             if not any(a == b for a, b in zip(core, core[1:])) and not any(c in LOOKALIKES for c in core):
