@@ -108,3 +108,37 @@ def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
         out.append((first, last))
         first = last
     return out
+
+
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_up_to(n: int) -> list[np.ndarray]:
+    while len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            known = _powers[k]
+            _powers[k] = np.concatenate([known, known * np.uint64(pow(base, len(known), 1 << 64))])
+    return _powers
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash and document number of every word, from about ``most`` bytes at a time."""
+    hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for first, stop in slices(offsets, most):
+        part = data[offsets[first] : offsets[stop]]
+        starts, ends, doc = word_bounds(part, offsets[first : stop + 1] - offsets[first])
+        power, inverse = _powers_up_to(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        hashes.append(mixed((sums[ends] - sums[starts]) * inverse[starts]))
+        docs.append(doc + first)
+    return np.concatenate(hashes), np.concatenate(docs)

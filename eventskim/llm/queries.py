@@ -11,6 +11,7 @@ from .bpe import op2_bpe
 from .common import table
 from .mixing import op4_mixing
 from .quality import op5_quality
+from .repeats import op8_repeats
 from .sharding import op3_sharding
 from .simhash import op10_simhash
 from .toxicity import op1_toxicity
@@ -45,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": _over("documents", op3_sharding),
         "op4_mixing": _over("documents", op4_mixing),
         "op5_quality": _over("documents labels", op5_quality),
+        "op8_repeats": _over("documents", op8_repeats),
         "op9_warc": _over("pages", op9_warc),
         "op10_simhash": _over("documents", op10_simhash),
     }
