@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship_package
+from .ann import op7_ann
 from .bpe import op2_bpe
 from .common import table
+from .knn_join import op6_topk
 from .mixing import op4_mixing
 from .quality import op5_quality
 from .repeats import op8_repeats
@@ -46,6 +48,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": _over("documents", op3_sharding),
         "op4_mixing": _over("documents", op4_mixing),
         "op5_quality": _over("documents labels", op5_quality),
+        "op6_topk": _over("embeddings", op6_topk),
+        "op7_ann": _over("embeddings", op7_ann),
         "op8_repeats": _over("documents", op8_repeats),
         "op9_warc": _over("pages", op9_warc),
         "op10_simhash": _over("documents", op10_simhash),
@@ -54,6 +58,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_topk": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            ), s AS (
+                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+                FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+            ), r AS (
+                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+            )
+            SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+        """,
         # Revisit resolution is a window over equal payloads; the archives are written and read by the query.
         "op9_warc": """
             WITH p AS (
