@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from .common import fixed
 from .vectors import every, lifted, packed_vectors, ranked, unpacked, usual
 
-LINES = 96
-CERTAINTY = 0.97  # for a vector as near as the k-th found to have been verified
-GROWTH = 1.25  # of a window's width in a step
+LINES = 48
+CERTAINTY = 0.95  # for a vector as near as the k-th found to have been verified
+GROWTH = 1.5  # of a window's width in a step
 SLICE_ROWS = 8192
 BLOCK_QUERIES = 1024
 SEED = 20
@@ -52,48 +52,63 @@ class CollisionIndex:
         rng = np.random.default_rng(SEED)
         self.lines = rng.standard_normal((vectors.shape[1] + 1, lines))
         projected = (lifted(self.vectors, most) @ self.lines).T
-        self.places = np.argsort(projected, axis=1, kind="stable").astype(np.int32)
+        self.places = np.argsort(projected, axis=1, kind="stable")
         self.sorted = np.take_along_axis(projected, self.places, axis=1)
         self.needed, self.unit = collision_rule(lines, CERTAINTY)
 
-    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and inner products of the query's ``k`` nearest found, best first."""
-        n, lines = len(self.ids), self.sorted.shape[0]
-        centre = query @ self.lines[:-1]  # a query is not lifted
-        square = float(query @ query) + self.most
-        middle = [int(a.searchsorted(c)) for a, c in zip(self.sorted, centre, strict=True)]
-        low, high = list(middle), list(middle)
-        counts = np.zeros(n, np.int32)
-        found, scores, seen = np.zeros(0, np.int64), np.zeros(0), np.zeros(n, bool)
-        seen[self.ids == own] = True
-        left = n - int(seen.sum())
-        # The first width is a guess; it has no effect on what the last one covers.
-        half = self.unit * math.sqrt(square) * 0.25
-        while True:
-            added = []
-            for j in range(lines):
-                a, b = int(self.sorted[j].searchsorted(centre[j] - half)), int(self.sorted[j].searchsorted(centre[j] + half, "right"))
-                added += [self.places[j, a : low[j]], self.places[j, high[j] : b]]
-                low[j], high[j] = min(a, low[j]), max(b, high[j])
-            counts += np.bincount(np.concatenate(added), minlength=n).astype(np.int32)
-            new = np.flatnonzero((counts >= self.needed) & ~seen)
-            seen[new] = True
-            if len(new):
-                found = np.concatenate([found, new])
-                scores = np.concatenate([scores, self.vectors[new] @ query])
-                best = np.lexsort((found, -scores))[:k]
-                found, scores, left = found[best], scores[best], left - len(new)
-            if not left:
-                break
-            if len(found) == k:
-                distance = math.sqrt(max(0.0, square - 2 * scores[-1]))
-                if half >= self.unit * distance:
-                    break
-                # No wider than that distance asks for.
-                half = min(half * GROWTH, self.unit * distance)
-            else:
-                half *= GROWTH
-        return found, scores
+    def _guess(self, queries: np.ndarray, k: int) -> np.ndarray:
+        """Where the k-th largest product may lie, from some of the vectors."""
+        some = self.vectors[:: -(-len(self.ids) // 256)] @ queries.T
+        tail = NormalDist().inv_cdf(max(0.5, 1 - (k + 1) / (len(self.ids) + 2)))
+        return some.mean(axis=0) + tail * some.std(axis=0)
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """Places of each query's ``k`` nearest found, best first."""
+        n, lines = self.sorted.shape[1], len(self.sorted)
+        centre = queries @ self.lines[:-1]  # queries are not lifted
+        square = np.einsum("ij,ij->i", queries, queries) + self.most
+        # The first width is a guess; it has no effect on what the last one must cover.
+        half = self.unit * np.sqrt(np.maximum(0.0, square - 2 * self._guess(queries, k))) + 1e-12
+        found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(queries)
+        scores: list[np.ndarray] = [np.zeros(0)] * len(queries)
+        state: list[tuple | None] = [None] * len(queries)
+        active = np.arange(len(queries))
+        while len(active):
+            low = np.array([a.searchsorted(c - half[active]) for a, c in zip(self.sorted, centre[active].T, strict=True)])
+            high = np.array([a.searchsorted(c + half[active], "right") for a, c in zip(self.sorted, centre[active].T, strict=True)])
+            again = []
+            for i, a, b in zip(active, low.T.tolist(), high.T.tolist(), strict=True):
+                if state[i] is None:
+                    parts = [self.places[j, a[j] : b[j]] for j in range(lines)]
+                    counts, seen = np.zeros(n, np.int64), self.ids == own[i]
+                else:  # what the wider windows add
+                    counts, seen, c, d = state[i]
+                    parts = [self.places[j, a[j] : c[j]] for j in range(lines)]
+                    parts += [self.places[j, d[j] : b[j]] for j in range(lines)]
+                counts += np.bincount(np.concatenate(parts), minlength=n)
+                new = np.flatnonzero((counts >= self.needed) & ~seen)
+                seen[new] = True
+                if len(new):
+                    place = np.concatenate([found[i], new])
+                    score = np.concatenate([scores[i], self.vectors[new] @ queries[i]])
+                    if len(place) > k:
+                        kept = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+                        place, score = place[kept], score[kept]
+                    best = np.lexsort((place, -score))[:k]
+                    found[i], scores[i] = place[best], score[best]
+                if seen.all():
+                    continue
+                if len(found[i]) == k:
+                    distance = self.unit * math.sqrt(max(0.0, square[i] - 2 * scores[i][-1]))
+                    if half[i] >= distance:
+                        continue
+                    half[i] = distance  # no wider than the k-th found asks for
+                else:
+                    half[i] *= GROWTH
+                state[i] = (counts, seen, a, b)
+                again.append(i)
+            active = np.array(again, np.int64)
+        return found
 
 
 def _solve(dim: int, most: float, k: int):
@@ -101,8 +116,8 @@ def _solve(dim: int, most: float, k: int):
         out: list[list[np.ndarray]] = [[], [], []]
         if queries.num_rows and data.num_rows:
             index = CollisionIndex(data["vec_id"].to_numpy(), unpacked(data["vector"], dim), most)
-            for own, query in zip(queries["vec_id"].to_numpy(), unpacked(queries["vector"], dim), strict=True):
-                found, _ = index.search(own, query, k)
+            asked, q = queries["vec_id"].to_numpy(), unpacked(queries["vector"], dim)
+            for own, query, found in zip(asked, q, index.search(asked, q, k), strict=True):
                 out[0].append(np.full(len(found), own))
                 out[1].append(index.ids[found])
                 # One fixed order of adding, whatever else was verified along with a vector.
