@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Callable, Iterator
 from functools import cache
 
 import ahocorasick
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, Recent, slices, utf8
+from .common import KEPT, Recent, mapped
 
 # Ranges that the tokenizer's Unicode tables (16.0) leave unassigned and
 # newer ones do not.
@@ -46,7 +45,6 @@ PIECE = regex.compile(
 #: The same for text whose letters are all of Latin alphabets, where it is quicker.
 _LATIN = re.compile(r"[\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\u01ff]*")
 _LATIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
-BATCH_BYTES = 2 << 20
 
 
 def byte_letters() -> list[str]:
@@ -192,29 +190,6 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def _map(df: DataFrame, columns: dict[str, str], step: Callable[[pa.RecordBatch], list], by: str) -> DataFrame:
-    """``df`` with ``columns`` (name to type) made by ``step`` from runs of rows of bounded text."""
-    kept = [c for c in df.columns if c not in columns]
-    narrow = df.select(*kept)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema), *(f"`{c}` {t}" for c, t in columns.items())])
-    source = df.select(*kept, F.col(by).alias("__in"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = batch.column(batch.num_columns - 1)
-            if pa.types.is_string(values.type) or pa.types.is_large_string(values.type):
-                _, offsets = utf8(values)
-            else:
-                lengths = [len(v.as_py() or b"") for v in values]
-                offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-            for first, stop in slices(offsets, BATCH_BYTES):
-                part = batch.slice(first, stop - first)
-                made = step(part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*kept, *columns])
-
-    return source.mapInArrow(run, schema)
-
-
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with ``ids``: the text's ids as packed little-endian 32-bit integers.
 
@@ -222,23 +197,37 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     A column ``ids`` of the input is replaced. ``path`` names a vocabulary file that
     every executor can open.
     """
-    return _map(df, {ids: "binary"}, lambda t: [pa.array([load(path).encode(v or "") for v in t.to_pylist()], pa.binary())], text)
+    
+    def start():
+        bpe = load(path)
+        return lambda texts: [pa.array([bpe.encode(t or "") for t in texts], pa.binary())]
+
+    return mapped(df, text, {ids: "binary"}, start)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with ``text``: what packed ``ids`` stand for, special tokens included; NULL is empty."""
-    return _map(df, {text: "string"}, lambda t: [pa.array([load(path).decode(v or b"") for v in t.to_pylist()], pa.string())], ids)
+    
+    def start():
+        bpe = load(path)
+        return lambda packed: [pa.array([bpe.decode(p or b"") for p in packed], pa.string())]
+
+    return mapped(df, ids, {text: "string"}, start)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """:func:`encode` and :func:`decode` in one pass."""
 
-    def step(values: pa.Array) -> list:
+    def start():
         bpe = load(path)
-        packed = [bpe.encode(v or "") for v in values.to_pylist()]
-        return [pa.array(packed, pa.binary()), pa.array(map(bpe.decode, packed), pa.string())]
 
-    return _map(df, {ids: "binary", decoded: "string"}, step, text)
+        def both(texts: list[str | None]) -> list[pa.Array]:
+            packed = [bpe.encode(t or "") for t in texts]
+            return [pa.array(packed, pa.binary()), pa.array(map(bpe.decode, packed), pa.string())]
+
+        return both
+
+    return mapped(df, text, {ids: "binary", decoded: "string"}, start)
 
 
 def op2_bpe(docs: DataFrame, path: str) -> DataFrame:

@@ -110,6 +110,39 @@ def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     return out
 
 
+BATCH_BYTES = 2 << 20
+
+
+def _sizes(column: pa.Array) -> np.ndarray:
+    """Offsets of a string or binary column's values."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        return utf8(column)[1]
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
+    return np.concatenate([[0], np.cumsum(lengths)])
+
+
+def mapped(df: DataFrame, by: str, made: dict[str, str], start: Callable[[], Callable[[list], list[pa.Array]]]) -> DataFrame:
+    """``df`` with columns ``made`` (name to type) from its column ``by``; such columns are replaced.
+
+    ``start()`` is called once a task and gives a function of a list of values, some
+    of them None, that returns the new columns. It gets about ``BATCH_BYTES`` at a time.
+    """
+    kept = [c for c in df.columns if c not in made]
+    source = df.select(*kept) if by in kept else df.select(*kept, by)
+    at = source.columns.index(by)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in kept]
+
+    def run(batches):
+        of = start()
+        for batch in batches:
+            for first, stop in slices(_sizes(batch.column(at)), BATCH_BYTES):
+                part = batch.slice(first, stop - first)
+                columns = [*part.columns[: len(kept)], *of(part.column(at).to_pylist())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *made])
+
+    return source.mapInArrow(run, ", ".join([*fields, *(f"`{c}` {t}" for c, t in made.items())]))
+
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]

@@ -165,6 +165,10 @@ def pivotal_copies(rows: DataFrame, targets: DataFrame, seed: int = 0, chunk: in
     return every.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
     """Per document: doc_id, source, size in words, source_size, target and copies.
 
@@ -175,7 +179,7 @@ def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
         docs.select(
             F.col("doc_id").alias("key"),
             "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+            word_count(F.col("text")).alias("size"),
         )
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))

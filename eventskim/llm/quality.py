@@ -8,7 +8,6 @@ probability by logistic regression on rows the dictionaries have not seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
 from .labelled import fit_logistic, held_out, probability, sample
 
 PER_CLASS = 2500  # most labelled rows of each class that a fit looks at
@@ -99,18 +99,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
 
 def score(df: DataFrame, model: CompressionModel, text: str = "text", into: str = "score") -> DataFrame:
     """``df`` with the probability ``into`` of label 1; NULL is scored as empty text."""
-    kept = [c for c in df.columns if c != into]
-    narrow = df.select(*kept)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema), f"`{into}` double"])
-    source = df.select(*kept, F.col(text).alias("__in"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         compressors = model.compressors() if model.coefficients is not None else []
-        for batch in batches:
-            made = pa.array(model.scores(compressors, batch.column(batch.num_columns - 1).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*kept, into])
+        return lambda texts: [pa.array(model.scores(compressors, texts), pa.float64())]
 
-    return source.mapInArrow(run, schema)
+    return mapped(df, text, {into: "double"}, start)
 
 
 def op5_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

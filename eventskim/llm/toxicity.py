@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, slices, utf8
+from .common import Recent, mapped, slices, utf8
 from .labelled import fit_logistic, held_out, probability, sample
 
 #: Letters of the model in order; symbol 0 is a word's border, the last any other letter.
@@ -171,28 +171,14 @@ class Restorer:
         return list(map(self.cache.__getitem__, out))
 
 
-def _batched(df: DataFrame, by: str, into: str, kind: str, make) -> DataFrame:
-    """``df`` with column ``into`` of ``make()``'s function of a list of texts."""
-    kept = [c for c in df.columns if c != into]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), f"`{into}` {kind}"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = make()
-        for batch in batches:
-            made = pa.array(of(batch.column(batch.num_columns - 1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*kept, into])
-
-    return df.select(*kept, F.col(by).alias("__in")).mapInArrow(run, schema)
-
-
 def restore(df: DataFrame, model: np.ndarray, text: str = "text", into: str = "restored") -> DataFrame:
     """``df`` with the restored words of ``text``, joined by spaces; NULL is empty text."""
 
-    def make():
+    def start():
         restorer = Restorer(model)
-        return lambda texts: [" ".join(restorer.words(t)) for t in texts]
+        return lambda texts: [pa.array([" ".join(restorer.words(t)) for t in texts], pa.string())]
 
-    return _batched(df, text, into, "string", make)
+    return mapped(df, text, {into: "string"}, start)
 
 
 def word_features(word: str) -> list[str]:
@@ -273,11 +259,11 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "tox
 def score(df: DataFrame, model: np.ndarray, toxicity: ToxicityModel, text: str = "text", into: str = "score") -> DataFrame:
     """``df`` with the probability ``into`` of label 1 of the restored text; NULL is empty text."""
 
-    def make():
+    def start():
         restorer, of = Restorer(model), Recent(toxicity.weight)
-        return lambda texts: toxicity.scores(of, [restorer.words(t) for t in texts])
+        return lambda texts: [pa.array(toxicity.scores(of, [restorer.words(t) for t in texts]), pa.float64())]
 
-    return _batched(df, text, into, "double", make)
+    return mapped(df, text, {into: "double"}, start)
 
 
 def op1_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
