@@ -85,11 +85,12 @@ class Chunk:
         return at, mixed(one), two, (rank[self.doc[at]] << 40) | self.start[at]
 
 
-def _ranges(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """First hash of each non-empty range of sorted ``hashes``, and the ranges' numbers."""
+def _ranges(hashes: np.ndarray, ranges: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Spans of the non-empty ranges of sorted ``hashes``, and the ranges' numbers."""
     of = ((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
     begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-    return begins, of[begins].astype(np.int32)
+    edges = [*begins.tolist(), len(of)]
+    return list(zip(edges[:-1], edges[1:], strict=True)), of[begins].astype(np.int32)
 
 
 def _unique(hashes: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -123,9 +124,8 @@ def _probe_rows(window: int, ranges: int):
         chunk = table["__chunk"][0].as_py()
         _, hashes, blocks = Chunk.of(table).probes(n)
         distinct, _, twice, block = _unique(hashes, blocks)
-        begins, numbers = _ranges(distinct, ranges)
+        spans, numbers = _ranges(distinct, ranges)
         low = distinct.astype(np.uint32)
-        spans = list(zip(begins, np.append(begins[1:], len(distinct)), strict=True))
         return pa.table(
             {
                 "range": pa.array(numbers, pa.int32()),
@@ -168,11 +168,10 @@ def _match_blocks(table: pa.Table) -> pa.Table:
 def _marked(answers: list[tuple[int, bytes]], distinct: np.ndarray, ranges: int) -> np.ndarray:
     """The flags that came back for a chunk's sorted distinct hashes."""
     out = np.zeros(len(distinct), bool)
-    begins, numbers = _ranges(distinct, ranges)
-    ends = np.append(begins[1:], len(distinct))
-    place = {int(r): k for k, r in enumerate(numbers)}
+    spans, numbers = _ranges(distinct, ranges)
+    place = dict(zip(numbers.tolist(), spans, strict=True))
     for number, bits in answers:
-        a, b = begins[place[number]], ends[place[number]]
+        a, b = place[number]
         out[a:b] = _unpacked(bits, b - a)
     return out
 
@@ -210,8 +209,7 @@ def _window_rows(window: int, ranges: int):
         if table.num_rows and answers.num_rows:
             number = table["__chunk"][0].as_py()
             _, _, one, two, ids, _ = _extended(Chunk.of(table), answers, window, ranges)
-            begins, numbers = _ranges(one, ranges)
-            spans = list(zip(begins, np.append(begins[1:], len(one)), strict=True))
+            spans, numbers = _ranges(one, ranges)
         return pa.table(
             {
                 "range": pa.array(numbers, pa.int32()),

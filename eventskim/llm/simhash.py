@@ -83,7 +83,7 @@ def _hamming() -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(threshold: int) -> list[tuple[int, int]]:
     """Shift and width of blocks, one of which holds at most one of ``threshold`` differing bits."""
-    n = threshold // 2 + 1
+    n = max(3, threshold // 2 + 1)  # an anchor fits in 32 bits
     edges = [BITS * k // n for k in range(n + 1)]
     out = [(a, b - a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     if not 0 <= threshold or min(w for _, w in out) < CODE_BITS:

@@ -1,0 +1,99 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from eventskim.llm.labelled import fit_logistic, probability, sample
+from eventskim.llm.quality import op5_quality
+from eventskim.llm.toxicity import LETTERS, OTHER, SYMBOLS, Restorer, character_model, lattice, op1_toxicity, restore
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+@pytest.mark.parametrize(("operator", "label", "threshold"), [(op5_quality, "quality", 0.3), (op1_toxicity, "toxic", 0.5)])
+def test_held_out_accuracy(small, operator, label, threshold):
+    out = operator(small("documents"), small("labels")).collect()
+    truth = {r.doc_id: r[label] for r in small("labels").collect()}
+    assert len(out) == small("documents").count()
+    for r in out:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= threshold)
+    held = [r for r in out if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.93
+
+
+@pytest.mark.parametrize("operator", [op5_quality, op1_toxicity])
+def test_odd_rows(spark, odd_docs, odd_rows, no_docs, operator):
+    labels = [(r[0], i % 2, i % 2) for i, r in enumerate(odd_rows)] + [(None, 1, 1), (1, None, None), (2, 7, 7), (999, 1, 0)]
+    for given in (spark.createDataFrame(labels, LABELS), spark.createDataFrame([], LABELS)):
+        out = operator(odd_docs, given).collect()
+        assert len(out) == len(odd_rows) and all(0 <= r.score <= 1 for r in out)
+        by_id = {r.doc_id: r.score for r in out}
+        assert by_id[300] == by_id[301]  # NULL is empty text
+    one_class = spark.createDataFrame([(r[0], 1, 1) for r in odd_rows], LABELS)
+    assert {r.predicted for r in operator(odd_docs, one_class).collect()} == {1}
+    assert operator(no_docs, spark.createDataFrame(labels, LABELS)).collect() == []
+
+
+def test_held_out_and_conflicting_labels_take_no_part(spark, odd_docs):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(3, 0, 1), (None, 1, 1)], LABELS)
+    chosen = sample(odd_docs, labels, "quality", (50, 20))
+    assert len(chosen.texts) == 20 and set(chosen.labels) == {1.0}
+    fit = {i for i in range(60) if i != 3 and zlib.crc32(str(i).encode()) % 5}
+    assert chosen.weights[1] == pytest.approx(len(fit) / 20)
+    texts = {r.text for r in odd_docs.collect() if r.doc_id in fit}
+    assert set(chosen.texts) <= texts
+
+
+def test_logistic():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(4000, 2))
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(2 * x[:, 0] - x[:, 1] + 0.5)))).astype(float)
+    assert fit_logistic(x, y, (1, 1)) == pytest.approx([2, -1, 0.5], abs=0.2)
+    assert probability(x, fit_logistic(x, y, (1, 1))).mean() == pytest.approx(y.mean(), abs=0.01)
+
+
+@pytest.fixture(scope="module")
+def model(small):
+    return character_model(small("documents").unionAll(small("documents")))
+
+
+def test_character_model(model):
+    p = np.exp(model.reshape(SYMBOLS, SYMBOLS, SYMBOLS))
+    assert np.allclose(p.sum(axis=2), 1, atol=1e-3)
+    t, h, q = (LETTERS.index(c) + 1 for c in "thq")
+    assert p[0, t, h] > 20 * p[0, t, q] and OTHER == SYMBOLS - 1
+
+
+def paths(token):
+    """Every reading of a lattice with its cost."""
+    found = [((), 0.0)]
+    for ways in lattice(token):
+        found = [(p + s, c + cost) for p, c in found for s, cost in ways]
+    return found
+
+
+@pytest.mark.parametrize("token", ["1d10t", "stuuupid", "l0s3r", "a b", "t.h.e", "xx77", "$$a"])
+def test_decoding_is_the_best_path(model, token):
+    def worth(path, cost):
+        score, a, b = -cost, 0, 0
+        for c in (*path, 0):
+            score += model[(a * SYMBOLS + b) * SYMBOLS + c]
+            a, b = b, c
+        return score
+
+    best = max(paths(token), key=lambda found: worth(*found))
+    text = "".join(" " if c == 0 else LETTERS[c - 1] if c < OTHER else "?" for c in best[0])
+    assert Restorer(model).decode(token) == text.strip()
+
+
+def test_restored_words(model):
+    words = Restorer(model).words
+    assert words("an m0r0n, l0s3r and stuuupid i d i o t now") == ["an", "moron", "loser", "and", "stupid", "idiot", "now"]
+    assert words("555-8087 10.0.0.1 ###") == ["555-8087", "10.0.0.1", "###"]
+    assert words(None) == words(" \n") == []
+
+
+def test_restore_keeps_columns(odd_docs, model):
+    out = restore(odd_docs, model)
+    assert out.columns == [*odd_docs.columns, "restored"] and out.count() == odd_docs.count()
