@@ -1,4 +1,8 @@
-"""Batch entry: ``spark-submit eventskim/job.py --data DIR --out DIR``."""
+"""Batch entry: ``spark-submit eventskim/job.py --data DIR [DIR ...] --out DIR``.
+
+``merge`` takes the folders of several samples and ``copy`` the folder of one group;
+the other analyses take the folder of a sample.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventskim.operators import check_aligned
+from eventskim.operators import check_aligned, count_rows, sum_weights
 from eventskim.plans import pipelines as p
 from eventskim.schema import group_schema
 from eventskim.session import build_session, size_shuffle
-from eventskim.sources import read_colgroup, read_group, write_histogram
+from eventskim.sources import copy_format, merge_sample, read_colgroup, read_group, sum_groups, write_histogram
 
 
 class Groups:
@@ -24,6 +28,9 @@ class Groups:
     def load(self, group: str) -> DataFrame:
         return read_group(self.spark, self.root, group)
 
+    def sums(self) -> DataFrame:
+        return sum_groups(self.spark, self.root)
+
     def vjets(self) -> DataFrame:
         vjet, extra = (
             read_group(self.spark, self.root, g, stamped=True)
@@ -50,6 +57,9 @@ class ColumnArrays(Groups):
     def load(self, group: str) -> DataFrame:
         return self._read(group)
 
+    def sums(self) -> DataFrame:
+        raise ValueError("sums of all groups are taken from Parquet")
+
     def vjets(self) -> DataFrame:
         return p.select_paired_vjets(self._read("CA15Puppi", "AddCA15Puppi"))
 
@@ -66,22 +76,34 @@ ANALYSES: dict[str, Callable[[Groups], DataFrame]] = {
     "taus": lambda g: p.leading_taus(g.load("Tau")),
     "photons": lambda g: p.leading_photons(g.load("Photon"), g.load("Info")),
     "jets": lambda g: p.jets(g.load("AK4Puppi"), g.load("Info"), g.vjets()),
+    "weights": lambda g: sum_weights(g.load("GenEvtInfo")),
+    "events": lambda g: count_rows(g.load("GenEvtInfo"), "n_events"),
+    "sums": lambda g: g.sums(),
 }
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     args = argparse.ArgumentParser(description=__doc__)
-    args.add_argument("--data", required=True, help="folder with one folder per group")
+    args.add_argument("--data", required=True, nargs="+", help="folder with one folder per group")
     args.add_argument("--out", required=True, help="folder to create for the result")
-    args.add_argument("--analysis", choices=ANALYSES, default="histograms")
+    args.add_argument("--analysis", choices=[*ANALYSES, "merge", "copy"], default="histograms")
     args.add_argument("--source", choices=("parquet", "colgroup"), default="parquet")
     args.add_argument("--slices-per-file", type=int, help="for colgroup")
     opt = args.parse_args(argv)
     spark = build_session("eventskim")
+    if opt.analysis == "merge":
+        merge_sample(spark, opt.data, opt.out)
+        return
+    if len(opt.data) > 1:
+        args.error("only a merge takes several folders")
+    [data] = opt.data
+    if opt.analysis == "copy":
+        copy_format(spark, data, opt.out)
+        return
     if opt.source == "parquet":
-        groups = Groups(spark, opt.data)
+        groups = Groups(spark, data)
     else:
-        groups = ColumnArrays(spark, opt.data, opt.slices_per_file)
+        groups = ColumnArrays(spark, data, opt.slices_per_file)
     result = ANALYSES[opt.analysis](groups)
     size_shuffle(result)
     if opt.analysis == "histograms":

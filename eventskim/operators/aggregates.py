@@ -28,13 +28,27 @@ def value_range(df: DataFrame, column: str) -> DataFrame:
 def column_sums(df: DataFrame, group: str, decimals: int | None = None) -> DataFrame:
     """Sum of every numeric column, one row each: (group, dataset, total).
 
-    All sums come from one pass. With ``decimals`` they are added as fixed-point
-    numbers, so the total does not depend on the order the tasks finish in.
+    All sums come from one pass. Integers are added exactly. With ``decimals`` so are
+    the other columns, as fixed-point numbers, and a value that has more digits is an
+    error; without, their last digits depend on the order the tasks finish in.
     """
-    names = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-    kind = "double" if decimals is None else f"decimal(28, {decimals})"
-    sums = df.agg(*[F.sum(F.col(n).cast(kind)).cast("double").alias(n) for n in names])
-    long = sums.unpivot([], names, "dataset", "total")
+    fields = [f for f in df.schema if isinstance(f.dataType, T.NumericType)]
+
+    def term(f: T.StructField) -> Column:
+        value = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.IntegralType):
+            return value.cast("decimal(20, 0)")
+        if decimals is None:
+            return value.cast("double")
+        fixed = value.cast(f"decimal(28, {decimals})")
+        more = F.raise_error(F.lit(f"{f.name} has more than {decimals} decimals")).cast(fixed_type)
+        # Beyond the last bits in which a quotient and its decimal differ.
+        same = F.abs(fixed.cast("double") - value) <= F.abs(value) * 1e-12
+        return F.when(value.isNull() | same, fixed).otherwise(more)
+
+    fixed_type = f"decimal(28, {decimals or 0})"
+    sums = df.agg(*[F.sum(term(f)).cast("double").alias(f.name) for f in fields])
+    long = sums.unpivot([], [F.col(f"`{f.name}`") for f in fields], "dataset", "total")
     return long.select(F.lit(group).alias("group"), "dataset", "total")
 
 

@@ -71,14 +71,20 @@ def filter_muon_udf(df: DataFrame, id_bit: int = 1) -> DataFrame:
         neutral: pd.Series,
         gamma: pd.Series,
         pileup: pd.Series,
+        known: pd.Series,
         bits: pd.Series,
         pt: pd.Series,
     ) -> pd.Series:
-        isolation = charged + (neutral + gamma - MUON_PILEUP_WEIGHT * pileup).clip(lower=0)
+        corrected = (neutral + gamma - MUON_PILEUP_WEIGHT * pileup).clip(lower=0).where(known, 0.0)
+        isolation = charged + corrected
         return ((bits & id_bit) != 0) & (isolation < MUON_ISO_FRACTION * pt)
 
-    inputs = ("chHadIso", "neuHadIso", "gammaIso", "puIso", "pogIDBits", "pt")
-    where = passes(*[f"Muon_{c}" for c in inputs])
+    c = {n: F.col(f"Muon_{n}") for n in ("chHadIso", "neuHadIso", "gammaIso", "puIso", "pogIDBits", "pt")}
+    # A NULL neutral part is floored at zero, and NULL bits pass nothing, as in the native form.
+    known = c["neuHadIso"].isNotNull() & c["gammaIso"].isNotNull() & c["puIso"].isNotNull()
+    where = passes(
+        c["chHadIso"], c["neuHadIso"], c["gammaIso"], c["puIso"], known, F.coalesce(c["pogIDBits"], F.lit(0)), c["pt"]
+    )
     return _passing(_kinematic(df, "Muon"), "passfilter", where=where)
 
 
@@ -107,12 +113,17 @@ def filter_photon(df: DataFrame) -> DataFrame:
 
 
 def filter_electron(
-    df: DataFrame, veto_conversions: bool = False, subtract_pileup: bool = False
+    df: DataFrame,
+    veto_conversions: bool = False,
+    subtract_pileup: bool = False,
+    need_area: bool = False,
 ) -> DataFrame:
     """Electron selection on electrons joined to their event.
 
-    The two flags span the four known variants of the first selection: the
-    conversion veto, and subtracting ``rhoEffarea`` from the neutral isolation.
+    The first two flags span the four known variants of the first selection: the
+    conversion veto, and subtracting ``rhoEffarea`` from the neutral isolation. An
+    electron without an event has no such area, which subtracts nothing; with
+    ``need_area`` it fails, as it does where a function takes the area as a plain number.
     """
     area = effective_area(F.col("rhoIso"), F.col("Electron_eta"), ELECTRON_AREA)
     first, second = electron_cut_flow(
@@ -120,6 +131,8 @@ def filter_electron(
         veto_conversions=veto_conversions,
     )
     measured = _kinematic(df, "Electron").withColumn("rhoEffarea", area)
+    if need_area:
+        first = F.col("rhoEffarea").isNotNull() & first
     return _passing(measured, "passfilter1", "passfilter2", where=first & second)
 
 
@@ -160,11 +173,11 @@ def step_lookup_join(df: DataFrame, on: str, table: StepTable, out: str) -> Data
     """Add the table's value at column ``on`` by joining a table of bins.
 
     The bin number turns the range condition into an equality, so this is a hash
-    join. The bins are literals of the plan: Spark knows their exact size, and
-    broadcasts them only below its own threshold.
+    join. The bins are the literals of ``table``, some ten rows that no input can
+    make more of, and are sent to every task: as a shuffle key they would be hot.
     """
     check_table(table)
     rows = ", ".join(f"({i}, DOUBLE('{float(v)!r}'))" for i, v in enumerate(table.values))
     bins = df.sparkSession.sql(f"SELECT * FROM VALUES {rows} AS bins(_bin, `{out}`)")
     numbered = df.withColumn("_bin", bin_index(F.col(on), table.edges))
-    return numbered.join(bins, "_bin", "left").drop("_bin")
+    return numbered.join(F.broadcast(bins), "_bin", "left").drop("_bin")

@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 FILE, ROW = "_file", "_row"
 MISALIGNED_SHOWN = 5
-# Files or partitions whose row counts are sent to every task; about 200 bytes each.
-BROADCAST_ENTRIES = 250_000
+
+
+def _qualified(df: DataFrame, root: str) -> str:
+    """``root`` as the scan names it: absolute, on the default file system if it says no other."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _without_scheme(path: Column) -> Column:
+    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
 
 
 def stamp_rows(df: DataFrame, root: str | None = None) -> DataFrame:
     """Add the scan's own row id: file (``_file``) and position in it (``_row``).
 
     ``df`` must come straight from a Parquet read. The id does not depend on how
-    the scan was split, so a retried task gives the same one. ``_file`` is the
-    path below ``root``, for nested folders, or else the file name.
+    the scan was split, so a retried task gives the same one. ``_file`` is the path
+    below ``root``, with which files of two tables are told to be the same; without
+    it, the whole path. Files outside ``root`` are an error.
     """
-    if root is None:
-        file = F.col("_metadata.file_name")
-    else:
-        file = F.substring_index(F.col("_metadata.file_path"), root.rstrip("/") + "/", -1)
+    escaped = _without_scheme(F.col("_metadata.file_path"))
+    # The scan escapes its paths; a plus sign in one is no space.
+    file = F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+    if root is not None:
+        base = _without_scheme(F.lit(_qualified(df, root).rstrip("/")))
+        outside = F.raise_error(F.concat(F.lit("not below the root: "), file)).cast("string")
+        below = F.startswith(file, F.concat(base, F.lit("/")))
+        # A root that is itself the file has an empty rest.
+        file = F.when(below, F.substr(file, F.length(base) + 2)).when(file == base, "").otherwise(outside)
     return df.select("*", file.alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
@@ -61,14 +76,8 @@ def _prefix_sums(counts: DataFrame, order: str) -> DataFrame:
     return counts.select(order, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
 
 
-def _add_bases(rows: DataFrame, bases: DataFrame, key: str, entries: int, index: str) -> DataFrame:
-    """Number the rows from their group's base; ``entries`` is the number of bases.
-
-    Up to the limit the bases are sent to every task and no row moves. Beyond it
-    this is a plain join, and adaptive execution may split a large file's rows.
-    """
-    if entries <= BROADCAST_ENTRIES:
-        bases = F.broadcast(bases)
+def _add_bases(rows: DataFrame, bases: DataFrame, key: str, index: str) -> DataFrame:
+    """Number the rows from their group's base. How to join is left to the engine."""
     numbered = rows.join(bases, key).withColumn(index, F.col("_base") + F.col("_pos"))
     return numbered.drop(key, "_pos", "_base")
 
@@ -82,8 +91,7 @@ def index_scan_rows(df: DataFrame, index: str = "_index") -> DataFrame:
     path = F.col("_metadata.file_path").alias("_path")
     counts = df.select(path).groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
     rows = df.select("*", path, F.col("_metadata.row_index").alias("_pos"))
-    files = len(df._jdf.inputFiles())  # the number only; the names stay in the JVM
-    return _add_bases(rows, _prefix_sums(counts, "_path"), "_path", files, index)
+    return _add_bases(rows, _prefix_sums(counts, "_path"), "_path", index)
 
 
 def add_row_index(df: DataFrame, index: str = "_index") -> DataFrame:
@@ -103,5 +111,4 @@ def add_row_index(df: DataFrame, index: str = "_index") -> DataFrame:
         }
     )
     counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    partitions = saved.rdd.getNumPartitions()
-    return _add_bases(rows, _prefix_sums(counts, "_part"), "_part", partitions, index)
+    return _add_bases(rows, _prefix_sums(counts, "_part"), "_part", index)

@@ -1,37 +1,48 @@
 """Stand-in groups over the star-schema tables: an order is an event, a line item a particle.
 
-The same text is the Spark view and the oracle's. A tenth of the events have no Info
-row, so that left joins meet some without a match. Event numbers stay 64-bit, as
+The same text is the Spark view and the oracle's, over whole tables. A tenth of the
+Info rows have an event number that no particle has, so that left joins meet some
+without a match; the jets of every event are its lines, narrow and wide ones alike. Event numbers stay 64-bit, as
 order keys outgrow 32 bits on large inputs.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import stamp_rows
+from ..schema import group_schema
+from ..session import ship_package
 
 
-def _key(prefix: str, order: str, lumi: str = "lumisec") -> str:
+def _key(prefix: str, order: str, lumi: str = "lumisec", event: str | None = None) -> str:
     return f"""
   CAST({order} % 3 + 1 AS INT) AS {prefix}runNum,
   CAST({order} % 50 AS INT) AS {prefix}{lumi},
-  {order} AS {prefix}evtNum"""
+  {event or order} AS {prefix}evtNum"""
 
 
 def _object_key(group: str, lumi: str = "lumisec") -> str:
     return _key(f"{group}_", "l_orderkey", lumi)
 
 
-def _direction(group: str) -> str:
+def _direction(group: str, eta: str = "l_partkey * 7 + l_linenumber * 11", phi: str = "l_suppkey * 17 + l_linenumber * 101") -> str:
     return f"""
-  CAST((l_partkey * 7 + l_linenumber * 11) % 61 - 30 AS DOUBLE) / 10 AS {group}_eta,
+  CAST(({eta}) % 61 - 30 AS DOUBLE) / 10 AS {group}_eta,
   l_extendedprice / 400 AS {group}_pt,
-  CAST((l_suppkey * 17 + l_linenumber * 101) % 629 - 314 AS DOUBLE) / 100 AS {group}_phi"""
+  CAST(({phi}) % 629 - 314 AS DOUBLE) / 100 AS {group}_phi"""
 
 
-def _jet(group: str) -> str:
-    return f"""{_object_key(group)},{_direction(group)},
+def _jet(group: str, **direction: str) -> str:
+    return f"""{_object_key(group)},{_direction(group, **direction)},
   CAST((l_partkey + l_suppkey) % 10 AS DOUBLE) / 10 AS {group}_chHadFrac,
   CAST(l_linenumber % 5 AS DOUBLE) / 4 AS {group}_chEmFrac,
   CAST(l_partkey % 50 AS DOUBLE) / 45 AS {group}_neuHadFrac,
@@ -45,7 +56,7 @@ def _jet(group: str) -> str:
 # group -> (columns, table, condition)
 VIEWS: dict[str, tuple[str, str, str]] = {
     "Info": (
-        f"""{_key("", "o_orderkey", "lumiSec")},
+        f"""{_key("", "o_orderkey", "lumiSec", "CASE WHEN o_orderkey % 10 = 9 THEN -o_orderkey - 1 ELSE o_orderkey END")},
   CAST((o_orderkey * 7) % 400 AS DOUBLE) / 10 AS rhoIso,
   CAST(o_custkey % 8 AS INT) AS metFilterFailBits,
   o_totalprice / 1000 AS pfMET,
@@ -53,7 +64,7 @@ VIEWS: dict[str, tuple[str, str, str]] = {
   o_totalprice / 1200 AS puppET,
   CAST((o_orderkey * 37) % 629 - 314 AS DOUBLE) / 100 AS puppETphi""",
         "orders",
-        "o_orderkey % 10 <> 9",
+        "",
     ),
     "GenEvtInfo": (
         f"""{_key("", "o_orderkey", "lumiSec")},
@@ -109,8 +120,13 @@ VIEWS: dict[str, tuple[str, str, str]] = {
         "lineitem",
         "",
     ),
-    "AK4Puppi": (_jet("AK4Puppi"), "lineitem", "l_linenumber <= 4"),
-    "CA15Puppi": (_jet("CA15Puppi"), "lineitem", "l_linenumber > 4"),
+    # Narrow jets point elsewhere than the wide jet of the same line.
+    "AK4Puppi": (
+        _jet("AK4Puppi", eta="l_suppkey * 13 + l_linenumber * 7", phi="l_partkey * 23 + l_linenumber * 151"),
+        "lineitem",
+        "",
+    ),
+    "CA15Puppi": (_jet("CA15Puppi"), "lineitem", ""),
     "AddCA15Puppi": (
         f"""{_object_key("AddCA15Puppi", "lumiSec")},
   CAST(l_partkey % 20 AS DOUBLE) / 20 AS AddCA15Puppi_tau1,
@@ -122,7 +138,7 @@ VIEWS: dict[str, tuple[str, str, str]] = {
   CAST((l_partkey + l_suppkey) % 83 AS DOUBLE) / 83 AS AddCA15Puppi_sj3_csv,
   CAST((l_partkey * 3 + l_suppkey) % 79 AS DOUBLE) / 79 AS AddCA15Puppi_sj4_csv""",
         "lineitem",
-        "l_linenumber > 4",
+        "",
     ),
 }
 
@@ -151,6 +167,90 @@ def view(spark: SparkSession, sf_dir: str, group: str, stamped: bool = False) ->
     """The stand-in of ``group``; ``stamped`` adds the row ids of the scan."""
     source = load(spark, sf_dir, VIEWS[group][1])
     if stamped:
-        source = stamp_rows(source)
+        source = stamp_rows(source, f"{sf_dir}/{VIEWS[group][1]}.parquet")
     extra = ",\n  _file, _row" if stamped else ""
     return spark.sql(view_sql(group, "{source}", extra), source=source)
+
+
+def stored(spark: SparkSession, sf_dir: str, group: str) -> DataFrame:
+    """The stand-in as it would be stored: dataset names, and the catalogue's types.
+
+    Event numbers keep their 64 bits. See :func:`stored_sql` for the same in SQL.
+    """
+    found = view(spark, sf_dir, group)
+    columns = [
+        F.col(f.name).cast("long" if f.name.endswith("evtNum") else f.dataType).alias(dataset_name(group, f.name))
+        for f in group_schema(group)
+    ]
+    return found.select(*columns)
+
+
+def dataset_name(group: str, column: str) -> str:
+    """``Muon_eta`` is stored as ``Muon.eta``; the event key of GenEvtInfo is prefixed as well."""
+    if column.startswith(f"{group}_"):
+        return f"{group}.{column.removeprefix(f'{group}_')}"
+    if group == "GenEvtInfo" and column.endswith(("Num", "Sec")):
+        return f"{group}.{column.replace('lumiSec', 'lumisec')}"
+    return column
+
+
+_SQL_TYPES = {"float": "REAL", "int": "INTEGER", "bigint": "BIGINT", "tinyint": "TINYINT"}
+
+
+def stored_sql(group: str) -> str:
+    columns = ", ".join(
+        f"CAST({f.name} AS {'BIGINT' if f.name.endswith('evtNum') else _SQL_TYPES[f.dataType.simpleString()]}) AS {f.name}"
+        for f in group_schema(group)
+    )
+    return f"SELECT {columns} FROM ({view_sql(group)}) stand_in"
+
+
+def _save(groups: dict[str, str], path: str, rows_per_file: int):
+    """Writes column arrays, in the order of ``groups``; a retried task writes the same files again."""
+
+    def save(table: pa.Table, name: str) -> None:
+        for column, values in zip(groups, table.columns):
+            if values.null_count:
+                raise ValueError(f"column {column} has NULLs; an array cannot hold them")
+            folder = f"{path}/{name}/{groups[column]}"
+            filesystem.create_dir(folder, recursive=True)
+            hidden = f"{folder}/.{uuid.uuid4().hex}"
+            with filesystem.open_output_stream(hidden) as out:
+                np.lib.format.write_array(out, values.to_numpy(), allow_pickle=False)
+            filesystem.move(hidden, f"{folder}/{column}.npy")
+
+    if "://" in path:
+        filesystem, path = fs.FileSystem.from_uri(path)
+    else:
+        filesystem, path = fs.LocalFileSystem(), path.removeprefix("file:")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, waiting, rows, saved = TaskContext.get().partitionId(), [], 0, 0
+        for batch in batches:
+            while batch.num_rows:
+                taken = batch.slice(0, rows_per_file - rows)
+                batch = batch.slice(taken.num_rows)
+                waiting.append(taken)
+                rows += taken.num_rows
+                if rows == rows_per_file:
+                    save(pa.Table.from_batches(waiting), f"part-{part:05d}-{saved}")
+                    waiting, rows, saved = [], 0, saved + 1
+        if rows:
+            save(pa.Table.from_batches(waiting), f"part-{part:05d}-{saved}")
+        yield pa.RecordBatch.from_pydict({"files": pa.array([saved + bool(rows)], pa.int64())})
+
+    return run
+
+
+def write_arrays(df: DataFrame, path: str, *groups: str, rows_per_file: int = 1 << 20) -> int:
+    """Store a stand-in as column arrays, columns by the group their names begin with; number of files."""
+    ship_package(df.sparkSession)
+    if len(groups) == 1:
+        of = dict.fromkeys(df.columns, groups[0])
+    else:
+        of = {c: g for c in df.columns for g in groups if c.startswith((f"{g}_", f"{g}."))}
+    lost = [c for c in df.columns if c not in of]
+    if lost:
+        raise ValueError(f"columns of no group: {lost}")
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return numbered.mapInArrow(_save(of, path, rows_per_file), "files long").agg(F.sum("files")).first()[0]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 
 from ..schema import event_key
-from .fixtures import VIEWS, view_sql
-from .queries import ANGLE_DIGITS, MERGED_NAME, SUM_DIGITS
+from .fixtures import VIEWS, stored_sql, view_sql
+from .queries import ANGLE_DIGITS, MERGED_NAME, SAMPLE_GROUPS, SAMPLES, SUM_DIGITS
 
 
 def _with(groups: list[str], body: str, **more: str) -> str:
@@ -92,9 +93,10 @@ WHERE Photon_pt >= 175 AND ABS(Photon_eta) < 1.4442
                          "2.15 + 0.0041 * Photon_pt")} END)"""
 
 
-def _electrons(veto: bool = False, pileup: bool = False) -> str:
+def _electrons(veto: bool = False, pileup: bool = False, area: bool = False) -> str:
     neutral = "Electron_gammaIso + Electron_neuHadIso" + (" - rhoEffarea" if pileup else "")
     keep = "AND Electron_isConv <> 1" if veto else ""
+    keep += " AND rhoEffarea IS NOT NULL" if area else ""
     return f"""SELECT *, TRUE AS passfilter1, TRUE AS passfilter2
 FROM (SELECT *, Electron_chHadIso + GREATEST({neutral}, 0.0) AS iso
       FROM (SELECT *, rhoIso * ({_steps("Electron_eta", _E_EDGES, _E_AREAS)}) AS rhoEffarea
@@ -152,7 +154,7 @@ WHERE {g}_pt >= {pt} AND ABS({g}_eta) < {eta}
 
 
 # One projection of both groups from the rows they share.
-_BOTH = f"SELECT {VIEWS['CA15Puppi'][0]},{VIEWS['AddCA15Puppi'][0]}\nFROM lineitem WHERE l_linenumber > 4"
+_BOTH = f"SELECT {VIEWS['CA15Puppi'][0]},{VIEWS['AddCA15Puppi'][0]}\nFROM lineitem"
 _DERIVED = """AddCA15Puppi_tau1 / NULLIF(AddCA15Puppi_tau2, 0) AS tau21,
   AddCA15Puppi_tau2 / NULLIF(AddCA15Puppi_tau3, 0) AS tau32,
   LEAST(AddCA15Puppi_sj1_csv, AddCA15Puppi_sj2_csv) AS mincsv,
@@ -269,9 +271,30 @@ def _one(group: str, columns: str = "*", rest: str = "") -> str:
     return _with([group], f"SELECT {columns} FROM {group} {rest}")
 
 
+def _stored(groups: list[str], body: str) -> str:
+    """``body`` over groups of the catalogue's types; its constants are doubles, as they are in Spark."""
+    parts = [f"{g} AS (\n{stored_sql(g)}\n)" for g in groups]
+    body = re.sub(r"(?<![\w.])\d+\.\d+(?![\w.])", lambda m: f"CAST({m[0]} AS DOUBLE)", body)
+    return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+def _tag_counts(group: str) -> str:
+    return "\nUNION ALL ".join(
+        f"""SELECT {_tags(name)}, COUNT(*) AS n, '{group}' AS "group" FROM {group}
+WHERE {event_key(group)[2]} % 2 = {k}"""
+        for k, name in enumerate(SAMPLES)
+    )
+
+
 _AREA = f"CAST({_steps('Electron_eta', _E_EDGES, _E_AREAS)} AS DOUBLE) AS area"
 
 
+_HISTOGRAMS =         _electron_top(
+            f"""SELECT 'Electron_pt' AS "column", * FROM ({_hist("Electron_pt", 1000)}) a
+UNION ALL SELECT 'Electron_eta' AS "column", * FROM ({_hist("Electron_eta", 5)}) b"""
+        )
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "scan_muon": _one("Muon"),
@@ -283,7 +306,26 @@ def oracle_sql() -> dict[str, str]:
         "scan_jet": _one("AK4Puppi"),
         "scan_vjet": _one("CA15Puppi"),
         "scan_addvjet": _one("AddCA15Puppi"),
-        "read_group_electron": _one(
+        **{f"read_group_{g.lower()}": stored_sql(g) for g in VIEWS},
+        "float_muon_filter": _stored(["Muon"], _muons(1)),
+        "float_tau_filter": _stored(["Tau"], _TAUS),
+        "float_photon_filter": _stored(["Info", "Photon"], _PHOTONS),
+        "float_electron_filter": _stored(["Info", "Electron"], f"SELECT * EXCLUDE (iso) FROM ({_electrons()}) selected"),
+        "float_jet_filter": _stored(["Info", "AK4Puppi"], _JETS),
+        "float_vjet_cut": _stored(["CA15Puppi"], _jets("CA15Puppi", "CA15Puppi", 150, 2.5)),
+        "schemas_of_paths": _stored(["Photon"], "SELECT Photon_evtNum, Photon_pt, Photon_eta FROM Photon"),
+        "merge_sample_tags": _with(list(SAMPLE_GROUPS), "\nUNION ALL ".join(map(_tag_counts, SAMPLE_GROUPS))),
+        "merge_sample_rows": _with(
+            ["GenEvtInfo"],
+            "\nUNION ALL ".join(
+                f"SELECT *, {_tags(name)} FROM GenEvtInfo WHERE evtNum % 2 = {k}" for k, name in enumerate(SAMPLES)
+            ),
+        ),
+        "sums_of_root": _with(list(SAMPLE_GROUPS), "\nUNION ALL ".join(map(_sums, SAMPLE_GROUPS))),
+        "row_index_of_any_table": """SELECT n, 0::BIGINT AS least, n - 1 AS largest,
+  CAST(n * (n - 1) / 2 AS DOUBLE) AS total, n AS distinct_numbers
+FROM (SELECT COUNT(*) AS n FROM orders WHERE o_custkey % 7 <> 0) counted""",
+        "read_group_by_run": _one(
             "Electron",
             "Electron_runNum, Electron_lumisec, Electron_evtNum, Electron_pt, Electron_isConv",
         ),
@@ -305,7 +347,7 @@ def oracle_sql() -> dict[str, str]:
         "tau_filter": _with(["Tau"], _TAUS),
         "tau_leading": _with(["Tau"], _top("taus", "Tau", _kin("Tau")), taus=_TAUS),
         "electron_filter": _electron_filter(),
-        "electron_filter_udf_form": _electron_filter(pileup=True),
+        "electron_filter_udf_form": _electron_filter(pileup=True, area=True),
         "electron_filter_pandas_form": _electron_filter(veto=True),
         "electron_filter_pandas_sql_form": _electron_filter(veto=True, pileup=True),
         "electron_leading": _electron_top("SELECT * FROM top"),
@@ -317,10 +359,8 @@ def oracle_sql() -> dict[str, str]:
         "hist_electron_pt": _electron_top(_hist("Electron_pt", 1000)),
         "hist_electron_eta": _electron_top(_hist("Electron_eta", 5)),
         "hist_electron_pt_dense": _electron_top(_dense_hist("Electron_pt", 1000)),
-        "electron_histograms": _electron_top(
-            f"""SELECT 'Electron_pt' AS "column", * FROM ({_hist("Electron_pt", 1000)}) a
-UNION ALL SELECT 'Electron_eta' AS "column", * FROM ({_hist("Electron_eta", 5)}) b"""
-        ),
+        "electron_histograms": _HISTOGRAMS,
+        "histogram_file": _HISTOGRAMS,
         "effective_area_lookup": _one("Electron", f"Electron_evtNum, Electron_eta, {_AREA}"),
         "step_lookup_range_join": _one("Electron", f"Electron_evtNum, Electron_eta, {_AREA}"),
         "photon_filter": _with(["Info", "Photon"], _PHOTONS),

@@ -74,9 +74,10 @@ def select_electrons(
     info: DataFrame,
     veto_conversions: bool = False,
     subtract_pileup: bool = False,
+    need_area: bool = False,
 ) -> DataFrame:
     joined = join_event(electron, info, "Electron")
-    return filter_electron(joined, veto_conversions, subtract_pileup)
+    return filter_electron(joined, veto_conversions, subtract_pileup, need_area)
 
 
 def leading_electrons(electron: DataFrame, info: DataFrame, **flags: bool) -> DataFrame:

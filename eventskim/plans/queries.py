@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ELECTRON_AREA, step_lookup
 from ..operators import (
+    add_row_index,
     column_sums,
     count_rows,
     count_under_cuts,
@@ -31,21 +33,23 @@ from ..operators import (
     value_range,
     zip_rows,
 )
-from ..schema import event_key
+from ..schema import column_names, event_key, schemas_from_paths, split_path
 from ..session import work_dir
 from ..sources import (
     bind_group,
     copy_format,
     merge_groups,
+    merge_sample,
     read_colgroup,
     read_columns,
     read_dynamic,
     read_group,
-    write_colgroup,
+    sum_groups,
     write_group,
+    write_histogram,
 )
 from . import pipelines as p
-from .fixtures import VIEWS, load, view
+from .fixtures import VIEWS, load, stored, view, write_arrays
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,7 +58,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 ANGLE_DIGITS = 6
 SUM_DIGITS = 6
 MERGED_NAME = "ttbar_13TeV_all.parquet"
-SAMPLE_RUNS = (1, 2, 3)
+SAMPLES = ("wjets_13TeV_low", "zjets_13TeV_high")
+SAMPLE_GROUPS = ("Muon", "GenEvtInfo")
 
 _QUERIES: dict[str, Query] = {}
 
@@ -102,7 +107,7 @@ def _selected_vjets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query
-def read_group_electron(spark: SparkSession, d: str) -> DataFrame:
+def read_group_by_run(spark: SparkSession, d: str) -> DataFrame:
     root = work_dir(spark, "group")
     write_group(view(spark, d, "Electron"), root, "Electron", partition_by=["Electron_runNum"])
     columns = [*event_key("Electron"), "Electron_pt", "Electron_isConv"]
@@ -121,27 +126,106 @@ def read_columns_of_group(spark: SparkSession, d: str) -> DataFrame:
     return read_columns(spark, path, ["Photon.evtNum", "Photon.pt", "Photon.eta"])
 
 
+def _register_stored() -> None:
+    for group in VIEWS:
+        _QUERIES[f"read_group_{group.lower()}"] = lambda spark, d, g=group: _read_stored(spark, d, g)
+
+
+def _read_stored(spark: SparkSession, d: str, *groups: str) -> DataFrame | list[DataFrame]:
+    """Groups stored with dataset names and the catalogue's types, and loaded again."""
+    root = work_dir(spark, "stored")
+    for group in groups:
+        write_group(stored(spark, d, group), root, group)
+    found = [read_group(spark, root, group) for group in groups]
+    return found[0] if len(found) == 1 else found
+
+
+_register_stored()
+
+
+@_query
+def float_muon_filter(spark: SparkSession, d: str) -> DataFrame:
+    return filter_muon(_read_stored(spark, d, "Muon"))
+
+
+@_query
+def float_tau_filter(spark: SparkSession, d: str) -> DataFrame:
+    return filter_tau(_read_stored(spark, d, "Tau"))
+
+
+@_query
+def float_photon_filter(spark: SparkSession, d: str) -> DataFrame:
+    photon, info = _read_stored(spark, d, "Photon", "Info")
+    return filter_photon(join_event(photon, info, "Photon"))
+
+
+@_query
+def float_electron_filter(spark: SparkSession, d: str) -> DataFrame:
+    return p.select_electrons(*_read_stored(spark, d, "Electron", "Info"))
+
+
+@_query
+def float_jet_filter(spark: SparkSession, d: str) -> DataFrame:
+    jet, info = _read_stored(spark, d, "AK4Puppi", "Info")
+    return filter_jet(join_event(jet, info, "AK4Puppi"))
+
+
+@_query
+def float_vjet_cut(spark: SparkSession, d: str) -> DataFrame:
+    return filter_vjet(_read_stored(spark, d, "CA15Puppi"))
+
+
+@_query
+def schemas_of_paths(spark: SparkSession, d: str) -> DataFrame:
+    """A stored group read with the schema that its dataset paths give."""
+    root = work_dir(spark, "stored")
+    write_group(stored(spark, d, "Photon"), root, "Photon")
+    paths = ["/Photon/Photon.evtNum", "/Photon/Photon.pt", "/Photon/Photon.eta"]
+    schema = schemas_from_paths(paths, {"Photon.evtNum": T.LongType()})["/Photon/"]
+    found = spark.read.schema(schema).parquet(root + split_path(paths[0])[0])
+    return found.toDF(*column_names(found.columns))
+
+
+@_query
+def histogram_file(spark: SparkSession, d: str) -> DataFrame:
+    """The histograms written as one file, read back."""
+    path = work_dir(spark, "histogram")
+    write_histogram(electron_histograms(spark, d), path)
+    schema = "column string, bucket int, bucket_lo double, bucket_hi double, n long"
+    return spark.read.schema(schema).option("header", "true").csv(path)
+
+
 @_query
 def scan_colgroup(spark: SparkSession, d: str) -> DataFrame:
+    """Arrays in nested folders whose types differ by file."""
     path = work_dir(spark, "colgroup")
-    write_colgroup(_dotted(view(spark, d, "Muon"), "Muon"), path, "Muon")
+    muons = _dotted(view(spark, d, "Muon"), "Muon")
+    narrow, key = F.col("`Muon.pogIDBits`").cast("byte"), F.col("`Muon.evtNum`")
+    write_arrays(muons.filter(key % 3 == 0), path, "Muon")
+    write_arrays(muons.filter(key % 3 != 0).withColumn("Muon.pogIDBits", narrow), f"{path}/part-00000-0/deeper", "Muon")
     return read_colgroup(spark, path, "Muon", slices_per_file=4)
 
 
 @_query
 def scan_colgroup_columns(spark: SparkSession, d: str) -> DataFrame:
     path = work_dir(spark, "colgroup")
-    write_colgroup(view(spark, d, "Electron"), path, "Electron")
+    write_arrays(view(spark, d, "Electron"), path, "Electron")
     columns = ["Electron_evtNum", "Electron_pt", "Electron_isConv"]
     return read_colgroup(spark, path, "Electron", columns=columns)
 
 
+def _samples(spark: SparkSession, d: str, root: str, group: str) -> list[str]:
+    """``group`` stored as a folder for each run; the folders."""
+    rows = view(spark, d, group).withColumn("sample", F.col("runNum"))
+    path = write_group(rows, root, "samples", partition_by=["sample"])
+    runs = spark.read.parquet(path).select("sample").distinct().orderBy("sample").collect()
+    return [f"{path}/sample={r['sample']}" for r in runs]
+
+
 @_query
 def merge_groups_by_run(spark: SparkSession, d: str) -> DataFrame:
     root = work_dir(spark, "merge")
-    gen = view(spark, d, "GenEvtInfo").withColumn("sample", F.col("runNum"))
-    samples = write_group(gen, root, "samples", partition_by=["sample"])
-    sources = [f"{samples}/sample={run}" for run in SAMPLE_RUNS]
+    sources = _samples(spark, d, root, "GenEvtInfo")
     target = f"{root}/GenEvtInfo"
     copy_format(spark, sources[0], target)
     merge_groups(spark, sources, target)
@@ -151,10 +235,45 @@ def merge_groups_by_run(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def merge_job(spark: SparkSession, d: str) -> DataFrame:
     root = work_dir(spark, "merge")
-    info = view(spark, d, "Info").withColumn("sample", F.col("runNum"))
-    samples = write_group(info, root, "samples", partition_by=["sample"])
-    sources = [f"{samples}/sample={run}" for run in SAMPLE_RUNS]
-    return p.merge_job(spark, sources, f"{root}/Info", MERGED_NAME)
+    return p.merge_job(spark, _samples(spark, d, root, "Info"), f"{root}/Info", MERGED_NAME)
+
+
+def _merged_sample(spark: SparkSession, d: str) -> str:
+    """All groups of two samples, of low and of high event numbers, merged."""
+    root = work_dir(spark, "merge")
+    sources = [f"{root}/{name}" for name in SAMPLES]
+    for group in SAMPLE_GROUPS:
+        low = F.col(event_key(group)[2]) % 2 == 0
+        rows = view(spark, d, group)
+        for source, kept in zip(sources, (low, ~low)):
+            write_group(rows.filter(kept), source, group)
+    merge_sample(spark, sources, f"{root}/merged")
+    return f"{root}/merged"
+
+
+@_query
+def merge_sample_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Events and muons of the merged sample by the tags stored with them."""
+    root = _merged_sample(spark, d)
+    counts = [
+        spark.read.parquet(f"{root}/{g}").groupBy("stype", "snum").agg(F.count(F.lit(1)).alias("n")).withColumn("group", F.lit(g))
+        for g in SAMPLE_GROUPS
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@_query
+def merge_sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{_merged_sample(spark, d)}/GenEvtInfo")
+
+
+@_query
+def sums_of_root(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of all columns of all groups that a folder holds."""
+    root = work_dir(spark, "stored")
+    for group in SAMPLE_GROUPS:
+        write_group(view(spark, d, group), root, group)
+    return sum_groups(spark, root).withColumn("total", F.round("total", SUM_DIGITS))
 
 
 @_query
@@ -211,11 +330,13 @@ def electron_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def electron_filter_udf_form(spark: SparkSession, d: str) -> DataFrame:
-    return _electrons(spark, d, subtract_pileup=True)
+    """The area is a plain number to the function, so electrons without an event fail."""
+    return _electrons(spark, d, subtract_pileup=True, need_area=True)
 
 
 @_query
 def electron_filter_pandas_form(spark: SparkSession, d: str) -> DataFrame:
+    """The selection of that form; ``rhoEffarea`` follows the SQL rule at the edges of its bins."""
     return _electrons(spark, d, veto_conversions=True)
 
 
@@ -346,7 +467,7 @@ def vjet_filter(spark: SparkSession, d: str) -> DataFrame:
 def vjet_filter_aligned_scan(spark: SparkSession, d: str) -> DataFrame:
     """The rows paired by one scan of both groups, instead of a join."""
     path, groups = work_dir(spark, "colgroup"), ("CA15Puppi", "AddCA15Puppi")
-    write_colgroup(_zipped(spark, d, "inner"), path, *groups)
+    write_arrays(_zipped(spark, d, "inner"), path, *groups)
     return p.select_paired_vjets(read_colgroup(spark, path, *groups))
 
 
@@ -400,6 +521,19 @@ def row_index(spark: SparkSession, d: str) -> DataFrame:
     return index_scan_rows(lines)
 
 
+@_query
+def row_index_of_any_table(spark: SparkSession, d: str) -> DataFrame:
+    """What the numbers of any table's rows are: each once, from 0 on without gaps."""
+    numbered = add_row_index(load(spark, d, "orders").filter("o_custkey % 7 <> 0").repartition(5, "o_orderkey"))
+    return numbered.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("_index").alias("least"),
+        F.max("_index").alias("largest"),
+        F.sum("_index").cast("double").alias("total"),
+        F.count_distinct("_index").alias("distinct_numbers"),
+    )
+
+
 @_query
 def event_count(spark: SparkSession, d: str) -> DataFrame:
     return count_rows(view(spark, d, "GenEvtInfo"), "n_events")
@@ -418,7 +552,10 @@ def column_sums_of_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def exact_weight_sums(spark: SparkSession, d: str) -> DataFrame:
-    """Sums in fixed point, the same in whatever order the tasks finish."""
+    """Sums in fixed point, the same in whatever order the tasks finish.
+
+    Values of more than four decimals would be an error.
+    """
     return column_sums(view(spark, d, "GenEvtInfo"), "GenEvtInfo", decimals=4)
 
 

@@ -12,54 +12,140 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import types as T
 
-# ---------------------------------------------------------------------------
-# The nine groups, their fields in order, and the field types.
-# F float, I int, L long, B byte.
-# ---------------------------------------------------------------------------
-GROUP_FIELDS: dict[str, str] = {
+# The nine groups, and the column and type of each field, in order.
+GROUP_FIELDS: dict[str, tuple[tuple[str, str], ...]] = {
     "Muon": (
-        "eta F, pt F, phi F, evtNum I, runNum I, lumisec I, chHadIso F, "
-        "neuHadIso F, puIso F, pogIDBits I, gammaIso F"
+        ("Muon_eta", "float"),
+        ("Muon_pt", "float"),
+        ("Muon_phi", "float"),
+        ("Muon_evtNum", "int"),
+        ("Muon_runNum", "int"),
+        ("Muon_lumisec", "int"),
+        ("Muon_chHadIso", "float"),
+        ("Muon_neuHadIso", "float"),
+        ("Muon_puIso", "float"),
+        ("Muon_pogIDBits", "int"),
+        ("Muon_gammaIso", "float"),
     ),
     "Tau": (
-        "eta F, pt F, phi F, evtNum I, runNum I, lumisec I, hpsDisc L, rawIso3Hits F"
+        ("Tau_eta", "float"),
+        ("Tau_pt", "float"),
+        ("Tau_phi", "float"),
+        ("Tau_evtNum", "int"),
+        ("Tau_runNum", "int"),
+        ("Tau_lumisec", "int"),
+        ("Tau_hpsDisc", "long"),
+        ("Tau_rawIso3Hits", "float"),
     ),
     "Photon": (
-        "runNum I, lumisec I, evtNum I, eta F, pt F, phi F, chHadIso F, scEta F, "
-        "neuHadIso F, gammaIso F, sieie F, sthovere F"
+        ("Photon_runNum", "int"),
+        ("Photon_lumisec", "int"),
+        ("Photon_evtNum", "int"),
+        ("Photon_eta", "float"),
+        ("Photon_pt", "float"),
+        ("Photon_phi", "float"),
+        ("Photon_chHadIso", "float"),
+        ("Photon_scEta", "float"),
+        ("Photon_neuHadIso", "float"),
+        ("Photon_gammaIso", "float"),
+        ("Photon_sieie", "float"),
+        ("Photon_sthovere", "float"),
     ),
     "Electron": (
-        "runNum I, lumisec I, evtNum I, eta F, pt F, phi F, chHadIso F, neuHadIso F, "
-        "gammaIso F, scEta F, sieie F, hovere F, eoverp F, dEtaIn F, dPhiIn F, "
-        "ecalEnergy F, d0 F, dz F, nMissingHits I, isConv B"
+        ("Electron_runNum", "int"),
+        ("Electron_lumisec", "int"),
+        ("Electron_evtNum", "int"),
+        ("Electron_eta", "float"),
+        ("Electron_pt", "float"),
+        ("Electron_phi", "float"),
+        ("Electron_chHadIso", "float"),
+        ("Electron_neuHadIso", "float"),
+        ("Electron_gammaIso", "float"),
+        ("Electron_scEta", "float"),
+        ("Electron_sieie", "float"),
+        ("Electron_hovere", "float"),
+        ("Electron_eoverp", "float"),
+        ("Electron_dEtaIn", "float"),
+        ("Electron_dPhiIn", "float"),
+        ("Electron_ecalEnergy", "float"),
+        ("Electron_d0", "float"),
+        ("Electron_dz", "float"),
+        ("Electron_nMissingHits", "int"),
+        ("Electron_isConv", "byte"),
     ),
     "AK4Puppi": (
-        "runNum I, lumisec I, evtNum I, eta F, pt F, phi F, chHadFrac F, chEmFrac F, "
-        "neuHadFrac F, neuEmFrac F, mass F, csv F, nParticles I, nCharged I"
+        ("AK4Puppi_runNum", "int"),
+        ("AK4Puppi_lumisec", "int"),
+        ("AK4Puppi_evtNum", "int"),
+        ("AK4Puppi_eta", "float"),
+        ("AK4Puppi_pt", "float"),
+        ("AK4Puppi_phi", "float"),
+        ("AK4Puppi_chHadFrac", "float"),
+        ("AK4Puppi_chEmFrac", "float"),
+        ("AK4Puppi_neuHadFrac", "float"),
+        ("AK4Puppi_neuEmFrac", "float"),
+        ("AK4Puppi_mass", "float"),
+        ("AK4Puppi_csv", "float"),
+        ("AK4Puppi_nParticles", "int"),
+        ("AK4Puppi_nCharged", "int"),
     ),
     "CA15Puppi": (
-        "runNum I, lumisec I, evtNum I, eta F, pt F, phi F, chHadFrac F, chEmFrac F, "
-        "neuHadFrac F, neuEmFrac F, mass F, csv F, nParticles I, nCharged I"
+        ("CA15Puppi_runNum", "int"),
+        ("CA15Puppi_lumisec", "int"),
+        ("CA15Puppi_evtNum", "int"),
+        ("CA15Puppi_eta", "float"),
+        ("CA15Puppi_pt", "float"),
+        ("CA15Puppi_phi", "float"),
+        ("CA15Puppi_chHadFrac", "float"),
+        ("CA15Puppi_chEmFrac", "float"),
+        ("CA15Puppi_neuHadFrac", "float"),
+        ("CA15Puppi_neuEmFrac", "float"),
+        ("CA15Puppi_mass", "float"),
+        ("CA15Puppi_csv", "float"),
+        ("CA15Puppi_nParticles", "int"),
+        ("CA15Puppi_nCharged", "int"),
     ),
     "AddCA15Puppi": (
-        "runNum I, lumiSec I, evtNum I, tau1 F, tau2 F, tau3 F, mass_sd0 F, "
-        "sj1_csv F, sj2_csv F, sj3_csv F, sj4_csv F"
+        ("AddCA15Puppi_runNum", "int"),
+        ("AddCA15Puppi_lumiSec", "int"),
+        ("AddCA15Puppi_evtNum", "int"),
+        ("AddCA15Puppi_tau1", "float"),
+        ("AddCA15Puppi_tau2", "float"),
+        ("AddCA15Puppi_tau3", "float"),
+        ("AddCA15Puppi_mass_sd0", "float"),
+        ("AddCA15Puppi_sj1_csv", "float"),
+        ("AddCA15Puppi_sj2_csv", "float"),
+        ("AddCA15Puppi_sj3_csv", "float"),
+        ("AddCA15Puppi_sj4_csv", "float"),
     ),
     "Info": (
-        "runNum I, lumiSec I, evtNum I, rhoIso F, metFilterFailBits I, pfMET F, "
-        "pfMETphi F, puppET F, puppETphi F"
+        ("runNum", "int"),
+        ("lumiSec", "int"),
+        ("evtNum", "int"),
+        ("rhoIso", "float"),
+        ("metFilterFailBits", "int"),
+        ("pfMET", "float"),
+        ("pfMETphi", "float"),
+        ("puppET", "float"),
+        ("puppETphi", "float"),
+    ),
+    "GenEvtInfo": (
+        ("runNum", "int"),
+        ("lumiSec", "int"),
+        ("evtNum", "int"),
+        ("weight", "float"),
+        ("scalePDF", "float"),
     ),
-    "GenEvtInfo": "runNum I, lumiSec I, evtNum I, weight F, scalePDF F",
 }
 
 # Groups with one row per event; their columns carry no group prefix.
 EVENT_GROUPS = ("Info", "GenEvtInfo")
 
-_TYPE_CODES: dict[str, T.DataType] = {
-    "F": T.FloatType(),
-    "I": T.IntegerType(),
-    "L": T.LongType(),
-    "B": T.ByteType(),
+_TYPES: dict[str, T.DataType] = {
+    "float": T.FloatType(),
+    "int": T.IntegerType(),
+    "long": T.LongType(),
+    "byte": T.ByteType(),
 }
 
 
@@ -81,10 +167,7 @@ def group_schema(group: str) -> T.StructType:
     group = group.strip("/")
     if group not in GROUP_FIELDS:
         raise KeyError(f"unknown group {group!r}; known: {sorted(GROUP_FIELDS)}")
-    fields = (f.split() for f in GROUP_FIELDS[group].split(", "))
-    return T.StructType(
-        [T.StructField(_prefix(group) + n, _TYPE_CODES[t], False) for n, t in fields]
-    )
+    return T.StructType([T.StructField(n, _TYPES[t], False) for n, t in GROUP_FIELDS[group]])
 
 
 def event_key(group: str) -> tuple[str, str, str]:

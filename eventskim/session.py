@@ -37,7 +37,6 @@ def build_session(app: str, **conf: str) -> SparkSession:
 
 
 BYTES_PER_SHUFFLE_PARTITION = 256 << 20
-MAX_SHUFFLE_PARTITIONS = 100_000
 
 
 def size_shuffle(df: DataFrame) -> int:
@@ -51,7 +50,7 @@ def size_shuffle(df: DataFrame) -> int:
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     # Sizes are the planner's, after leaving out partitions the filters rule out.
     read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    wanted = min(read // BYTES_PER_SHUFFLE_PARTITION + 1, MAX_SHUFFLE_PARTITIONS)
+    wanted = read // BYTES_PER_SHUFFLE_PARTITION + 1
     chosen = max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spark.conf.set("spark.sql.shuffle.partitions", str(chosen))
     return chosen
@@ -63,13 +62,15 @@ _fallback: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir``.
 
-    Where no checkpoint folder is set, as in tests on one machine, a temporary one
-    stands in.
+    Where none is set and all runs on one machine, as in tests, a temporary folder
+    stands in. On a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         folder = _fallback.get(app) or tempfile.mkdtemp(prefix="eventskim-")
         _fallback[app] = folder
@@ -83,8 +84,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name of its own below :func:`shared_dir`."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder name of its own below :func:`shared_dir`, removed when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 _shipped: set[str] = set()

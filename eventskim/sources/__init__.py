@@ -1,28 +1,31 @@
 """Reading and writing groups."""
 
-from .colgroup import ColumnGroupSource, read_colgroup, register_colgroup, write_colgroup
+from .colgroup import read_colgroup
 from .groups import (
     bind_group,
     copy_format,
     merge_groups,
+    merge_sample,
     read_columns,
     read_dynamic,
     read_group,
+    stored_groups,
+    sum_groups,
     write_group,
     write_histogram,
 )
 
 __all__ = [
-    "ColumnGroupSource",
     "bind_group",
     "copy_format",
     "merge_groups",
+    "merge_sample",
     "read_colgroup",
     "read_columns",
     "read_dynamic",
     "read_group",
-    "register_colgroup",
-    "write_colgroup",
+    "stored_groups",
+    "sum_groups",
     "write_group",
     "write_histogram",
 ]

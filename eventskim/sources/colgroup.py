@@ -1,347 +1,161 @@
-"""Column-array source and sink ``colgroup``.
+"""Column arrays: ``<path>/.../<file>/<group>/<dataset>.npy``.
 
-Layout: ``<path>/<file>/<group>/<dataset>.npy``, where each "file" is a folder
-holding groups, and each dataset is one 1-D array. A scan is cut into slices
-``[begin, end)`` of a file, and a task reads its slice of each wanted array.
-
-Several row-aligned groups can be scanned as one table, since their slices are
-cut alike: ``groups=CA15Puppi,AddCA15Puppi`` pairs the two without a join. A table
-is written to several groups by the group names its columns begin with.
-
-Options
-    ``groups``           one group, or several row-aligned ones (required)
-    ``columns``          the columns to read; default all of the first file's
-    ``slices_per_file``  number of slices of each file
-    ``slice_bytes``      used when that is not given; default 128 MiB
-    ``rows_per_file``    (writing) rows in each new file; default 1,048,576
+Each "file" is a folder, at any depth, that holds groups, and each dataset is one
+1-D array. Spark lists the arrays, tasks read their headers, and a scan is cut into
+slices ``[begin, end)`` of a file, of whose arrays a task reads only that range.
+Several row-aligned groups can be scanned as one table, since their slices are cut
+alike.
 """
 
 from __future__ import annotations
 
-import math
-import posixpath
-import uuid
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-from functools import partial
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceArrowWriter,
-    DataSourceReader,
-    InputPartition,
-    WriterCommitMessage,
-)
 
 from ..schema import column_name
-from ..session import ship_package
+from ..session import ensure_checkpoint_dir, ship_package
 
-SUFFIX = ".npy"
 BATCH_ROWS = 1 << 17
-PLANNING_THREADS = 32
-LISTING_CHUNK = 256
+SLICE_BYTES = 128 << 20
 
-_SPARK_TYPES = {
-    "i8": T.LongType(),
-    "i4": T.IntegerType(),
-    "i2": T.ShortType(),
-    "i1": T.ByteType(),
-    "u1": T.ByteType(),
+# Array type without byte order -> the narrowest column type that holds its values.
+_TYPES: dict[str, T.DataType] = {
     "b1": T.ByteType(),
+    "i1": T.ByteType(),
+    "u1": T.ShortType(),
+    "i2": T.ShortType(),
+    "u2": T.IntegerType(),
+    "i4": T.IntegerType(),
+    "u4": T.LongType(),
+    "i8": T.LongType(),
+    "f2": T.FloatType(),
     "f4": T.FloatType(),
     "f8": T.DoubleType(),
 }
+_WHOLE = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
+_NUMPY = {
+    T.ByteType(): "i1",
+    T.ShortType(): "i2",
+    T.IntegerType(): "i4",
+    T.LongType(): "i8",
+    T.FloatType(): "f4",
+    T.DoubleType(): "f8",
+}
 
 
-def plan_slices(rows: int, slices: int) -> list[tuple[int, int]]:
-    """Cut ``rows`` into ``slices`` of equal length, the last taking the rest.
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that holds all values of both."""
+    if a in _WHOLE and b in _WHOLE:
+        return max(a, b, key=_WHOLE.index)
+    if T.LongType() in (a, b):
+        raise ValueError("64-bit integers and fractions have no common type")
+    exact = {a, b} <= {T.ByteType(), T.ShortType(), T.FloatType()}
+    return T.FloatType() if exact else T.DoubleType()
 
-    Empty slices are left out.
-    """
-    if slices < 1:
-        raise ValueError("slices must be positive")
-    step = rows // slices
-    cuts = [step * i for i in range(slices)] + [rows]
-    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
 
-
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path:
-        return fs.FileSystem.from_uri(path)
+def _open(path: str):
     if path.startswith("file:"):
-        path = path.removeprefix("file:")
-    return fs.LocalFileSystem(), path
-
-
-@dataclass(frozen=True)
-class _Array:
-    dtype: np.dtype
-    rows: int
-    offset: int
-
-
-def _header(handle) -> _Array:
-    version = np.lib.format.read_magic(handle)
-    read = {
-        (1, 0): np.lib.format.read_array_header_1_0,
-        (2, 0): np.lib.format.read_array_header_2_0,
-    }[version]
-    shape, _, dtype = read(handle)
-    if len(shape) != 1:
-        raise ValueError(f"dataset must be one-dimensional, has shape {shape}")
-    return _Array(dtype, shape[0], handle.tell())
-
-
-def _read_header(filesystem: fs.FileSystem, path: str) -> _Array:
-    with filesystem.open_input_file(path) as handle:
-        return _header(handle)
-
-
-def _list(filesystem: fs.FileSystem, path: str) -> list[fs.FileInfo]:
-    found = filesystem.get_file_info(fs.FileSelector(path))
-    return [f for f in found if not f.base_name.startswith(("_", "."))]
-
-
-def _find_files(filesystem: fs.FileSystem, root: str, group: str) -> Iterator[str]:
-    """Folders at any depth that hold ``group``, in a fixed order.
-
-    Folders are listed some hundreds at a time, in parallel, and no further than
-    the caller asks for.
-    """
-    level = [root]
-    with ThreadPoolExecutor(PLANNING_THREADS) as pool:
-        while level:
-            deeper = []
-            for i in range(0, len(level), LISTING_CHUNK):
-                chunk = level[i : i + LISTING_CHUNK]
-                for parent, entries in zip(chunk, pool.map(partial(_list, filesystem), chunk)):
-                    folders = [e for e in entries if e.type == fs.FileType.Directory]
-                    if any(e.base_name == group for e in folders):
-                        yield parent
-                    else:
-                        deeper += [e.path for e in folders]
-            level = sorted(deeper)
-
-
-@dataclass
-class Slice(InputPartition):
-    file: str
-    begin: int
-    end: int
-
-
-class ColumnGroupSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "colgroup"
-
-    def groups(self) -> list[str]:
-        groups = [g.strip().strip("/") for g in self.options.get("groups", "").split(",")]
-        if not all(groups):
-            raise ValueError("option 'groups' is required")
-        return groups
-
-    def datasets(self) -> dict[str, tuple[str, str, np.dtype]]:
-        """Column -> (group, dataset, dtype), as the first file has them."""
-        filesystem, root = _open(self.options["path"])
-        groups = self.groups()
-        first = next(_find_files(filesystem, root, groups[0]), None)
-        if first is None:
-            raise ValueError(f"no file below {root} has group {groups[0]}")
-        out = {}
-        for group in groups:
-            for entry in _list(filesystem, f"{first}/{group}"):
-                if entry.base_name.endswith(SUFFIX):
-                    dataset = entry.base_name.removesuffix(SUFFIX)
-                    dtype = _read_header(filesystem, entry.path).dtype
-                    out[column_name(dataset)] = (group, dataset, dtype)
-        return out
-
-    def schema(self) -> T.StructType:
-        found = self.datasets()
-        wanted = self.options.get("columns")
-        names = [column_name(c.strip()) for c in wanted.split(",")] if wanted else sorted(found)
-        missing = [n for n in names if n not in found]
-        if missing:
-            raise ValueError(f"missing datasets: {missing}")
-        return T.StructType(
-            [T.StructField(n, _SPARK_TYPES[found[n][2].str[1:]], False) for n in names]
-        )
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        found = {n.lower(): v for n, v in self.datasets().items()}
-        missing = [n for n in schema.names if n.lower() not in found]
-        if missing:
-            raise ValueError(f"missing datasets: {missing}")
-        columns = [(f, *found[f.name.lower()][:2]) for f in schema]
-        return _Reader(self.options, self.groups(), columns)
-
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        if overwrite:
-            raise ValueError("colgroup can only append")
-        return _Writer(self.options, _route(schema.names, self.groups()))
-
-
-def _route(columns: list[str], groups: list[str]) -> dict[str, str]:
-    """Column -> group. Of several groups, it is the one the column's name begins with."""
-    if len(groups) == 1:
-        return dict.fromkeys(columns, groups[0])
-    routes = {
-        c: g for c in columns for g in groups if c.startswith((f"{g}_", f"{g}."))
-    }
-    lost = [c for c in columns if c not in routes]
-    if lost:
-        raise ValueError(f"columns of no group: {lost}")
-    return routes
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options, groups, columns):
-        self.path = options["path"]
-        self.groups = groups
-        self.columns = columns
-        self.slices = int(options.get("slices_per_file", 0))
-        self.slice_bytes = int(options.get("slice_bytes", 128 << 20))
-
-    def _plan_file(self, filesystem: fs.FileSystem, file: str) -> list[Slice]:
-        # One array per group tells the length, and that the groups are aligned.
-        probes = {group: dataset for _, group, dataset in self.columns}
-        rows = {
-            g: _read_header(filesystem, f"{file}/{g}/{d}{SUFFIX}").rows for g, d in probes.items()
-        }
-        if len(set(rows.values())) > 1:
-            raise ValueError(f"groups of {file} are not row-aligned: {rows}")
-        total = next(iter(rows.values()))
-        slices = self.slices
-        if not slices:
-            width = sum(_bytes(f.dataType) for f, _, _ in self.columns)
-            slices = max(1, math.ceil(total * width / self.slice_bytes))
-        return [Slice(file, a, b) for a, b in plan_slices(total, slices)]
-
-    def partitions(self) -> list[Slice]:
-        filesystem, root = _open(self.path)
-        files = list(_find_files(filesystem, root, self.groups[0]))
-        with ThreadPoolExecutor(PLANNING_THREADS) as pool:
-            planned = pool.map(lambda f: self._plan_file(filesystem, f), files)
-            return [s for slices in planned for s in slices]
-
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        filesystem, _ = _open(self.path)
-        names = [f.name for f, _, _ in self.columns]
-        handles, arrays = [], []
-        try:
-            for _, group, dataset in self.columns:
-                path = f"{partition.file}/{group}/{dataset}{SUFFIX}"
-                handles.append(filesystem.open_input_file(path))
-                arrays.append(_header(handles[-1]))
-            if any(partition.end > a.rows for a in arrays):
-                raise ValueError(f"a dataset of {partition.file} is too short")
-            for begin in range(partition.begin, partition.end, BATCH_ROWS):
-                n = min(BATCH_ROWS, partition.end - begin)
-                columns = []
-                for (field, _, _), handle, array in zip(self.columns, handles, arrays):
-                    size = array.dtype.itemsize
-                    raw = handle.read_at(n * size, array.offset + begin * size)
-                    values = np.frombuffer(raw, array.dtype, n)
-                    columns.append(pa.array(values.astype(_numpy(field.dataType), copy=False)))
-                yield pa.RecordBatch.from_arrays(columns, names)
-        finally:
-            for handle in handles:
-                handle.close()
-
-
-def _numpy(kind: T.DataType) -> np.dtype:
-    return np.dtype(
-        {
-            T.LongType: "i8",
-            T.IntegerType: "i4",
-            T.ShortType: "i2",
-            T.ByteType: "i1",
-            T.FloatType: "f4",
-            T.DoubleType: "f8",
-        }[type(kind)]
-    )
-
-
-def _bytes(kind: T.DataType) -> int:
-    return _numpy(kind).itemsize
-
-
-@dataclass
-class _Staged(WriterCommitMessage):
-    files: list[str]
-
-
-class _Writer(DataSourceArrowWriter):
-    """Tasks write to a staging folder; files of finished tasks are then moved in."""
-
-    def __init__(self, options, routes):
-        self.path = options["path"]
-        self.routes = routes
-        self.rows_per_file = int(options.get("rows_per_file", 1 << 20))
-        self.staging = f"_staging-{uuid.uuid4().hex}"
-
-    def _flush(self, filesystem: fs.FileSystem, root: str, batches: list[pa.RecordBatch]) -> str:
-        table = pa.Table.from_batches(batches)
-        name = f"part-{uuid.uuid4().hex}"
-        folder = posixpath.join(root, self.staging, name)
-        for group in set(self.routes.values()):
-            filesystem.create_dir(f"{folder}/{group}", recursive=True)
-        for column in table.column_names:
-            values = table.column(column)
-            if values.null_count:
-                raise ValueError(f"column {column} has NULLs; an array cannot hold them")
-            path = f"{folder}/{self.routes[column]}/{column}{SUFFIX}"
-            with filesystem.open_output_stream(path) as out:
-                np.lib.format.write_array(out, values.to_numpy(), allow_pickle=False)
-        return name
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Staged:
-        filesystem, root = _open(self.path)
-        files, waiting, rows = [], [], 0
-        for batch in iterator:
-            while batch.num_rows:
-                part = batch.slice(0, self.rows_per_file - rows)
-                batch = batch.slice(part.num_rows)
-                waiting.append(part)
-                rows += part.num_rows
-                if rows == self.rows_per_file:
-                    files.append(self._flush(filesystem, root, waiting))
-                    waiting, rows = [], 0
-        if rows:
-            files.append(self._flush(filesystem, root, waiting))
-        return _Staged(files)
-
-    def commit(self, messages: list[_Staged | None]) -> None:
-        filesystem, root = _open(self.path)
-        names = [n for m in messages if m for n in m.files]
-
-        def move(name: str) -> None:
-            filesystem.move(f"{root}/{self.staging}/{name}", f"{root}/{name}")
-
-        filesystem.create_dir(root, recursive=True)
-        with ThreadPoolExecutor(PLANNING_THREADS) as pool:
-            list(pool.map(move, names))
-        self._drop_staging(filesystem, root)
-
-    def abort(self, messages: list[_Staged | None]) -> None:
-        self._drop_staging(*_open(self.path))
-
-    def _drop_staging(self, filesystem: fs.FileSystem, root: str) -> None:
-        folder = f"{root}/{self.staging}"
-        if filesystem.get_file_info(folder).type == fs.FileType.Directory:
-            filesystem.delete_dir(folder)
-
-
-def register_colgroup(spark: SparkSession) -> None:
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        filesystem, path = fs.FileSystem.from_uri(path)
+    else:
+        filesystem = fs.LocalFileSystem()
+    return filesystem.open_input_file(path)
+
+
+def _header(path: str) -> tuple[str, int, int]:
+    """Type, rows and start of the values of an array."""
+    with _open(path) as handle:
+        version = np.lib.format.read_magic(handle)
+        read = {
+            (1, 0): np.lib.format.read_array_header_1_0,
+            (2, 0): np.lib.format.read_array_header_2_0,
+        }[version]
+        shape, _, dtype = read(handle)
+        if len(shape) != 1:
+            raise ValueError(f"{path} must be one-dimensional, has shape {shape}")
+        return dtype.str, shape[0], handle.tell()
+
+
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kinds, rows, offsets = zip(*map(_header, batch.column("path").to_pylist())) if batch.num_rows else ([], [], [])
+        columns = [*batch.columns, pa.array(kinds, pa.string()), pa.array(rows, pa.int64()), pa.array(offsets, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "kind", "rows", "offset"])
+
+
+def list_arrays(spark: SparkSession, path: str, groups: Sequence[str]) -> DataFrame:
+    """The arrays of ``groups`` below ``path``: path, file, group, dataset, kind, rows, offset."""
     ship_package(spark)
-    spark.dataSource.register(ColumnGroupSource)
+    found = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.npy")
+        .load(path)
+        .select("path")
+    )
+    part = lambda k: F.regexp_extract("path", r"^(.*)/([^/]+)/([^/]+)\.npy$", k)
+    named = found.select("path", part(1).alias("file"), part(2).alias("group"), part(3).alias("dataset"))
+    schema = "path string, file string, group string, dataset string, kind string, rows long, offset long"
+    ensure_checkpoint_dir(spark)
+    return named.filter(F.col("group").isin(*groups)).mapInArrow(_headers, schema).checkpoint()
+
+
+def _column_types(arrays: DataFrame) -> dict[str, tuple[str, str, T.DataType]]:
+    """Column -> (group, dataset, type that holds the values of all files)."""
+    out: dict[str, tuple[str, str, T.DataType]] = {}
+    kinds = arrays.groupBy("group", "dataset", F.substr("kind", F.lit(2)).alias("kind"))
+    for row in kinds.agg(F.min("path").alias("path")).orderBy("group", "dataset", "kind").collect():
+        if row["kind"] not in _TYPES:
+            raise ValueError(f"{row['path']}: no column type for arrays of type {row['kind']}")
+        name, kind = column_name(row["dataset"]), _TYPES[row["kind"]]
+        known = out.get(name, (row["group"], row["dataset"], kind))
+        if known[:2] != (row["group"], row["dataset"]):
+            raise ValueError(f"two datasets would be column {name}: {known[:2]}, {(row['group'], row['dataset'])}")
+        out[name] = (row["group"], row["dataset"], common_type(known[2], kind))
+    return out
+
+
+def cut_slices(rows: Column, slices: Column) -> Column:
+    """``rows`` cut into ``slices`` of equal length, the last taking the rest, without empty ones."""
+    step = F.floor(rows / slices)
+    cut = lambda i: F.struct(
+        (i * step).alias("begin"), F.when(i == slices - 1, rows).otherwise((i + 1) * step).alias("end")
+    )
+    cuts = F.transform(F.sequence(F.lit(0).cast("long"), (slices - 1).cast("long")), cut)
+    return F.filter(cuts, lambda c: c["begin"] < c["end"])
+
+
+def _ranges(fields: Sequence[T.StructField]):
+    names, types = [f.name for f in fields], [np.dtype(_NUMPY[f.dataType]) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                arrays = sorted(row["arrays"], key=lambda a: a["at"])
+                handles = [_open(a["path"]) for a in arrays]
+                try:
+                    for begin in range(row["begin"], row["end"], BATCH_ROWS):
+                        n = min(BATCH_ROWS, row["end"] - begin)
+                        columns = []
+                        for handle, array, kind in zip(handles, arrays, types):
+                            stored = np.dtype(array["kind"])
+                            raw = handle.read_at(n * stored.itemsize, array["offset"] + begin * stored.itemsize)
+                            values = np.frombuffer(raw, stored, n)
+                            columns.append(pa.array(values.astype(kind, casting="safe" if stored.kind != "b" else "unsafe")))
+                        yield pa.RecordBatch.from_arrays(columns, names)
+                finally:
+                    for handle in handles:
+                        handle.close()
+
+    return run
 
 
 def read_colgroup(
@@ -350,21 +164,54 @@ def read_colgroup(
     *groups: str,
     columns: Sequence[str] | None = None,
     slices_per_file: int | None = None,
+    slice_bytes: int = SLICE_BYTES,
 ) -> DataFrame:
-    """Load one group, or several row-aligned ones as one table."""
-    register_colgroup(spark)
-    reader = spark.read.format("colgroup").option("groups", ",".join(groups))
-    if columns:
-        reader = reader.option("columns", ",".join(columns))
-    if slices_per_file:
-        reader = reader.option("slices_per_file", str(slices_per_file))
-    return reader.load(path)
-
+    """The rows of one group, or of several row-aligned ones side by side.
 
-def write_colgroup(
-    df: DataFrame, path: str, *groups: str, rows_per_file: int = 1 << 20
-) -> None:
-    """Append ``df`` as new files of one group, or of several row-aligned ones."""
-    register_colgroup(df.sparkSession)
-    writer = df.write.format("colgroup").option("groups", ",".join(groups))
-    writer.option("rows_per_file", str(rows_per_file)).mode("append").save(path)
+    ``columns`` (dataset or column names) are read, by default all that the groups
+    have anywhere, in the order of their names. A column has the narrowest type that
+    holds its values in all files. A file that lacks one of the arrays, or whose
+    arrays differ in length, is an error.
+    """
+    groups = tuple(g.strip("/") for g in groups)
+    if slices_per_file is not None and slices_per_file < 1:
+        raise ValueError("slices must be positive")
+    arrays = list_arrays(spark, path, groups)
+    found = _column_types(arrays)
+    lost = [g for g in groups if g not in {v[0] for v in found.values()}]
+    if lost:
+        raise ValueError(f"no file below {path} has group {lost[0]}")
+    names = [column_name(c) for c in columns] if columns else sorted(found)
+    by_lower = {n.lower(): n for n in found}
+    missing = [n for n in names if n.lower() not in by_lower]
+    if missing:
+        raise ValueError(f"missing datasets: {missing}")
+    chosen = [found[by_lower[n.lower()]] for n in names]
+    fields = [T.StructField(n, kind, False) for n, (_, _, kind) in zip(names, chosen)]
+    place = reduce(
+        lambda at, k: at.when((F.col("group") == chosen[k][0]) & (F.col("dataset") == chosen[k][1]), k),
+        range(len(chosen)),
+        F.when(F.lit(False), -1),
+    )
+    files = (
+        arrays.withColumn("at", place)
+        .filter("at IS NOT NULL")
+        .groupBy("file")
+        .agg(
+            F.min("rows").alias("rows"),
+            F.max("rows").alias("most"),
+            F.collect_list(F.struct("at", "path", "kind", "offset")).alias("arrays"),
+        )
+    )
+    odd = files.filter((F.col("rows") != F.col("most")) | (F.size("arrays") != len(chosen))).select("file", "rows", "most").first()
+    if odd:
+        raise ValueError(f"the arrays of {odd['file']} are not row-aligned or not all there: {odd['rows']} to {odd['most']} rows")
+    if slices_per_file is None:
+        width = sum(np.dtype(_NUMPY[f.dataType]).itemsize for f in fields)
+        slices = F.greatest(F.lit(1), F.ceil(F.col("rows") * width / slice_bytes))
+    else:
+        slices = F.lit(slices_per_file)
+    cut = files.select("file", "arrays", F.explode(cut_slices(F.col("rows"), slices)).alias("cut"))
+    cut = cut.select("file", "arrays", "cut.begin", "cut.end")
+    tasks = max(1, cut.count())
+    return cut.repartition(tasks).mapInArrow(_ranges(fields), T.StructType(fields))

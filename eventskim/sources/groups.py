@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.aggregates import column_sums
+from ..operators.provenance import tag_provenance
 from ..operators.rows import FILE, ROW, stamp_rows
-from ..schema import column_name, group_schema
+from ..schema import GROUP_FIELDS, column_name, group_schema
 
 
 def _reader(spark: SparkSession):
@@ -31,9 +34,16 @@ def _wanted(group: str, columns: Sequence[str] | None) -> T.StructType:
     return T.StructType([known[c.lower()] for c in columns])
 
 
-def _stored(found: T.StructType, wanted: T.StructType) -> T.StructType:
-    """The found fields that carry ``wanted``, by name after renaming."""
+def _stored(found: T.StructType, wanted: T.StructType, group: str) -> T.StructType:
+    """The found fields that carry ``wanted``, by name after renaming.
+
+    Fields of event groups are stored bare or with the group's name before them.
+    """
     by_name = {column_name(f.name).lower(): f for f in found}
+    prefix = f"{group.strip('/').lower()}_"
+    for name in list(by_name):
+        if name.startswith(prefix):
+            by_name.setdefault(name.removeprefix(prefix), by_name[name])
     missing = [f.name for f in wanted if f.name.lower() not in by_name]
     if missing:
         raise ValueError(f"missing datasets: {missing}")
@@ -53,7 +63,9 @@ _WIDENING = (
 def _wider(stored: T.DataType, wanted: T.DataType) -> T.DataType:
     if stored not in _WIDENING:
         raise ValueError(f"a dataset cannot be {stored.simpleString()}")
-    if wanted == T.FloatType() and stored in (T.IntegerType(), T.LongType()):
+    if T.LongType() in (stored, wanted) and {stored, wanted} & {T.FloatType(), T.DoubleType()}:
+        raise ValueError("64-bit integers and fractions have no common type")
+    if {stored, wanted} == {T.FloatType(), T.IntegerType()}:
         return T.DoubleType()
     return max(stored, wanted, key=_WIDENING.index)
 
@@ -65,12 +77,12 @@ def bind_group(
 
     Columns are found by name, whatever their order, and row stamps stay. A field
     gets its catalogue type, or the one it has where that is wider, so no value is
-    ever cut. A missing dataset is an error.
+    ever cut; 64-bit integers for fractions are an error, as is a missing dataset.
     """
     wanted = _wanted(group, columns)
     cast = [
         _quoted(s.name).cast(_wider(s.dataType, w.dataType)).alias(w.name)
-        for s, w in zip(_stored(df.schema, wanted), wanted)
+        for s, w in zip(_stored(df.schema, wanted, group), wanted)
     ]
     return df.select(*cast, *[c for c in (FILE, ROW) if c in df.columns])
 
@@ -139,18 +151,67 @@ def copy_format(spark: SparkSession, source: str, target: str) -> T.StructType:
     return schema
 
 
+def _appended(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    """``rows`` as a group of ``schema`` stores them; a type that holds less is an error."""
+    if {c.lower() for c in rows.columns} != {n.lower() for n in schema.names}:
+        raise ValueError(f"columns differ: {rows.columns} and {schema.names}")
+    found = {f.name.lower(): f.dataType for f in rows.schema}
+    for f in schema:
+        kind = found[f.name.lower()]
+        if kind != f.dataType and _wider(kind, f.dataType) != f.dataType:
+            raise ValueError(f"{f.name} is {kind.simpleString()}, which {f.dataType.simpleString()} would cut")
+    return rows.select(*[_quoted(f.name).cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _all_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """The rows of all files below ``paths``, whose columns may come in another order."""
+    return _reader(spark).option("mergeSchema", "true").parquet(*paths)
+
+
 def merge_groups(spark: SparkSession, sources: Sequence[str], target: str) -> None:
     """Append the rows of every source to the group at ``target``, bound by name.
 
     The columns of the target rule. They must be those of the sources, all of
-    whose files are looked at, in parallel.
+    whose files are looked at, in parallel, and their types must hold all values.
     """
     schema = _reader(spark).parquet(target).schema
-    rows = _reader(spark).option("mergeSchema", "true").parquet(*sources)
-    if {c.lower() for c in rows.columns} != {n.lower() for n in schema.names}:
-        raise ValueError(f"columns differ: {rows.columns} and {schema.names}")
-    bound = [_quoted(f.name).cast(f.dataType) for f in schema]
-    rows.select(*bound).write.mode("append").parquet(target)
+    _appended(_all_files(spark, *sources), schema).write.mode("append").parquet(target)
+
+
+def stored_groups(spark: SparkSession, root: str) -> list[str]:
+    """Names of the catalogue's groups that have a folder below ``root``."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
+    names = {status.getPath().getName() for status in found if status.isDirectory()}
+    return [g for g in GROUP_FIELDS if g in names]
+
+
+def merge_sample(spark: SparkSession, sources: Sequence[str], target: str, groups: Sequence[str] | None = None) -> list[str]:
+    """Merge samples, folders of groups, into a new one at ``target``; the merged groups.
+
+    Each row is stored with the tags ``stype`` and ``snum`` of its sample's name, the
+    last part of its folder. All groups of the first sample are merged, or those in
+    ``groups``; the first sample gives the columns, and types must hold the others'.
+    """
+    groups = list(groups or stored_groups(spark, sources[0]))
+    for group in groups:
+        tagged = []
+        for source in sources:
+            rows = _all_files(spark, f"{source.rstrip('/')}/{group}")
+            tagged.append(tag_provenance(rows, F.lit(source.rstrip("/").rsplit("/", 1)[-1])))
+        schema = tagged[0].schema
+        merged = reduce(DataFrame.unionAll, [_appended(rows, schema) for rows in tagged])
+        merged.write.mode("errorifexists").parquet(f"{target.rstrip('/')}/{group}")
+    return groups
+
+
+def sum_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Sums of all columns of all groups below ``root``: (group, dataset, total)."""
+    sums = [column_sums(read_dynamic(spark, f"{root.rstrip('/')}/{g}"), g) for g in stored_groups(spark, root)]
+    if not sums:
+        raise ValueError(f"no group below {root}")
+    return reduce(DataFrame.unionAll, sums)
 
 
 def write_histogram(hist: DataFrame, path: str, mode: str = "errorifexists") -> None:

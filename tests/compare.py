@@ -42,6 +42,8 @@ def assert_same(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> int:
         "INTEGER": "int",
         "TINYINT": "tinyint",
         "DOUBLE": "double",
+        "FLOAT": "float",
+        "SMALLINT": "smallint",
         "VARCHAR": "string",
         "BOOLEAN": "boolean",
     }

@@ -73,3 +73,11 @@ def test_sums_and_counts(spark):
     want = {("G", "i", 3.0), ("G", "weight", -1.0)}
     assert {tuple(r) for r in column_sums(df, "G").collect()} == want
     assert {tuple(r) for r in column_sums(df, "G", decimals=2).collect()} == want
+
+
+def test_exact_sums_refuse_more_decimals(spark):
+    df = spark.createDataFrame([(0.25, 2**60), (None, 1), (1234.5678, -1)], "x double, n long")
+    sums = {r.dataset: r.total for r in column_sums(df, "G", decimals=4).collect()}
+    assert sums == {"x": 1234.8178, "n": float(2**60)}
+    with pytest.raises(Exception, match="x has more than 2 decimals"):
+        column_sums(df, "G", decimals=2).collect()

@@ -77,6 +77,15 @@ def test_muon(spark, form):
     assert form(df).filter("NOT passfilter").count() == 0
 
 
+def test_muon_forms_agree_on_null(spark):
+    """A NULL neutral part counts as nothing; NULL elsewhere fails the cut."""
+    changes = [{c: None} for c in MUON] + [{}, {"Muon_neuHadIso": None, "Muon_chHadIso": 1.3}]
+    df = frame(spark, MUON, *changes, types="Muon_pogIDBits int")
+    native, twin = ids(filter_muon(df)), ids(filter_muon_udf(df))
+    assert native == twin
+    assert [list(MUON)[i] for i in native if i < len(MUON)] == ["Muon_neuHadIso", "Muon_gammaIso", "Muon_puIso"]
+
+
 def test_tau(spark):
     base = {"Tau_pt": 10.0, "Tau_eta": 0.0, "Tau_hpsDisc": 65536, "Tau_rawIso3Hits": 5.0}
     df = frame(
@@ -207,6 +216,8 @@ def test_electron_variants(spark):
     assert ids(filter_electron(df, veto_conversions=True)) == [0]
     assert ids(filter_electron(df, subtract_pileup=True)) == [0, 1, 2, 3, 4]
     assert ids(filter_electron(df, True, True)) == [0, 2, 4]
+    # Where the area must be known, the last one fails whatever its isolation.
+    assert ids(filter_electron(df, subtract_pileup=True, need_area=True)) == [0, 1, 2, 3]
 
 
 JET = {

@@ -67,9 +67,31 @@ def test_scan_index_is_dense(spark, pair):
     assert again == {tuple(r) for r in out.collect()}
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_index_of_any_table(spark, monkeypatch, limit):
-    monkeypatch.setattr("eventskim.operators.rows.BROADCAST_ENTRIES", limit)
+def test_zip_of_a_partitioned_table(spark, tmp_path):
+    """Each folder's files have the same names; rows are still paired one to one."""
+    path = str(tmp_path / "with space+plus")
+    spark.range(60).select("id", (F.col("id") % 3).alias("part")).coalesce(1).write.partitionBy("part").parquet(path)
+    for root in (None, path, f"file:{path}"):
+        one = stamp_rows(spark.read.parquet(path), root)
+        assert zip_rows(one, one.select(F.col("id").alias("other"), "_file", "_row")).filter("id = other").count() == 60
+        assert zip_rows(one, one.select(F.col("id").alias("other"), "_file", "_row")).count() == 60
+    names = {r[0] for r in stamp_rows(spark.read.parquet(path), path).select("_file").distinct().collect()}
+    assert len(names) == 3 and all(n.startswith("part=") for n in names)
+    with pytest.raises(Exception, match="not below the root"):
+        stamp_rows(spark.read.parquet(path), str(tmp_path / "other")).collect()
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_index_of_any_table(spark, broadcast):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        check_index(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def check_index(spark):
     df = spark.range(0, 1000, 1, 7).filter("id % 3 <> 0").repartition(5, "id")
     out = add_row_index(df)
     assert sorted(r["_index"] for r in out.collect()) == list(range(df.count()))

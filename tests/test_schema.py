@@ -43,16 +43,17 @@ def test_event_keys():
 
 
 def test_paths():
-    assert split_path("/Photon/Photon.passElectronVeto") == ("/Photon/", "Photon.passElectronVeto")
-    assert column_names(["Muon.eta", "runNum"]) == ["Muon_eta", "runNum"]
+    assert split_path("/run/a/Kaon.mass") == ("/run/a/", "Kaon.mass")
+    assert split_path("mass") == ("", "mass")
+    assert column_names(["Kaon.mass", "weight"]) == ["Kaon_mass", "weight"]
 
 
 def test_schemas_from_paths():
-    paths = ["/CA15Puppi/CA15Puppi.unc", "/Electron/Electron.chHadIso", "/Electron/Electron.evtNum"]
+    paths = ["/Kaon/Kaon.mass", "/Pion/Pion.charge", "/Pion/Pion.event"]
     found = schemas_from_paths(paths)
-    assert list(found) == ["/CA15Puppi/", "/Electron/"]
-    assert found["/CA15Puppi/"] == T.StructType(
-        [T.StructField("CA15Puppi.unc", T.FloatType(), False)]
+    assert list(found) == ["/Kaon/", "/Pion/"]
+    assert found["/Kaon/"] == T.StructType([T.StructField("Kaon.mass", T.FloatType(), False)])
+    typed = schemas_from_paths(paths, {"Pion.event": T.IntegerType()}, rename=True)
+    assert typed["/Pion/"] == T.StructType(
+        [T.StructField("Pion_charge", T.FloatType(), False), T.StructField("Pion_event", T.IntegerType(), False)]
     )
-    typed = schemas_from_paths(paths, {"Electron.evtNum": T.IntegerType()}, rename=True)
-    assert typed["/Electron/"]["Electron_evtNum"].dataType == T.IntegerType()

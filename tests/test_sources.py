@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,20 +7,21 @@ from pyspark.sql import types as T
 
 from eventskim.operators import stamp_rows, zip_rows
 from eventskim.plans import pipelines as p
-from eventskim.plans.fixtures import view
+from eventskim.plans.fixtures import stored, view, write_arrays
 from eventskim.schema import group_schema
 from eventskim.sources import (
     copy_format,
     merge_groups,
+    merge_sample,
     read_colgroup,
     read_columns,
     read_dynamic,
     read_group,
-    write_colgroup,
+    sum_groups,
     write_group,
     write_histogram,
 )
-from eventskim.sources.colgroup import plan_slices
+from eventskim.sources.colgroup import common_type, cut_slices
 
 
 def same(a, b):
@@ -130,14 +133,12 @@ def test_histogram_file(spark, sf_dir, tmp_path):
 # --- column arrays ---------------------------------------------------------------
 
 
-def test_slices():
-    assert plan_slices(10, 3) == [(0, 3), (3, 6), (6, 10)]
-    assert plan_slices(2, 5) == [(0, 2)]
-    assert plan_slices(0, 3) == []
-    for rows in range(40):
-        for slices in range(1, 12):
-            cuts = plan_slices(rows, slices)
-            assert [i for a, b in cuts for i in range(a, b)] == list(range(rows))
+def test_slices(spark):
+    cases = [(rows, n) for rows in (0, 1, 5, 100, 101) for n in (1, 2, 3, 7, 200)]
+    df = spark.createDataFrame(cases, "rows long, n int")
+    for rows, n, cuts in df.select("rows", "n", cut_slices(F.col("rows"), F.col("n"))).collect():
+        assert [i for a, b in cuts for i in range(a, b)] == list(range(rows))
+        assert len(cuts) <= n and all(b - a == rows // n for a, b in cuts[:-1])
 
 
 def save(path, **arrays):
@@ -194,9 +195,47 @@ def test_colgroup_columns(spark, arrays):
 
 
 def test_colgroup_slices_by_size(spark, arrays):
-    reader = spark.read.format("colgroup").option("groups", "Muon").option("columns", "Muon_id")
-    assert reader.load(arrays).rdd.getNumPartitions() == 2
-    assert reader.option("slice_bytes", "16").load(arrays).rdd.getNumPartitions() == 9
+    read = lambda **k: read_colgroup(spark, arrays, "Muon", columns=["Muon_id"], **k)
+    assert read().rdd.getNumPartitions() == 2
+    assert read(slice_bytes=16).rdd.getNumPartitions() == 9
+    assert sorted(r[0] for r in read(slice_bytes=16).collect()) == list(range(17))
+
+
+def test_colgroup_walks_below_groups(spark, tmp_path):
+    """A folder that holds the group may hold others that do."""
+    save(tmp_path / "a" / "Muon", x=np.arange(3))
+    save(tmp_path / "a" / "sub" / "Muon", x=np.arange(3, 5))
+    assert sorted(r.x for r in read_colgroup(spark, str(tmp_path), "Muon").collect()) == list(range(5))
+
+
+def test_colgroup_takes_the_wider_type(spark, tmp_path):
+    save(tmp_path / "a" / "G", n=np.array([1], "i4"), x=np.array([0.1], "f4"), u=np.array([200, 255], "u1")[:1], h=np.array([1.5], "f2"))
+    save(tmp_path / "b" / "G", n=np.array([2**40]), x=np.array([1e300]), u=np.array([65535], "u2"), h=np.array([2], ">i4"))
+    out = read_colgroup(spark, str(tmp_path), "G")
+    assert [f.dataType.simpleString() for f in out.schema] == ["double", "bigint", "int", "double"]
+    rows = sorted(map(tuple, out.collect()))
+    assert rows == [(1.5, 1, 200, float(np.float32(0.1))), (2.0, 2**40, 65535, 1e300)]
+
+
+@pytest.mark.parametrize("kind", ["c8", "u8", "U3", "M8[s]"])
+def test_colgroup_names_the_file_of_an_unknown_type(spark, tmp_path, kind):
+    save(tmp_path / "a" / "G", x=np.zeros(2, kind))
+    with pytest.raises(ValueError, match="G/x.npy: no column type"):
+        read_colgroup(spark, str(tmp_path), "G")
+
+
+def test_colgroup_refuses_what_no_type_holds(spark, tmp_path):
+    save(tmp_path / "a" / "G", x=np.array([2**60]))
+    save(tmp_path / "b" / "G", x=np.array([0.5]))
+    with pytest.raises(ValueError, match="no common type"):
+        read_colgroup(spark, str(tmp_path), "G")
+    assert common_type(T.ByteType(), T.FloatType()) == T.FloatType()
+
+
+def test_colgroup_refuses_arrays_of_different_length(spark, tmp_path):
+    save(tmp_path / "a" / "G", x=np.arange(3), y=np.arange(5))
+    with pytest.raises(ValueError, match="not row-aligned"):
+        read_colgroup(spark, str(tmp_path), "G")
 
 
 def test_colgroup_aligned_groups(spark, arrays, tmp_path):
@@ -213,41 +252,27 @@ def test_colgroup_aligned_groups(spark, arrays, tmp_path):
 def test_colgroup_dataset_missing_in_one_file(spark, arrays, tmp_path):
     save(tmp_path / "f4" / "Muon", Muon__id=np.arange(5))
     assert read_colgroup(spark, arrays, "Muon", columns=["Muon_id"]).count() == 22
-    with pytest.raises(Exception, match="Muon.pt"):
-        read_colgroup(spark, arrays, "Muon", columns=["Muon_id", "Muon_pt"]).collect()
+    with pytest.raises(ValueError, match="f4 are not row-aligned or not all there"):
+        read_colgroup(spark, arrays, "Muon", columns=["Muon_id", "Muon_pt"])
 
 
 def test_colgroup_round_trip(spark, sf_dir, tmp_path):
     electron = view(spark, sf_dir, "Electron").repartition(3)
     path = str(tmp_path / "out")
-    write_colgroup(electron, path, "Electron", rows_per_file=1000)
+    write_arrays(electron, path, "Electron", rows_per_file=1000)
     back = read_colgroup(spark, path, "Electron", slices_per_file=2)
     assert same(back.select(*electron.columns), electron)
     lengths = [len(np.load(f)) for f in (tmp_path / "out").glob("*/Electron/Electron_pt.npy")]
     assert sum(lengths) == electron.count() and max(lengths) <= 1000 and len(lengths) > 3
-    write_colgroup(electron, path, "Electron")
-    assert read_colgroup(spark, path, "Electron").count() == 2 * electron.count()
 
 
 def test_colgroup_routes_columns(spark, tmp_path):
     both = spark.range(10).select(F.col("id").alias("A_x"), (F.col("id") * 2).alias("B.y"))
-    write_colgroup(both, str(tmp_path / "ok"), "A", "B")
+    write_arrays(both, str(tmp_path / "ok"), "A", "B")
     back = read_colgroup(spark, str(tmp_path / "ok"), "A", "B", slices_per_file=2)
     assert {tuple(r) for r in back.select("A_x", "B_y").collect()} == {(i, 2 * i) for i in range(10)}
     with pytest.raises(Exception, match="of no group"):
-        write_colgroup(both.withColumn("z", F.lit(1)), str(tmp_path / "bad"), "A", "B")
-
-
-def test_colgroup_failed_write_leaves_nothing(spark, tmp_path):
-    path = tmp_path / "out"
-    bad = spark.range(0, 100, 1, 4).select(
-        F.when(F.col("id") < 99, F.col("id")).alias("x"), F.lit(1).alias("y")
-    )
-    with pytest.raises(Exception, match="has NULLs"):
-        write_colgroup(bad, str(path), "G", rows_per_file=10)
-    assert not path.exists() or list(path.iterdir()) == []
-    with pytest.raises(Exception, match="only append"):
-        bad.write.format("colgroup").option("groups", "G").mode("overwrite").save(str(path))
+        write_arrays(both.withColumn("z", F.lit(1)), str(tmp_path / "bad"), "A", "B")
 
 
 def test_aligned_scan_equals_positional_join(spark, sf_dir, tmp_path):
@@ -273,3 +298,45 @@ def test_stamps_do_not_depend_on_splits(spark, sf_dir, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert rows == {tuple(r) for r in whole.collect()}
+
+
+@pytest.mark.parametrize("prefix", ["", "GenEvtInfo."])
+def test_event_group_binds_bare_and_prefixed_names(spark, tmp_path, prefix):
+    names = [f"{prefix}runNum", f"{prefix}lumisec", f"{prefix}evtNum", "weight", "scalePDF"]
+    rows = spark.createDataFrame([(1, 2, 3, 0.5, 1.5)], "a int, b int, c int, d float, e float").toDF(*names)
+    write_group(rows, str(tmp_path), "GenEvtInfo")
+    found = read_group(spark, str(tmp_path), "GenEvtInfo")
+    assert found.columns == ["runNum", "lumiSec", "evtNum", "weight", "scalePDF"]
+    assert tuple(found.first()) == (1, 2, 3, 0.5, 1.5)
+
+
+def test_binding_refuses_long_for_fractions(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 3, 2**60, 1.5)], "runNum int, lumiSec int, evtNum int, weight long, scalePDF float")
+    write_group(rows, str(tmp_path), "GenEvtInfo")
+    with pytest.raises(ValueError, match="no common type"):
+        read_group(spark, str(tmp_path), "GenEvtInfo")
+
+
+def test_merge_never_narrows(spark, tmp_path):
+    spark.createDataFrame([(0.1, 1)], "x double, n int").write.parquet(str(tmp_path / "wide"))
+    spark.createDataFrame([(0.5, 2)], "x float, n int").write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="x is double, which float would cut"):
+        merge_groups(spark, [str(tmp_path / "wide")], str(tmp_path / "t"))
+    merge_groups(spark, [str(tmp_path / "t")], str(tmp_path / "wide"))
+    assert sorted(r.x for r in spark.read.parquet(str(tmp_path / "wide")).collect()) == [0.1, 0.5]
+
+
+def test_merge_sample(spark, sf_dir, tmp_path):
+    for name in ("ttbar_a", "wjets_b"):
+        for group in ("Muon", "GenEvtInfo"):
+            write_group(stored(spark, sf_dir, group), str(tmp_path / name), group)
+    sources = [str(tmp_path / name) for name in ("ttbar_a", "wjets_b")]
+    assert sorted(merge_sample(spark, sources, str(tmp_path / "m"))) == ["GenEvtInfo", "Muon"]
+    merged = spark.read.parquet(str(tmp_path / "m" / "Muon"))
+    tags = {tuple(r) for r in merged.select("stype", "snum").distinct().collect()}
+    assert tags == {tuple(zlib.crc32(t.encode()) for t in pair) for pair in (("ttbar", "ttbar_a"), ("wjets", "wjets_b"))}
+    assert merged.count() == 2 * view(spark, sf_dir, "Muon").count()
+    sums = {(r.group, r.dataset): r.total for r in sum_groups(spark, str(tmp_path / "m")).collect()}
+    assert sums["Muon", "snum"] == merged.agg(F.sum("snum")).first()[0]
+    with pytest.raises(ValueError, match="no group below"):
+        sum_groups(spark, str(tmp_path))
