@@ -72,6 +72,27 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
         """,
+        "op8_repeats": r"""
+            WITH d AS (
+                SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+            ), windows AS (
+                SELECT doc_id, s, array_to_string(w[s:s + 19], ' ') AS k
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)
+            ), ordered AS (
+                SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS r FROM windows
+            ), gone AS (
+                SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(range(s, s + 20)) AS pos FROM ordered WHERE r > 1)
+            ), words AS (
+                SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d
+            ), kept AS (
+                SELECT words.doc_id, count(gone.pos) AS n_removed,
+                    string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE gone.pos IS NULL) AS text
+                FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY words.doc_id
+            )
+            SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
+                sha256(coalesce(kept.text, '')) AS kept_sha256
+            FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+        """,
         # Revisit resolution is a window over equal payloads; the archives are written and read by the query.
         "op9_warc": """
             WITH p AS (
