@@ -37,7 +37,7 @@ LOOKALIKES = {
 # Costs of changes, in nats.
 SUBSTITUTED, DROPPED_SIGN, DROPPED_RUN, KEPT_SIGN, JOINED, PARTED = 0.5, 12.0, 1.0, 12.0, 0.3, 2.0
 DOUBLE_TO_ONE, MANY_TO_ONE, MANY_TO_TWO = 4.0, 0.5, 1.0
-PER_CLASS = (6000, 4000)  # most labelled rows of label 0 and 1 that a fit looks at
+PER_CLASS = (5000, 3000)  # most labelled rows of label 0 and 1 that a fit looks at
 MOST_WORDS = 50_000  # most words that carry a weight
 TRIM = ".,;:?\"'`)]}>%&#*!-_("
 THRESHOLD = 0.5
@@ -231,12 +231,11 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "tox
     constant = share[1] / sum(share) if sum(share) else 0.5
     if not min(*total, *((y == k).sum() for k in (0, 1))):
         return ToxicityModel(constant=constant)
-    texts = [t.split(" ") for t in rows.texts]
 
     def found_in(k: int) -> Iterator[set[str]]:
-        for words, v, late in zip(texts, y, calibrates, strict=True):
+        for text, v, late in zip(rows.texts, y, calibrates, strict=True):
             if v == k and not late:
-                yield {f for w in set(words) for f in word_features(w)}
+                yield {f for w in set(text.split(" ")) for f in word_features(w)}
 
     toxic = Counter(f for features in found_in(1) for f in features)
     toxic = {f: n for f, n in toxic.items() if n > 1}
@@ -251,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, label: str = "tox
     weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:MOST_WORDS])
     found = ToxicityModel(weights, constant=constant)
     of = Recent(found.weight)
-    x = np.array([found.features(of, t) for t, late in zip(texts, calibrates, strict=True) if late])
+    x = np.array([found.features(of, t.split(" ")) for t, late in zip(rows.texts, calibrates, strict=True) if late])
     found.coefficients = fit_logistic(x, y[calibrates], rows.weights)
     return found
 
