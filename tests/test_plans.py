@@ -4,9 +4,10 @@ import re
 
 import pytest
 
-import __spark_entry__ as contract
-from eventskim.operators import filter_muon, join_event, stamp_rows
+from eventskim.functions import ELECTRON_AREA
+from eventskim.operators import filter_muon, join_event, stamp_rows, step_lookup_join
 from eventskim.plans import pipelines as p
+from eventskim.plans import queries
 from eventskim.schema import event_key
 from eventskim.sources import read_group
 
@@ -31,9 +32,9 @@ def sort_merge(spark):
     spark.conf.set(key, before)
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", queries.queries())
 def test_no_query_crosses_or_leaves_the_jvm(spark, sf_dir, name):
-    text = plan(contract.queries()[name](spark, sf_dir))
+    text = plan(queries.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text
     assert "BroadcastNestedLoopJoin" not in text
     if name not in PYTHON_QUERIES:
@@ -99,3 +100,11 @@ def test_aggregation_leads_with_the_event_number(spark, root):
     run, lumi, evt = event_key("Muon")
     text = re.sub(r"#\d+L?", "", plan(p.leading_muons(read_group(spark, root, "Muon"))))
     assert f"hashpartitioning({evt}, {lumi}, {run}" in text
+
+
+def test_lookup_by_join_moves_no_row(spark, root, sort_merge):
+    """Its bins are literals of known size, sent to the tasks even where broadcasts are off."""
+    electrons = read_group(spark, root, "Electron").select("Electron_evtNum", "Electron_eta")
+    looked_up = step_lookup_join(electrons, "Electron_eta", ELECTRON_AREA, "area")
+    looked_up.collect()
+    assert shuffles(looked_up) == 0
