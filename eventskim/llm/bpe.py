@@ -101,9 +101,6 @@ class Bpe:
             self.bytes[i] = content.encode()
         self.added = added
         self.split_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.known: dict[tuple[int, int], bool] = {}
-        self.piece = Recent(self._encode_piece)
-        self.after_space = Recent(self._encode_after_space)
 
     def goes_with(self, left: int, right: int, before: float = float("inf")) -> bool:
         """Whether no merge across the border would have come before those that made the two.
@@ -124,12 +121,27 @@ class Bpe:
             else:
                 before, right = b + 1, self.parts[right][0]
 
+    def decode(self, ids: bytes) -> str:
+        """Text of packed ids; bytes that are not UTF-8 become replacement characters."""
+        tokens = np.frombuffer(ids, "<u4").tolist()
+        return b"".join(map(self.bytes.__getitem__, tokens)).decode("utf-8", "replace")
+
+
+class Encoder:
+    """Encodes texts; remembers pieces, so it should not outlive a task."""
+
+    def __init__(self, bpe: Bpe):
+        self.bpe = bpe
+        self.known: dict[tuple[int, int], bool] = {}
+        self.piece = Recent(self._encode_piece)
+        self.after_space = Recent(self._encode_after_space)
+
     def _encode_piece(self, piece: str) -> bytes:
         """Ids of a piece as little-endian 32-bit integers."""
-        text = piece.encode().decode("latin-1").translate(self.letters)
+        text = piece.encode().decode("latin-1").translate(self.bpe.letters)
         n, known = len(text), self.known
         last: list[tuple[int, int] | None] = [None] * (n + 1)
-        for end, (length, token) in self.automaton.iter(text):
+        for end, (length, token) in self.bpe.automaton.iter(text):
             if last[end + 1] is not None:
                 continue
             start = end + 1 - length
@@ -139,7 +151,7 @@ class Bpe:
                 if fits is None:
                     if len(known) >= KEPT:
                         known.clear()
-                    fits = known[pair] = self.goes_with(*pair)
+                    fits = known[pair] = self.bpe.goes_with(*pair)
                 if not fits:
                     continue
             last[end + 1] = (start, token)
@@ -153,7 +165,10 @@ class Bpe:
     def _encode_after_space(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Spaced
-        return b"".join(map(self.piece.__getitem__, pieces(" " + word)))
+        found = pieces(" " + word)
+        if len(found) == 1:  # remembered as a word
+            return self._encode_piece(found[0])
+        return b"".join(map(self.piece.__getitem__, found))
 
     def _encode_plain(self, text: str) -> bytes:
         # A single space between other letters always starts a piece, so the words
@@ -169,21 +184,16 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` as little-endian 32-bit integers."""
-        if not self.split_added or not any(content in text for content in self.added):
+        if not self.bpe.split_added or not any(content in text for content in self.bpe.added):
             return self._encode_plain(text) if text else b""
         out, at = [], 0
-        for found in self.split_added.finditer(text):
+        for found in self.bpe.split_added.finditer(text):
             out.append(self._encode_plain(text[at : found.start()]) if found.start() > at else b"")
-            out.append(struct.pack("<I", self.added[found[0]]))
+            out.append(struct.pack("<I", self.bpe.added[found[0]]))
             at = found.end()
         out.append(self._encode_plain(text[at:]) if at < len(text) else b"")
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        """Text of packed ids; bytes that are not UTF-8 become replacement characters."""
-        tokens = np.frombuffer(ids, "<u4").tolist()
-        return b"".join(map(self.bytes.__getitem__, tokens)).decode("utf-8", "replace")
-
 
 @cache
 def load(path: str) -> Bpe:
@@ -199,8 +209,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     """
     
     def start():
-        bpe = load(path)
-        return lambda texts: [pa.array([bpe.encode(t or "") for t in texts], pa.binary())]
+        encoder = Encoder(load(path))
+        return lambda texts: [pa.array([encoder.encode(t or "") for t in texts], pa.binary())]
 
     return mapped(df, text, {ids: "binary"}, start)
 
@@ -220,9 +230,10 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
 
     def start():
         bpe = load(path)
+        encoder = Encoder(bpe)
 
         def both(texts: list[str | None]) -> list[pa.Array]:
-            packed = [bpe.encode(t or "") for t in texts]
+            packed = [encoder.encode(t or "") for t in texts]
             return [pa.array(packed, pa.binary()), pa.array(map(bpe.decode, packed), pa.string())]
 
         return both

@@ -40,7 +40,7 @@ def uniform(*keys: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))
 
 
-KEPT = 200_000  # entries of a cache generation
+KEPT = 120_000  # entries of a cache generation
 
 
 class Recent(dict):
