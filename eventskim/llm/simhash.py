@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fixed, utf8
+from .common import fixed, released, utf8
 from .components import components
 
 BITS = 64
@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``print``, the 64-bit fingerprint as a signed number, of every row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, print long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_fingerprints), "doc_id long, print long")
 
 
 @cache
@@ -122,7 +122,7 @@ def _members(prints: DataFrame, threshold: int) -> DataFrame:
             columns = [pa.array(anchor), pa.array(values[row]), pa.array(guest)]
             yield pa.RecordBatch.from_arrays(columns, names=["anchor", "print", "guest"])
 
-    return prints.select("print").mapInArrow(run, "anchor long, print long, guest tinyint")
+    return prints.select("print").mapInArrow(released(run), "anchor long, print long, guest tinyint")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +217,7 @@ def close_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         )
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "guest")
-    return sorted_.mapInArrow(_compare(threshold), "a long, b long")
+    return sorted_.mapInArrow(released(_compare(threshold)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

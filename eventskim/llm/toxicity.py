@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, mapped, slices, utf8
+from .common import Recent, mapped, released, slices, utf8
 from .labelled import fit_logistic, held_out, probability, sample
 
 #: Letters of the model in order; symbol 0 is a word's border, the last any other letter.
@@ -66,7 +66,7 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
 
     The counts are summed by Spark; the table's size does not depend on the input.
     """
-    counts = docs.select(text).mapInArrow(_count_trigrams, "trigram long, n long")
+    counts = docs.select(text).mapInArrow(released(_count_trigrams), "trigram long, n long")
     table = counts.groupBy("trigram").agg(F.sum("n").alias("n")).toArrow()
     n3 = np.zeros(SYMBOLS**3)
     n3[table["trigram"].to_numpy()] = table["n"].to_numpy()
