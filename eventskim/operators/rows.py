@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -11,15 +11,14 @@ FILE, ROW = "_file", "_row"
 MISALIGNED_SHOWN = 5
 
 
-def _qualified(df: DataFrame, root: str) -> str:
-    """``root`` as the scan names it: absolute, on the default file system if it says no other."""
+def _prefixes(df: DataFrame, root: str) -> list[str]:
+    """How the scan may begin the paths of files below ``root``: absolute and escaped."""
     context = df.sparkSession.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-def _without_scheme(path: Column) -> Column:
-    return F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    uri = path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    scheme, host, rest = uri.getScheme(), uri.getAuthority() or "", uri.getRawPath().rstrip("/")
+    # A path without a host is written with one slash or with three.
+    return [f"{scheme}://{host}{rest}", *([] if host else [f"{scheme}:{rest}"])]
 
 
 def stamp_rows(df: DataFrame, root: str | None = None) -> DataFrame:
@@ -28,17 +27,16 @@ def stamp_rows(df: DataFrame, root: str | None = None) -> DataFrame:
     ``df`` must come straight from a Parquet read. The id does not depend on how
     the scan was split, so a retried task gives the same one. ``_file`` is the path
     below ``root``, with which files of two tables are told to be the same; without
-    it, the whole path. Files outside ``root`` are an error.
+    it, the whole path. Paths are escaped as the scan names them. Files outside
+    ``root`` are an error.
     """
-    escaped = _without_scheme(F.col("_metadata.file_path"))
-    # The scan escapes its paths; a plus sign in one is no space.
-    file = F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+    path = file = F.col("_metadata.file_path")
     if root is not None:
-        base = _without_scheme(F.lit(_qualified(df, root).rstrip("/")))
-        outside = F.raise_error(F.concat(F.lit("not below the root: "), file)).cast("string")
-        below = F.startswith(file, F.concat(base, F.lit("/")))
-        # A root that is itself the file has an empty rest.
-        file = F.when(below, F.substr(file, F.length(base) + 2)).when(file == base, "").otherwise(outside)
+        file = F.raise_error(F.concat(F.lit("not below the root: "), path)).cast("string")
+        for prefix in _prefixes(df, root):
+            # A root that is itself the file has an empty rest.
+            below = F.startswith(path, F.lit(prefix + "/")) | (path == prefix)
+            file = F.when(below, F.substr(path, F.lit(len(prefix) + 2))).otherwise(file)
     return df.select("*", file.alias(FILE), F.col("_metadata.row_index").alias(ROW))
 
 
