@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import groupby
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóô
 SYMBOLS = 64
 OTHER = SYMBOLS - 1
 NUMBER = {letter: k for k, letter in enumerate(LETTERS, 1)}
+SHOWN = (" " + LETTERS).ljust(SYMBOLS, "?")
 #: What a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -37,6 +39,11 @@ LOOKALIKES = {
 # Costs of changes, in nats.
 SUBSTITUTED, DROPPED_SIGN, DROPPED_RUN, KEPT_SIGN, JOINED, PARTED = 0.5, 12.0, 1.0, 12.0, 0.3, 2.0
 DOUBLE_TO_ONE, MANY_TO_ONE, MANY_TO_TWO = 4.0, 0.5, 1.0
+UNCHANGED_DIGIT, UNCHANGED_SIGN = math.log(10), 5.0  # of a token without letters that is left as it is
+PIECES = 5.0  # by how much a join of two pieces of a word must be likelier than the blank
+PIECE = 4  # most letters of such a piece
+WINDOW = 512  # signs after which the beginning that all readings share is written out
+CACHED = 200  # longer tokens are restored each time, not remembered
 PER_CLASS = (5000, 3000)  # most labelled rows of label 0 and 1 that a fit looks at
 MOST_WORDS = 50_000  # most words that carry a weight
 TRIM = ".,;:?\"'`)]}>%&#*!-_("
@@ -78,35 +85,42 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log(p3).astype(np.float32).ravel()
 
 
-def lattice(token: str) -> list[list[tuple[tuple[int, ...], float]]]:
+def lattice(token: str) -> Iterator[list[tuple[tuple[int, ...], float]]]:
     """For each run of equal signs of ``token``, the symbols it may stand for and the costs."""
-    out = []
     for sign, run in groupby(token):
-        times = len(list(run))
+        times = sum(1 for _ in run)
         if sign.isalpha() and sign not in LOOKALIKES:
             s = NUMBER.get(sign, OTHER)
             if times == 1:
-                out.append([((s,), 0.0)])
+                yield [((s,), 0.0)]
             elif times == 2:
-                out.append([((s, s), 0.0), ((s,), DOUBLE_TO_ONE)])
+                yield [((s, s), 0.0), ((s,), DOUBLE_TO_ONE)]
             else:
-                out.append([((s,), MANY_TO_ONE), ((s, s), MANY_TO_TWO)])
+                yield [((s,), MANY_TO_ONE), ((s, s), MANY_TO_TWO)]
         elif sign == " ":
-            out.append([((), JOINED), ((0,), PARTED)])
+            yield [((), JOINED), ((0,), PARTED)]
         else:
             dropped = DROPPED_RUN if times > 2 else DROPPED_SIGN
             ways = [((), dropped if sign in LOOKALIKES else JOINED)]
             for letter in LOOKALIKES.get(sign, ""):
                 s = NUMBER[letter]
-                ways.append(((s,), SUBSTITUTED))
+                ways.append(((s,), SUBSTITUTED + (DOUBLE_TO_ONE if times == 2 else 0.0)))
                 if times > 1:
                     ways.append(((s, s), SUBSTITUTED))
             if sign not in LOOKALIKES:
                 ways.append(((0,), PARTED))
             else:
                 ways.append(((OTHER,), KEPT_SIGN))
-            out.append(ways)
-    return out
+            yield ways
+
+
+def _spelled(path: str | tuple) -> str:
+    """The text of a reading, whose letters are linked from the last one back."""
+    out = []
+    while type(path) is tuple:
+        path, c = path
+        out.append(c)
+    return path + "".join(reversed(out))
 
 
 class Restorer:
@@ -115,31 +129,42 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.cache = Recent(self._restore)
+        self.joins = Recent(lambda letters: self._join(letters[:2], letters[2:]))
 
     def decode(self, token: str) -> str:
-        """Likeliest reading of ``token``: Viterbi over its lattice, states being the last two symbols."""
+        """Likeliest reading of ``token``."""
+        return self._likeliest(token)[1]
+
+    def _likeliest(self, token: str) -> tuple[float, str]:
+        """Score and text of the best reading: Viterbi over the lattice, states being the last two symbols.
+
+        Time is linear in the token; readings are kept only as far back as they differ.
+        """
         model = self.model
-        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        for ways in lattice(token):
-            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+        states: dict[tuple[int, int], tuple[float, str | tuple]] = {(0, 0): (0.0, "")}
+        done = []
+        for step, ways in enumerate(lattice(token), 1):
+            after: dict[tuple[int, int], tuple[float, str | tuple]] = {}
             for (a, b), (score, path) in states.items():
                 for symbols, cost in ways:
                     x, y, s, way = a, b, score - cost, path
                     for c in symbols:
                         s += model[(x * SYMBOLS + y) * SYMBOLS + c]
-                        x, y, way = y, c, (way, c)
+                        x, y, way = y, c, (way, SHOWN[c])
                     best = after.get((x, y))
                     if best is None or s > best[0]:
                         after[x, y] = (s, way)
             states = after
-        _, path = max(
-            (score + model[(a * SYMBOLS + b) * SYMBOLS], path) for (a, b), (score, path) in states.items()
+            if step % WINDOW == 0:
+                texts = [_spelled(path) for _, path in states.values()]
+                done.append(commonprefix(texts))
+                n = len(done[-1])
+                states = {k: (v[0], t[n:]) for (k, v), t in zip(states.items(), texts, strict=True)}
+        score, path = max(
+            ((score + model[(a * SYMBOLS + b) * SYMBOLS], path) for (a, b), (score, path) in states.items()),
+            key=lambda found: found[0],
         )
-        out = []
-        while path:
-            path, c = path
-            out.append(" " if c == 0 else LETTERS[c - 1] if c < OTHER else "?")
-        return "".join(reversed(out)).strip()
+        return score, ("".join(done) + _spelled(path)).strip()
 
     def _restore(self, token: str) -> str:
         token = token.rstrip(" !|") or token  # such signs after a word are marks
@@ -148,11 +173,40 @@ class Restorer:
             if not any(a == b for a, b in zip(core, core[1:])) and not any(c in LOOKALIKES for c in core):
                 return core  # one path only
         elif not any(c.isalpha() for c in core):
-            return token  # numbers and marks hide no word
-        if len(core) > 200:
-            return core
+            return self._restore_signs(core) or token
         return self.decode(core)
 
+    def _restore_signs(self, core: str) -> str:
+        """The word that signs alone stand for; empty where the signs as they are (a number, marks) are likelier."""
+        if len({c for c in core if c in LOOKALIKES}) < 2:
+            return ""  # one letter at most, again and again
+        score, found = self._likeliest(core)
+        kept = sum(
+            UNCHANGED_DIGIT if c.isdigit() else UNCHANGED_SIGN if c in LOOKALIKES else 0.0 if c == " " else JOINED
+            for c in core
+        )
+        return found if score > -kept else ""
+
+    def _join(self, ends: str, begins: str) -> bool:
+        """Whether a word is likelier to go on from ``ends`` to ``begins``, two letters or borders each, than to end there."""
+        model, (a, b, c, d) = self.model, [0 if x == " " else NUMBER.get(x, OTHER) for x in ends + begins]
+        at = lambda x, y, z: model[(x * SYMBOLS + y) * SYMBOLS + z]
+        joined = at(a, b, c) + at(b, c, d)
+        return joined - at(a, b, 0) - at(b, 0, c) - at(0, c, d) > PIECES
+
+    def _whole(self, tokens: list[str]) -> list[str]:
+        """``tokens`` with words put together that blanks cut into short pieces."""
+        out, open_ = [], False  # whether the last one may be a piece that goes on
+        for token in tokens:
+            piece = token if token.isalpha() else token.rstrip(TRIM + "!")
+            short = len(piece) <= PIECE and piece.isalpha()
+            if open_ and short and self.joins[f" {out[-1][-2:]}"[-2:] + f"{piece[:2]} "[:2]]:
+                out[-1] += token
+            else:
+                out.append(token)
+            open_ = short and piece == token
+        return out
+
     def words(self, text: str | None) -> list[str]:
         """The restored words of a text, in lower case; spelled-out words are joined."""
         tokens = (text or "").lower().split()
@@ -168,7 +222,8 @@ class Restorer:
                 done = single[j] + 1
             k = j + 1
         out += tokens[done:]
-        return list(map(self.cache.__getitem__, out))
+        cache = self.cache
+        return [cache[token] if len(token) <= CACHED else self._restore(token) for token in self._whole(out)]
 
 
 def restore(df: DataFrame, model: np.ndarray, text: str = "text", into: str = "restored") -> DataFrame:

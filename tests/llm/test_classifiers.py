@@ -94,6 +94,27 @@ def test_restored_words(model):
     assert words(None) == words(" \n") == []
 
 
+def test_words_of_any_length_are_decoded(model):
+    words = Restorer(model).words
+    assert words(f"st{'u' * 250}pid") == ["stupid"]
+    for sign in " _-":
+        text = sign.join("idiot" * 60)
+        assert len(text) > 500 and "".join(words(text)).replace(" ", "") == "idiot" * 60
+
+
+def test_signs_alone_may_hide_a_word(spark, model):
+    seen = spark.createDataFrame([("you ass and you the ass is an ass",)] * 20, "text string")
+    assert Restorer(character_model(seen)).words("you @$$") == ["you", "ass"]
+    numbers = "10 100 1000 2024 $50 455 ! !!! :( 12:30 555-8087".split()
+    assert Restorer(model).words(" ".join(numbers)) == numbers
+
+
+def test_pieces_of_words_are_put_together(model):
+    words = Restorer(model).words
+    assert words("an id iot and a mo ron, to do it") == ["an", "idiot", "and", "a", "moron", "to", "do", "it"]
+    assert words("the stu pid") == ["the", "stupid"]
+
+
 def test_restore_keeps_columns(odd_docs, model):
     out = restore(odd_docs, model)
     assert out.columns == [*odd_docs.columns, "restored"] and out.count() == odd_docs.count()
