@@ -29,7 +29,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóô
 SYMBOLS = 64
 OTHER = SYMBOLS - 1
 NUMBER = {letter: k for k, letter in enumerate(LETTERS, 1)}
-SHOWN = (" " + LETTERS).ljust(SYMBOLS, "?")
+SHOWN = (" " + LETTERS).ljust(OTHER, "?")
 #: What a sign may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -85,16 +85,20 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log(p3).astype(np.float32).ravel()
 
 
-def lattice(token: str) -> Iterator[list[tuple[tuple[int, ...], float]]]:
-    """For each run of equal signs of ``token``, the symbols it may stand for and the costs."""
+def lattice(token: str, own: bool = False) -> Iterator[list[tuple[tuple[int, ...], float]]]:
+    """For each run of equal signs of ``token``, the symbols it may stand for and the costs.
+
+    With ``own`` letters stand for themselves, not for Latin ones that look alike.
+    """
     for sign, run in groupby(token):
         times = sum(1 for _ in run)
-        if sign.isalpha() and sign not in LOOKALIKES:
+        if sign.isalpha() and (own or sign not in LOOKALIKES):
             s = NUMBER.get(sign, OTHER)
             if times == 1:
                 yield [((s,), 0.0)]
             elif times == 2:
-                yield [((s, s), 0.0), ((s,), DOUBLE_TO_ONE)]
+                # Of a letter outside the model nothing is known that speaks for one.
+                yield [((s, s), 0.0)] if s == OTHER else [((s, s), 0.0), ((s,), DOUBLE_TO_ONE)]
             else:
                 yield [((s,), MANY_TO_ONE), ((s, s), MANY_TO_TWO)]
         elif sign == " ":
@@ -132,10 +136,17 @@ class Restorer:
         self.joins = Recent(lambda letters: self._join(letters[:2], letters[2:]))
 
     def decode(self, token: str) -> str:
-        """Likeliest reading of ``token``."""
-        return self._likeliest(token)[1]
-
-    def _likeliest(self, token: str) -> tuple[float, str]:
+        """Likeliest reading of ``token``; words of another script are read in it, or as Latin ones in disguise."""
+        letters = {c for c in token if c.isalpha()}
+        look = letters & LOOKALIKES.keys()
+        if not look or not all("\u0400" <= c <= "\u052f" for c in letters):
+            return self._likeliest(token)[1]
+        own = self._likeliest(token, own=True)
+        if len(letters) > len(look):
+            return own[1]
+        return max(own, self._likeliest(token))[1]
+
+    def _likeliest(self, token: str, own: bool = False) -> tuple[float, str]:
         """Score and text of the best reading: Viterbi over the lattice, states being the last two symbols.
 
         Time is linear in the token; readings are kept only as far back as they differ.
@@ -143,14 +154,15 @@ class Restorer:
         model = self.model
         states: dict[tuple[int, int], tuple[float, str | tuple]] = {(0, 0): (0.0, "")}
         done = []
-        for step, ways in enumerate(lattice(token), 1):
+        for step, ((sign, _), ways) in enumerate(zip(groupby(token), lattice(token, own), strict=True), 1):
+            shown = SHOWN + sign  # a letter outside the model stays what it is
             after: dict[tuple[int, int], tuple[float, str | tuple]] = {}
             for (a, b), (score, path) in states.items():
                 for symbols, cost in ways:
                     x, y, s, way = a, b, score - cost, path
                     for c in symbols:
                         s += model[(x * SYMBOLS + y) * SYMBOLS + c]
-                        x, y, way = y, c, (way, SHOWN[c])
+                        x, y, way = y, c, (way, shown[c])
                     best = after.get((x, y))
                     if best is None or s > best[0]:
                         after[x, y] = (s, way)

@@ -115,6 +115,21 @@ def test_pieces_of_words_are_put_together(model):
     assert words("the stu pid") == ["the", "stupid"]
 
 
+def test_letters_outside_the_model_stay(model):
+    words = Restorer(model).words
+    for word in ("тупой", "купон", "хорошо", "длинный", "άλλος", "ołłem", "日本日"):
+        assert words(word) == [word]
+    assert words("тууупой это т у п о й") == ["тупой", "это", "тупой"]
+    assert words("іdіоt mоrоn") == ["idiot", "moron"]  # Cyrillic look-alikes among Latin letters
+
+
+def test_words_of_other_scripts_are_weighed(spark):
+    rows = [(i, f"это {'тупой' if i % 2 else 'купон'} товар номер {i % 7}") for i in range(400)]
+    labels = [(i, 1, i % 2) for i, _ in rows]
+    out = op1_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, LABELS))
+    assert all(r.predicted == r.doc_id % 2 for r in out.collect())
+
+
 def test_restore_keeps_columns(odd_docs, model):
     out = restore(odd_docs, model)
     assert out.columns == [*odd_docs.columns, "restored"] and out.count() == odd_docs.count()
