@@ -179,22 +179,42 @@ def merge_groups(spark: SparkSession, sources: Sequence[str], target: str) -> No
 
 
 def stored_groups(spark: SparkSession, root: str) -> list[str]:
-    """Names of the catalogue's groups that have a folder below ``root``."""
+    """Names of all groups that have a folder below ``root``, the catalogue's first.
+
+    A folder outside the catalogue is a group too. It must hold files or partitions: one
+    that holds only other folders, or nothing, is an error, since it may be a sample.
+    """
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(path)
-    names = {status.getPath().getName() for status in found if status.isDirectory()}
-    return [g for g in GROUP_FIELDS if g in names]
+    store = path.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def shown(folder) -> list:
+        found = [(s.getPath().getName(), s) for s in store.listStatus(folder)]
+        return [(name, s) for name, s in found if not name.startswith(("_", "."))]
+
+    folders = {name: s.getPath() for name, s in shown(path) if s.isDirectory()}
+    others = sorted(set(folders) - set(GROUP_FIELDS))
+    for name in others:
+        if not any(s.isFile() or "=" in inner for inner, s in shown(folders[name])):
+            raise ValueError(f"no group below {root}: {name} has no files of its own")
+    return [*(g for g in GROUP_FIELDS if g in folders), *others]
 
 
 def merge_sample(spark: SparkSession, sources: Sequence[str], target: str, groups: Sequence[str] | None = None) -> list[str]:
     """Merge samples, folders of groups, into a new one at ``target``; the merged groups.
 
     Each row is stored with the tags ``stype`` and ``snum`` of its sample's name, the
-    last part of its folder. All groups of the first sample are merged, or those in
-    ``groups``; the first sample gives the columns, and types must hold the others'.
+    last part of its folder. All groups of all samples are merged, and one that a sample
+    lacks is an error; or those in ``groups`` are. The first sample gives the columns,
+    and types must hold the others'.
     """
-    groups = list(groups or stored_groups(spark, sources[0]))
+    if not groups:
+        stored = {source: stored_groups(spark, source) for source in sources}
+        groups = list(dict.fromkeys(g for found in stored.values() for g in found))
+        missing = [f"{g} in {source}" for g in groups for source, found in stored.items() if g not in found]
+        if missing:
+            raise ValueError(f"missing groups: {missing}")
+    groups = list(groups)
     for group in groups:
         tagged = []
         for source in sources:

@@ -340,3 +340,19 @@ def test_merge_sample(spark, sf_dir, tmp_path):
     assert sums["Muon", "snum"] == merged.agg(F.sum("snum")).first()[0]
     with pytest.raises(ValueError, match="no group below"):
         sum_groups(spark, str(tmp_path))
+
+
+def test_groups_outside_the_catalogue_count(spark, tmp_path):
+    """Uncatalogued groups are merged and summed; one that any sample lacks is named."""
+    for name in ("ttbar_a", "wjets_b"):
+        for group in ("GenEvtInfo", "Extra"):
+            rows = spark.createDataFrame([(1, 0.5)], "runNum int, weight double")
+            rows.write.parquet(str(tmp_path / name / group))
+    sources = [str(tmp_path / name) for name in ("ttbar_a", "wjets_b")]
+    assert merge_sample(spark, sources, str(tmp_path / "m")) == ["GenEvtInfo", "Extra"]
+    sums = {(r.group, r.dataset): r.total for r in sum_groups(spark, str(tmp_path / "m")).collect()}
+    assert sums["Extra", "weight"] == sums["GenEvtInfo", "weight"] == 1.0
+    rows.write.parquet(f"{sources[1]}/Later")
+    with pytest.raises(ValueError, match="Later in .*ttbar_a"):
+        merge_sample(spark, sources, str(tmp_path / "n"))
+    assert merge_sample(spark, sources, str(tmp_path / "o"), ["Extra"]) == ["Extra"]
