@@ -325,6 +325,7 @@ def oracle_sql() -> dict[str, str]:
         "row_index_of_any_table": """SELECT n, 0::BIGINT AS least, n - 1 AS largest,
   CAST(n * (n - 1) / 2 AS DOUBLE) AS total, n AS distinct_numbers
 FROM (SELECT COUNT(*) AS n FROM orders WHERE o_custkey % 7 <> 0) counted""",
+        "row_index_of_all_orders": "SELECT o_orderkey, o_custkey, TRUE AS numbered FROM orders",
         "read_group_by_run": _one(
             "Electron",
             "Electron_runNum, Electron_lumisec, Electron_evtNum, Electron_pt, Electron_isConv",

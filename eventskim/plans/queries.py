@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -534,6 +534,16 @@ def row_index_of_any_table(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@_query
+def row_index_of_all_orders(spark: SparkSession, d: str) -> DataFrame:
+    """All orders, and whether each has a number of its own from 0 to their count less one."""
+    orders = load(spark, d, "orders")
+    numbered = add_row_index(orders.repartition(5, "o_orderkey"))
+    index, n = F.col("_index"), orders.agg(F.count(F.lit(1))).scalar()
+    own = F.count(F.lit(1)).over(Window.partitionBy("_index")) == 1
+    return numbered.select("o_orderkey", "o_custkey", ((index >= 0) & (index < n) & own).alias("numbered"))
+
+
 @_query
 def event_count(spark: SparkSession, d: str) -> DataFrame:
     return count_rows(view(spark, d, "GenEvtInfo"), "n_events")
