@@ -1,6 +1,6 @@
 """Exact byte-pair encoding by dynamic programming over prefixes, and decoding.
 
-For every prefix of a piece there is one token that its encoding ends with. A suffix
+For every prefix of a piece there is one token that its encoding ends with. An Aho-Corasick
 automaton over the vocabulary gives the tokens that end at a position; a token is the
 last one of the prefix if it goes with the last token of the prefix before it, that
 is, if merging the two would not have made another token across their border first.
