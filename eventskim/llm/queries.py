@@ -12,6 +12,7 @@ from .bpe import op2_bpe
 from .common import table
 from .knn_join import op6_topk
 from .mixing import op4_mixing
+from .periodic import op11_runs
 from .quality import op5_quality
 from .repeats import op8_repeats
 from .sharding import op3_sharding
@@ -53,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": _over("documents", op8_repeats),
         "op9_warc": _over("pages", op9_warc),
         "op10_simhash": _over("documents", op10_simhash),
+        "op11_runs": _over("documents", op11_runs),
     }
 
 
