@@ -10,6 +10,7 @@ from ..session import ship_package
 from .ann import op7_ann
 from .bpe import op2_bpe
 from .common import table
+from .divergence import op13_divergence
 from .knn_join import op6_topk
 from .mixing import op4_mixing
 from .periodic import op11_runs
@@ -55,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": _over("pages", op9_warc),
         "op10_simhash": _over("documents", op10_simhash),
         "op11_runs": _over("documents", op11_runs),
+        "op13_divergence": _over("documents", op13_divergence),
     }
 
 
@@ -106,4 +108,39 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN payload_bytes >= 1000 AND first <> page_id THEN first END AS refers_to
             FROM q
         """,
+        "op13_divergence": r"""
+            WITH d AS (
+                SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+                FROM documents
+            ), w AS (
+                SELECT lang, source, doc, term, count(*) AS n
+                FROM (SELECT lang, source, doc, unnest(regexp_extract_all(low, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d)
+                GROUP BY ALL
+            ), k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(*) >= 10),
+            v AS (SELECT lang, count(*) AS v FROM k GROUP BY ALL),
+            c AS (SELECT lang, source, term, sum(n) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+            q AS (
+                SELECT lang, term, CAST(1 + 1000000000::HUGEINT * (sum(n) + 2) // (any_value(total) + 2 * any_value(v)) AS BIGINT) AS q
+                FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS total FROM t GROUP BY ALL) USING (lang) GROUP BY ALL
+            ), p AS (
+                SELECT lang, source, term, coalesce(n, 0) AS n,
+                    CAST(1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (coalesce(total, 0) + 2 * v) AS BIGINT) AS p
+                FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t USING (lang, source) LEFT JOIN c USING (lang, source, term)
+            ), pairs AS (
+                SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+                FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+            ), f AS (
+                SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+                FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                    LEFT JOIN pairs s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+                UNION ALL
+                SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+            )
+            SELECT lang, source, part, item, value,
+                CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+            FROM f QUALIFY part = 'pair' OR rank <= 10
+        """,
     }
