@@ -13,6 +13,7 @@ from .common import table
 from .divergence import op13_divergence
 from .knn_join import op6_topk
 from .mixing import op4_mixing
+from .page_text import op12_main_text
 from .periodic import op11_runs
 from .quality import op5_quality
 from .repeats import op8_repeats
@@ -56,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": _over("pages", op9_warc),
         "op10_simhash": _over("documents", op10_simhash),
         "op11_runs": _over("documents", op11_runs),
+        "op12_main_text": _over("pages", op12_main_text),
         "op13_divergence": _over("documents", op13_divergence),
     }
 
