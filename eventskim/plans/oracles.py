@@ -286,6 +286,17 @@ WHERE {event_key(group)[2]} % 2 = {k}"""
     )
 
 
+#: Muons as files of three formats hold them.
+_UNLIKE = """SELECT * REPLACE (
+    CASE WHEN Muon_evtNum % 3 = 1 THEN CAST(CAST(Muon_eta AS REAL) AS DOUBLE) ELSE Muon_eta END AS Muon_eta,
+    CASE WHEN Muon_evtNum % 3 <> 1 THEN Muon_gammaIso END AS Muon_gammaIso)
+FROM whole"""
+
+
+def _unlike(body: str) -> str:
+    return f"WITH whole AS (\n{view_sql('Muon')}\n), Muon AS (\n{_UNLIKE}\n)\n{body}"
+
+
 _AREA = f"CAST({_steps('Electron_eta', _E_EDGES, _E_AREAS)} AS DOUBLE) AS area"
 
 
@@ -322,6 +333,9 @@ def oracle_sql() -> dict[str, str]:
             ),
         ),
         "sums_of_root": _with(list(SAMPLE_GROUPS), "\nUNION ALL ".join(map(_sums, SAMPLE_GROUPS))),
+        "scan_unlike_files": _unlike("SELECT * FROM Muon"),
+        "read_columns_of_unlike_files": _unlike("SELECT Muon_evtNum, Muon_eta, Muon_pogIDBits FROM Muon"),
+        "sums_of_unlike_files": _unlike(_sums("Muon")),
         "row_index_of_any_table": """SELECT n, 0::BIGINT AS least, n - 1 AS largest,
   CAST(n * (n - 1) / 2 AS DOUBLE) AS total, n AS distinct_numbers
 FROM (SELECT COUNT(*) AS n FROM orders WHERE o_custkey % 7 <> 0) counted""",

@@ -126,6 +126,37 @@ def read_columns_of_group(spark: SparkSession, d: str) -> DataFrame:
     return read_columns(spark, path, ["Photon.evtNum", "Photon.pt", "Photon.eta"])
 
 
+def _unlike_files(spark: SparkSession, d: str) -> str:
+    """Muons in files of three formats: a column missing, others narrower, other names and order."""
+    root = work_dir(spark, "unlike")
+    muons, key = view(spark, d, "Muon"), F.col("Muon_evtNum") % 3
+    dotted = _dotted(muons, "Muon")
+    older = muons.drop("Muon_gammaIso").withColumn("Muon_eta", F.col("Muon_eta").cast("float"))
+    narrow = dotted.withColumn("Muon.pogIDBits", F.col("`Muon.pogIDBits`").cast("byte"))
+    write_group(dotted.filter(F.col("`Muon.evtNum`") % 3 == 0), root, "Muon/new")
+    write_group(older.filter(key == 1), root, "Muon/old/a")
+    reverse = [F.col(f"`{c}`") for c in reversed(dotted.columns)]
+    write_group(narrow.filter(F.col("`Muon.evtNum`") % 3 == 2).select(*reverse), root, "Muon/old/b")
+    return root
+
+
+@_query
+def scan_unlike_files(spark: SparkSession, d: str) -> DataFrame:
+    """All files of a folder whose columns and types differ; what a file lacks is NULL."""
+    return read_dynamic(spark, f"{_unlike_files(spark, d)}/Muon")
+
+
+@_query
+def read_columns_of_unlike_files(spark: SparkSession, d: str) -> DataFrame:
+    return read_columns(spark, f"{_unlike_files(spark, d)}/Muon", ["Muon.evtNum", "Muon.eta", "Muon_pogIDBits"])
+
+
+@_query
+def sums_of_unlike_files(spark: SparkSession, d: str) -> DataFrame:
+    sums = column_sums(read_dynamic(spark, f"{_unlike_files(spark, d)}/Muon"), "Muon")
+    return sums.withColumn("total", F.round("total", SUM_DIGITS))
+
+
 def _register_stored() -> None:
     for group in VIEWS:
         _QUERIES[f"read_group_{group.lower()}"] = lambda spark, d, g=group: _read_stored(spark, d, g)

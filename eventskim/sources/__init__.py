@@ -1,6 +1,7 @@
 """Reading and writing groups."""
 
 from .colgroup import read_colgroup
+from .folders import folder_columns, read_folder
 from .groups import (
     bind_group,
     copy_format,
@@ -18,11 +19,13 @@ from .groups import (
 __all__ = [
     "bind_group",
     "copy_format",
+    "folder_columns",
     "merge_groups",
     "merge_sample",
     "read_colgroup",
     "read_columns",
     "read_dynamic",
+    "read_folder",
     "read_group",
     "stored_groups",
     "sum_groups",

@@ -13,10 +13,7 @@ from ..operators.aggregates import column_sums
 from ..operators.provenance import tag_provenance
 from ..operators.rows import FILE, ROW, stamp_rows
 from ..schema import GROUP_FIELDS, column_name, group_schema
-
-
-def _reader(spark: SparkSession):
-    return spark.read.option("recursiveFileLookup", "true")
+from .folders import folder_columns, read_folder
 
 
 def _quoted(name: str):
@@ -114,14 +111,20 @@ def read_group(
 
 
 def read_dynamic(spark: SparkSession, path: str) -> DataFrame:
-    """Load every column a group happens to have, renamed to the column rule."""
-    raw = _reader(spark).parquet(path)
-    return raw.select(*[_quoted(c).alias(column_name(c)) for c in raw.columns])
+    """Load every column that any file below ``path`` has, renamed to the column rule.
+
+    Files may differ: a column has the type that holds all files' values, and is NULL
+    in the rows of a file without it. See :func:`~eventskim.sources.folders.read_folder`.
+    """
+    return read_folder(spark, path)
 
 
 def read_columns(spark: SparkSession, path: str, columns: Iterable[str]) -> DataFrame:
-    """Load named columns (dataset or column names) from all files below ``path``."""
-    return read_dynamic(spark, path).select(*[column_name(c) for c in columns])
+    """Load named columns (dataset or column names) from all files below ``path``.
+
+    A file that lacks one of them is an error that names both.
+    """
+    return read_folder(spark, path, columns=list(columns), absent="error")
 
 
 def write_group(
@@ -145,8 +148,12 @@ def write_group(
 
 
 def copy_format(spark: SparkSession, source: str, target: str) -> T.StructType:
-    """Make an empty group at ``target`` with the columns and types of ``source``."""
-    schema = _reader(spark).parquet(source).schema
+    """Make an empty group at ``target`` with the columns and types of ``source``.
+
+    ``source`` may be a folder of files that differ; the copy has all their columns.
+    """
+    found = folder_columns(spark, source)
+    schema = T.StructType([T.StructField(c.stored[0], c.type) for c in found])
     spark.createDataFrame([], schema).coalesce(1).write.mode("errorifexists").parquet(target)
     return schema
 
@@ -163,19 +170,14 @@ def _appended(rows: DataFrame, schema: T.StructType) -> DataFrame:
     return rows.select(*[_quoted(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-def _all_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """The rows of all files below ``paths``, whose columns may come in another order."""
-    return _reader(spark).option("mergeSchema", "true").parquet(*paths)
-
-
 def merge_groups(spark: SparkSession, sources: Sequence[str], target: str) -> None:
     """Append the rows of every source to the group at ``target``, bound by name.
 
     The columns of the target rule. They must be those of the sources, all of
     whose files are looked at, in parallel, and their types must hold all values.
     """
-    schema = _reader(spark).parquet(target).schema
-    _appended(_all_files(spark, *sources), schema).write.mode("append").parquet(target)
+    schema = read_folder(spark, target, rename=False).schema
+    _appended(read_folder(spark, *sources, rename=False), schema).write.mode("append").parquet(target)
 
 
 def stored_groups(spark: SparkSession, root: str) -> list[str]:
@@ -218,7 +220,7 @@ def merge_sample(spark: SparkSession, sources: Sequence[str], target: str, group
     for group in groups:
         tagged = []
         for source in sources:
-            rows = _all_files(spark, f"{source.rstrip('/')}/{group}")
+            rows = read_folder(spark, f"{source.rstrip('/')}/{group}", rename=False)
             tagged.append(tag_provenance(rows, F.lit(source.rstrip("/").rsplit("/", 1)[-1])))
         schema = tagged[0].schema
         merged = reduce(DataFrame.unionAll, [_appended(rows, schema) for rows in tagged])
