@@ -28,7 +28,8 @@ TOP_TERMS = 10
 SCALE = 1_000_000_000
 #: Entries of all stripes (a term's documents, or a term's count in a source) a mapper holds.
 HELD = 400_000
-#: Terms times sources of a block.
+#: Terms of a block, and terms times sources of one.
+BLOCK_TERMS = 4096
 CELLS = 2 << 20
 _ROWS = 1 << 16  # stripes of an Arrow batch
 
@@ -162,7 +163,12 @@ def _divergences(top: int):
 
 
 def source_divergences(
-    docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TERMS, held: int = HELD, cells: int = CELLS
+    docs: DataFrame,
+    least_docs: int = LEAST_DOCS,
+    top: int = TOP_TERMS,
+    held: int = HELD,
+    block_terms: int = BLOCK_TERMS,
+    cells: int = CELLS,
 ) -> DataFrame:
     """Divergences of every (lang, source) group of ``docs`` (lang, source, text), ranked.
 
@@ -175,7 +181,7 @@ def source_divergences(
     ``rank`` counts from 1 by value, largest first, then by the UTF-8 bytes of ``item``.
 
     Repeated rows are documents of their own; an empty table gives no row. A block holds
-    about ``cells`` terms times sources, or one term. The work of pairs grows with the
+    about ``block_terms`` terms, fewer where times sources they exceed ``cells``. The work of pairs grows with the
     square of a lang's sources, as their rows do.
     """
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
@@ -188,11 +194,10 @@ def source_divergences(
         .select("lang", "source", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("total", "kept")))
     )
     groups = fixed(groups)
-    size = groups.groupBy("lang").agg((F.max("kept") * F.count("*")).alias("cells"))
-    # A lang is here for each ``cells`` cells of the table at most, so this stays small.
-    blocks = F.broadcast(
-        size.filter(F.col("cells") > cells).select("lang", F.ceil(F.col("cells") / cells).cast("int").alias("blocks"))
-    )
+    number = F.greatest(F.max("kept") / block_terms, F.max("kept") * F.count("*") / cells)
+    per_lang = groups.groupBy("lang").agg(F.ceil(number).cast("int").alias("blocks"))
+    # Langs of several blocks; there is one for so many stripes at most, so they stay few.
+    blocks = F.broadcast(per_lang.filter("blocks > 1"))
     several = F.coalesce("blocks", F.lit(1))
     left = stripes.join(blocks, "lang", "left").withColumn("block", F.pmod(F.xxhash64("term"), several).cast("int"))
     right = groups.join(blocks, "lang", "left").withColumn("block", F.explode(F.sequence(F.lit(0), several - 1)))

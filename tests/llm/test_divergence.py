@@ -64,13 +64,13 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize(("held", "cells"), [(400_000, 1 << 21), (3, 40), (50, 1)])
-def test_against_brute_force(spark, rows, held, cells):
+@pytest.mark.parametrize(("held", "block_terms", "cells"), [(400_000, 4096, 1 << 21), (3, 4096, 40), (50, 2, 1 << 21), (9, 9, 1)])
+def test_against_brute_force(spark, rows, held, block_terms, cells):
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], f"{DOCS}, part string, value int").repartition(4)
     want = brute(rows)
-    assert rows_of(source_divergences(docs, held=held, cells=cells)) == want
+    assert rows_of(source_divergences(docs, held=held, block_terms=block_terms, cells=cells)) == want
     assert {r[0] for r in want if r[2] == "pair" and r[4] == 0} == {"de"}  # groups without kept terms have pairs too
-    assert rows_of(source_divergences(docs, 1, 3, held, cells)) == brute(rows, 1, 3)
+    assert rows_of(source_divergences(docs, 1, 3, held, block_terms, cells)) == brute(rows, 1, 3)
 
 
 def test_odd_documents(spark, odd_docs, odd_rows, no_docs):
