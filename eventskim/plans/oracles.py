@@ -7,7 +7,7 @@ import zlib
 
 from ..schema import event_key
 from .fixtures import VIEWS, stored_sql, view_sql
-from .queries import ANGLE_DIGITS, MERGED_NAME, SAMPLE_GROUPS, SAMPLES, SUM_DIGITS
+from .queries import ANGLE_DIGITS, EVENT_RANGE, MERGED_NAME, SAMPLE_GROUPS, SAMPLES, SUM_DIGITS
 
 
 def _with(groups: list[str], body: str, **more: str) -> str:
@@ -278,6 +278,13 @@ def _stored(groups: list[str], body: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
+_RANGE = _one(
+    "Electron",
+    "Electron_evtNum, Electron_pt, Electron_eta",
+    f"WHERE Electron_evtNum >= {EVENT_RANGE[0]} AND Electron_evtNum < {EVENT_RANGE[1]}",
+)
+
+
 def _tag_counts(group: str) -> str:
     return "\nUNION ALL ".join(
         f"""SELECT {_tags(name)}, COUNT(*) AS n, '{group}' AS "group" FROM {group}
@@ -348,6 +355,10 @@ FROM (SELECT COUNT(*) AS n FROM orders WHERE o_custkey % 7 <> 0) counted""",
         "read_columns_of_group": _one("Photon", "Photon_evtNum, Photon_pt, Photon_eta"),
         "scan_colgroup": _one("Muon"),
         "scan_colgroup_columns": _one("Electron", "Electron_evtNum, Electron_pt, Electron_isConv"),
+        "scan_arrays_format": _one("Electron"),
+        "scan_arrays_range": _RANGE,
+        "scan_arrays_pushed": _RANGE,
+        "vjet_filter_arrays_format": _VJETS,
         "merge_groups_by_run": _one("GenEvtInfo"),
         "merge_job": _one("Info", f"*, {_tags(MERGED_NAME)}"),
         "provenance_tags": f"SELECT o_orderkey, {_tags('orders')} FROM orders",

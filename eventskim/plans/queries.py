@@ -44,6 +44,8 @@ from ..sources import (
     read_columns,
     read_dynamic,
     read_group,
+    register_arrays,
+    scan_arrays,
     sum_groups,
     write_group,
     write_histogram,
@@ -59,6 +61,8 @@ ANGLE_DIGITS = 6
 SUM_DIGITS = 6
 MERGED_NAME = "ttbar_13TeV_all.parquet"
 SAMPLES = ("wjets_13TeV_low", "zjets_13TeV_high")
+#: Event numbers from the first on and below the second.
+EVENT_RANGE = (1000, 3000)
 SAMPLE_GROUPS = ("Muon", "GenEvtInfo")
 
 _QUERIES: dict[str, Query] = {}
@@ -245,6 +249,41 @@ def scan_colgroup_columns(spark: SparkSession, d: str) -> DataFrame:
     return read_colgroup(spark, path, "Electron", columns=columns)
 
 
+def _electron_arrays(spark: SparkSession, d: str) -> str:
+    path = work_dir(spark, "colgroup")
+    write_arrays(view(spark, d, "Electron"), path, "Electron")
+    return path
+
+
+@_query
+def scan_arrays_format(spark: SparkSession, d: str) -> DataFrame:
+    """Column arrays by ``spark.read``; the types come from their headers."""
+    register_arrays(spark)
+    return spark.read.format("column_arrays").option("groups", "Electron").load(_electron_arrays(spark, d))
+
+
+@_query
+def scan_arrays_range(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a range of numbers; of arrays other than the key only such stretches are read."""
+    columns, ranges = ["Electron_evtNum", "Electron_pt", "Electron_eta"], {"Electron_evtNum": EVENT_RANGE}
+    return scan_arrays(spark, _electron_arrays(spark, d), "Electron", columns=columns, ranges=ranges)
+
+
+@_query
+def scan_arrays_pushed(spark: SparkSession, d: str) -> DataFrame:
+    columns = ["Electron_evtNum", "Electron_pt", "Electron_eta"]
+    found = scan_arrays(spark, _electron_arrays(spark, d), "Electron", columns=columns, push_filters=True)
+    return found.filter((F.col("Electron_evtNum") >= EVENT_RANGE[0]) & (F.col("Electron_evtNum") < EVENT_RANGE[1]))
+
+
+@_query
+def vjet_filter_arrays_format(spark: SparkSession, d: str) -> DataFrame:
+    """Both groups of wide jets paired by one scan of the format."""
+    path, groups = work_dir(spark, "colgroup"), ("CA15Puppi", "AddCA15Puppi")
+    write_arrays(_zipped(spark, d, "inner"), path, *groups)
+    return p.select_paired_vjets(scan_arrays(spark, path, *groups))
+
+
 def _samples(spark: SparkSession, d: str, root: str, group: str) -> list[str]:
     """``group`` stored as a folder for each run; the folders."""
     rows = view(spark, d, group).withColumn("sample", F.col("runNum"))

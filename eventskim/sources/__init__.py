@@ -1,5 +1,6 @@
 """Reading and writing groups."""
 
+from .arrays_format import register_arrays, scan_arrays
 from .colgroup import read_colgroup
 from .folders import folder_columns, read_folder
 from .groups import (
@@ -27,6 +28,8 @@ __all__ = [
     "read_dynamic",
     "read_folder",
     "read_group",
+    "register_arrays",
+    "scan_arrays",
     "stored_groups",
     "sum_groups",
     "write_group",

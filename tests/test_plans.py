@@ -12,6 +12,7 @@ from eventskim.schema import event_key
 from eventskim.sources import read_group
 
 PYTHON_QUERIES = {"muon_filter_udf", "scan_colgroup", "scan_colgroup_columns", "vjet_filter_aligned_scan"}
+PYTHON_QUERIES |= {"scan_arrays_format", "scan_arrays_range", "scan_arrays_pushed", "vjet_filter_arrays_format"}
 
 
 def plan(df):
