@@ -15,7 +15,7 @@ from eventskim.operators import check_aligned, count_rows, sum_weights
 from eventskim.plans import pipelines as p
 from eventskim.schema import group_schema
 from eventskim.session import build_session, size_shuffle
-from eventskim.sources import copy_format, merge_sample, read_colgroup, read_group, sum_groups, write_histogram
+from eventskim.sources import copy_format, merge_sample, read_colgroup, read_group, sum_arrays, sum_groups, write_histogram
 
 
 class Groups:
@@ -58,7 +58,7 @@ class ColumnArrays(Groups):
         return self._read(group)
 
     def sums(self) -> DataFrame:
-        raise ValueError("sums of all groups are taken from Parquet")
+        return sum_arrays(self.spark, self.root)
 
     def vjets(self) -> DataFrame:
         return p.select_paired_vjets(self._read("CA15Puppi", "AddCA15Puppi"))

@@ -13,9 +13,11 @@ from .events import (
     combine_events,
     count_under_cuts,
     join_event,
+    join_event_by_id,
     join_leading,
     leading,
 )
+from .exact import exact_sums
 from .filters import (
     filter_electron,
     filter_jet,
@@ -47,6 +49,7 @@ __all__ = [
     "combine_events",
     "count_rows",
     "count_under_cuts",
+    "exact_sums",
     "filter_electron",
     "filter_jet",
     "filter_muon",
@@ -58,6 +61,7 @@ __all__ = [
     "histograms",
     "index_scan_rows",
     "join_event",
+    "join_event_by_id",
     "join_leading",
     "leading",
     "misaligned_files",

@@ -11,9 +11,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import event_key
@@ -41,20 +41,47 @@ def join_event(objects: DataFrame, info: DataFrame, group: str, how: str = "left
     return objects.join(info, _same_event(event_key(group), EVENT), how)
 
 
+#: An event as one value, which is never NULL, and a number to deal and sort it by first.
+EVENT_ID = ("_hash", "_event")
+
+
+def with_event_id(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df`` with :data:`EVENT_ID` from its key columns. Ids with NULLs at the same places are equal."""
+    event = F.struct(*[F.col(k).alias(e) for k, e in zip(keys, EVENT)])
+    return df.withColumns(dict(zip(EVENT_ID, (F.xxhash64(*keys), event))))
+
+
+def join_event_by_id(objects: DataFrame, info: DataFrame, group: str) -> DataFrame:
+    """:func:`join_event` that keeps the id it joins by, so that :func:`leading` need not move rows again.
+
+    The id of a pair is one value that may be compared as it is; null-safe keys are
+    compared by two expressions each, which no grouping is dealt by. In return the rows of
+    an event meet in one task, where :func:`join_event` lets a hot event be split.
+    """
+    there = with_event_id(info, EVENT).withColumnsRenamed({c: f"{c}_of_info" for c in EVENT_ID})
+    on = reduce(and_, [F.col(c) == F.col(f"{c}_of_info") for c in EVENT_ID])
+    return with_event_id(objects, event_key(group)).join(there, on, "left").drop(*[f"{c}_of_info" for c in EVENT_ID])
+
+
 def leading(
     df: DataFrame, group: str, fields: Sequence[str], count: str | None = None
 ) -> DataFrame:
     """The object of each event that is greatest by ``fields``, in their order.
 
     ``count`` names an extra column with the number of objects. The maximum of a
-    struct combines before the shuffle, so one row per event and task is sent.
+    struct combines before the shuffle, so one row per event and task is sent. Rows of
+    :func:`join_event_by_id` are dealt by event already and are not moved.
     """
     keys = event_key(group)
     aggs = [F.max(F.struct(*fields)).alias("_top")]
     if count:
         aggs.append(F.count(F.lit(1)).alias(count))
-    out = _by_event(df, keys).agg(*aggs)
-    return out.select(*keys, "_top.*", *([count] if count else []))
+    if set(EVENT_ID) <= set(df.columns):
+        out = df.groupBy(*EVENT_ID).agg(*aggs)
+        named = [F.col(f"_event.{e}").alias(k) for e, k in zip(EVENT, keys)]
+    else:
+        out, named = _by_event(df, keys).agg(*aggs), list(keys)
+    return out.select(*named, "_top.*", *([count] if count else []))
 
 
 def join_leading(jets: DataFrame, vjets: DataFrame) -> DataFrame:
@@ -102,26 +129,47 @@ def combine_events(*branches: EventBranch) -> DataFrame:
     return _by_event(rows, EVENT).agg(*aggs)
 
 
+#: Parts that an event's rows are dealt over while they are counted.
+SALTS = 16
+
+
 def count_under_cuts(
-    df: DataFrame, group: str, cuts: Mapping[str, Column], one_row_per_event: bool = False
+    df: DataFrame, group: str, cuts: Mapping[str, Column], one_row_per_event: bool = False, salts: int = SALTS
 ) -> DataFrame:
     """Count each event's rows under every cut, and attach the counts to its rows.
 
     Only events with a row under *each* cut remain, and events with a NULL key
-    never match. With ``one_row_per_event`` the counts are known from the row
-    itself. Otherwise they come from an aggregation that is joined back: its side
-    has one row per event, so a hot event only makes the other side large.
+    never match. With ``one_row_per_event`` the counts are known from the row itself.
+
+    Otherwise the rows are moved once, by event and one of ``salts`` parts, so that no
+    task gets a whole hot event. Both uses of them read that exchange: the counts of the
+    parts are added by event, and sent to each part again. Where events are known to be
+    small, ``salts=1`` counts in a window, which needs no exchange at all if ``df`` is
+    already dealt by event.
     """
     keys = event_key(group)
-    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    known = df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
     if one_row_per_event:
-        kept = df.filter(known & reduce(and_, list(cuts.values())))
+        kept = known.filter(reduce(and_, list(cuts.values())))
         return kept.withColumns({n: F.lit(1).cast("long") for n in cuts})
-    counts = (
-        df.filter(known & reduce(or_, list(cuts.values())))
-        .groupBy(*[F.col(k).alias(f"_{e}") for k, e in zip(keys, EVENT)])
-        .agg(*[F.count_if(c).alias(n) for n, c in cuts.items()])
-        .filter(reduce(and_, [F.col(n) > 0 for n in cuts]))
+    if salts < 1:
+        raise ValueError("an event has one part at least")
+    some = reduce(and_, [F.col(n) > 0 for n in cuts])
+    if salts == 1:
+        event = Window.partitionBy(*reversed(keys))
+        return known.withColumns({n: F.count_if(c).over(event) for n, c in cuts.items()}).filter(some)
+    # The part depends on all columns, and so does something that the counts are filtered
+    # by: else columns would be pruned from that use's exchange, and it would be another one.
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    salt = F.coalesce(F.pmod(whole, F.lit(salts)).cast("int"), F.lit(0))  # never NULL, or joining would filter it
+    dealt = known.withColumn("_salt", salt).repartition(*reversed(keys), "_salt")
+    renamed = [F.col(k).alias(f"_{e}") for k, e in zip(keys, EVENT)]
+    part = dealt.groupBy(*renamed, "_salt").agg(
+        *[F.count_if(c).alias(n) for n, c in cuts.items()], F.max(whole).alias("_whole")
     )
-    on = reduce(and_, [F.col(k) == F.col(f"_{e}") for k, e in zip(keys, EVENT)])
-    return df.join(counts, on).drop(*[f"_{e}" for e in EVENT])
+    names = [f"_{e}" for e in EVENT]
+    counts = part.groupBy(*reversed(names)).agg(*[F.sum(n).alias(n) for n in cuts], F.max("_whole").alias("_whole"))
+    counts = counts.filter(some & F.col("_whole").isNotNull()).drop("_whole")
+    counts = counts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = reduce(and_, [F.col(k) == F.col(f"_{e}") for k, e in zip(keys, EVENT)]) & (F.col("_salt") == F.col("_part"))
+    return dealt.join(counts, on).drop(*names, "_salt", "_part")

@@ -7,7 +7,7 @@ import zlib
 
 from ..schema import event_key
 from .fixtures import VIEWS, stored_sql, view_sql
-from .queries import ANGLE_DIGITS, EVENT_RANGE, MERGED_NAME, SAMPLE_GROUPS, SAMPLES, SUM_DIGITS
+from .queries import ANGLE_DIGITS, EVENT_RANGE, MERGED_NAME, SAMPLE_GROUPS, SAMPLES, SUM_DIGITS, TAU_ETA, TAU_PT
 
 
 def _with(groups: list[str], body: str, **more: str) -> str:
@@ -257,6 +257,23 @@ def _sums(group: str, total: str = f"ROUND(CAST(SUM({{}}) AS DOUBLE), {SUM_DIGIT
     )
 
 
+def _exact_sums(group: str) -> str:
+    """Sums as whole multiples of 2^-64, of which the leading bits are rounded once.
+
+    A last bit stands for all bits beyond the 59 that are kept.
+    """
+    parts = "\nUNION ALL ".join(
+        f"""SELECT '{group}' AS "group", '{c}' AS dataset, SUM(CAST(CAST({c} AS DOUBLE) * pow(2, 64) AS HUGEINT)) AS t FROM {group}"""
+        for c in _columns(group)
+    )
+    return f"""SELECT "group", dataset, CASE WHEN t = 0 THEN CAST(0 AS DOUBLE)
+    ELSE sign(t) * CAST(CAST(2 * (abs(t) // unit) + CASE WHEN abs(t) % unit = 0 THEN 0 ELSE 1 END AS BIGINT) AS DOUBLE)
+      * pow(2, k - 65) END AS total
+FROM (SELECT *, CAST(pow(2, k) AS HUGEINT) AS unit
+  FROM (SELECT *, CASE WHEN t = 0 THEN 0 ELSE greatest(0, CAST(floor(log2(CAST(abs(t) AS DOUBLE))) AS INT) - 58) END AS k
+    FROM ({parts}) sums) scaled) units"""
+
+
 def _crc(text: str) -> int:
     return zlib.crc32(text.encode())
 
@@ -378,6 +395,7 @@ FROM (SELECT COUNT(*) AS n FROM orders WHERE o_custkey % 7 <> 0) counted""",
         "electron_filter_pandas_sql_form": _electron_filter(veto=True, pileup=True),
         "electron_leading": _electron_top("SELECT * FROM top"),
         "electron_leading_pileup": _electron_top("SELECT * FROM top", pileup=True),
+        "electron_leading_pileup_split": _electron_top("SELECT * FROM top", pileup=True),
         "electron_count": _electron_top("SELECT COUNT(*) AS n FROM top"),
         "electron_pt_range": _electron_top(
             "SELECT MIN(Electron_pt) AS min_value, MAX(Electron_pt) AS max_value FROM top"
@@ -419,6 +437,13 @@ FROM (SELECT COUNT(*) AS n FROM orders WHERE o_custkey % 7 <> 0) counted""",
         ),
         "jet_counts": _COUNTS,
         "jet_counts_joined": _COUNTS,
+        "tau_counts": _with(
+            ["Tau"],
+            f"""SELECT * FROM (SELECT *, COUNT(*) FILTER (WHERE Tau_pt > {TAU_PT}) OVER event AS n_high,
+    COUNT(*) FILTER (WHERE Tau_pt > {TAU_PT} AND ABS(Tau_eta) < {TAU_ETA}) OVER event AS n_barrel
+  FROM Tau WINDOW event AS (PARTITION BY {', '.join(event_key("Tau"))})) counted
+WHERE n_high > 0 AND n_barrel > 0""",
+        ),
         "row_index": """SELECT l_orderkey, l_partkey, l_linenumber,
   ROW_NUMBER() OVER () - 1 AS _index FROM lineitem""",
         "event_count": _one("GenEvtInfo", "COUNT(*) AS n_events"),
@@ -426,6 +451,8 @@ FROM (SELECT COUNT(*) AS n FROM orders WHERE o_custkey % 7 <> 0) counted""",
             "GenEvtInfo", "SUM(weight) AS sum_weight, COUNT(*) AS n_events"
         ),
         "column_sums_of_groups": _with(list(VIEWS), "\nUNION ALL ".join(map(_sums, VIEWS))),
+        "exact_sums_of_groups": _with(list(VIEWS), "\nUNION ALL ".join(map(_exact_sums, VIEWS))),
+        "sums_of_arrays": _with(list(SAMPLE_GROUPS), "\nUNION ALL ".join(map(_exact_sums, SAMPLE_GROUPS))),
         "exact_weight_sums": _with(
             ["GenEvtInfo"],
             _sums("GenEvtInfo", "CAST(SUM(CAST({} AS DECIMAL(28, 4))) AS DOUBLE)"),

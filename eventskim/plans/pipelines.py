@@ -21,6 +21,7 @@ from ..operators import (
     filter_vjet,
     histograms,
     join_event,
+    join_event_by_id,
     leading,
     substructure,
     tag_provenance,
@@ -75,8 +76,10 @@ def select_electrons(
     veto_conversions: bool = False,
     subtract_pileup: bool = False,
     need_area: bool = False,
+    by_id: bool = False,
 ) -> DataFrame:
-    joined = join_event(electron, info, "Electron")
+    """Electrons with their event's row, selected; ``by_id`` as in :func:`leading_electrons`."""
+    joined = (join_event_by_id if by_id else join_event)(electron, info, "Electron")
     return filter_electron(joined, veto_conversions, subtract_pileup, need_area)
 
 
@@ -84,7 +87,8 @@ def leading_electrons(electron: DataFrame, info: DataFrame, **flags: bool) -> Da
     """Leading selected electron of each event.
 
     Unless pile-up is subtracted nothing here depends on the event table, and a
-    maximum is blind to repeats, so Catalyst drops the join.
+    maximum is blind to repeats, so Catalyst drops the join. With pile-up, ``by_id``
+    moves each electron once, for the join and the reduction, where no event is hot.
     """
     return leading(select_electrons(electron, info, **flags), "Electron", _kinematics("Electron"))
 

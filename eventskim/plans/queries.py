@@ -15,6 +15,7 @@ from ..operators import (
     column_sums,
     count_rows,
     count_under_cuts,
+    exact_sums,
     filter_jet,
     filter_muon,
     filter_muon_udf,
@@ -46,6 +47,7 @@ from ..sources import (
     read_group,
     register_arrays,
     scan_arrays,
+    sum_arrays,
     sum_groups,
     write_group,
     write_histogram,
@@ -63,6 +65,7 @@ MERGED_NAME = "ttbar_13TeV_all.parquet"
 SAMPLES = ("wjets_13TeV_low", "zjets_13TeV_high")
 #: Event numbers from the first on and below the second.
 EVENT_RANGE = (1000, 3000)
+TAU_PT, TAU_ETA = 100, 1.5
 SAMPLE_GROUPS = ("Muon", "GenEvtInfo")
 
 _QUERIES: dict[str, Query] = {}
@@ -422,9 +425,14 @@ def electron_leading(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def electron_leading_pileup(spark: SparkSession, d: str) -> DataFrame:
-    return p.leading_electrons(
-        view(spark, d, "Electron"), view(spark, d, "Info"), subtract_pileup=True
-    )
+    """Each electron is moved once; ``electron_leading_pileup_split`` is the form for hot events."""
+    electron, info = view(spark, d, "Electron"), view(spark, d, "Info")
+    return p.leading_electrons(electron, info, subtract_pileup=True, by_id=True)
+
+
+@_query
+def electron_leading_pileup_split(spark: SparkSession, d: str) -> DataFrame:
+    return p.leading_electrons(view(spark, d, "Electron"), view(spark, d, "Info"), subtract_pileup=True)
 
 
 @_query
@@ -578,10 +586,19 @@ def jet_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def jet_counts_joined(spark: SparkSession, d: str) -> DataFrame:
-    counted = count_under_cuts(_jets_with_vjets(spark, d), "AK4Puppi", p.jet_count_cuts())
+    # These rows are one an event, and dealt by event.
+    counted = count_under_cuts(_jets_with_vjets(spark, d), "AK4Puppi", p.jet_count_cuts(), salts=1)
     return _rounded(counted, "mindPhi", "mindFPhi", "deltaR")
 
 
+@_query
+def tau_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Taus of events with one of high momentum and one of them in the barrel, with both counts."""
+    high = F.col("Tau_pt") > TAU_PT
+    cuts = {"n_high": high, "n_barrel": high & (F.abs("Tau_eta") < TAU_ETA)}
+    return count_under_cuts(view(spark, d, "Tau"), "Tau", cuts)
+
+
 # --- whole-table aggregates --------------------------------------------------------
 
 
@@ -630,6 +647,21 @@ def column_sums_of_groups(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionAll, sums).withColumn("total", F.round("total", SUM_DIGITS))
 
 
+@_query
+def exact_sums_of_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The doubles nearest to the sums, to the last bit, in whatever order rows are added."""
+    return reduce(DataFrame.unionAll, [exact_sums(view(spark, d, g), g) for g in VIEWS])
+
+
+@_query
+def sums_of_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of all datasets of all groups that a folder of column arrays holds."""
+    path = work_dir(spark, "colgroup")
+    for group in SAMPLE_GROUPS:
+        write_arrays(view(spark, d, group), f"{path}/{group.lower()}", group)
+    return sum_arrays(spark, path)
+
+
 @_query
 def exact_weight_sums(spark: SparkSession, d: str) -> DataFrame:
     """Sums in fixed point, the same in whatever order the tasks finish.

@@ -1,7 +1,7 @@
 """Reading and writing groups."""
 
 from .arrays_format import register_arrays, scan_arrays
-from .colgroup import read_colgroup
+from .colgroup import read_colgroup, sum_arrays
 from .folders import folder_columns, read_folder
 from .groups import (
     bind_group,
@@ -31,6 +31,7 @@ __all__ = [
     "register_arrays",
     "scan_arrays",
     "stored_groups",
+    "sum_arrays",
     "sum_groups",
     "write_group",
     "write_histogram",

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.exact import PARTS, parts_of, sums_of_parts
 from ..schema import column_name
 from ..session import ensure_checkpoint_dir, ship_package
 
@@ -91,8 +92,8 @@ def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "kind", "rows", "offset"])
 
 
-def list_arrays(spark: SparkSession, path: str, groups: Sequence[str]) -> DataFrame:
-    """The arrays of ``groups`` below ``path``: path, file, group, dataset, kind, rows, offset."""
+def list_arrays(spark: SparkSession, path: str, groups: Sequence[str] | None = None) -> DataFrame:
+    """The arrays below ``path``, or those of ``groups``: path, file, group, dataset, kind, rows, offset."""
     ship_package(spark)
     found = (
         spark.read.format("binaryFile")
@@ -105,7 +106,9 @@ def list_arrays(spark: SparkSession, path: str, groups: Sequence[str]) -> DataFr
     named = found.select("path", part(1).alias("file"), part(2).alias("group"), part(3).alias("dataset"))
     schema = "path string, file string, group string, dataset string, kind string, rows long, offset long"
     ensure_checkpoint_dir(spark)
-    return named.filter(F.col("group").isin(*groups)).mapInArrow(_headers, schema).checkpoint()
+    if groups is not None:
+        named = named.filter(F.col("group").isin(*groups))
+    return named.mapInArrow(_headers, schema).checkpoint()
 
 
 def _column_types(arrays: DataFrame) -> dict[str, tuple[str, str, T.DataType]]:
@@ -215,3 +218,44 @@ def read_colgroup(
     cut = cut.select("file", "arrays", "cut.begin", "cut.end")
     tasks = max(1, cut.count())
     return cut.repartition(tasks).mapInArrow(_ranges(fields), T.StructType(fields))
+
+
+def _array_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [f.split()[0] for f in PARTS.split(", ")]
+    for batch in batches:
+        for row in batch.to_pylist():
+            known = (row["group"], column_name(row["dataset"]))
+            found = [(*known, None, None, None, None)]
+            stored = np.dtype(row["kind"])
+            with _open(row["path"]) as handle:
+                for begin in range(row["begin"], row["end"], BATCH_ROWS):
+                    n = min(BATCH_ROWS, row["end"] - begin)
+                    raw = handle.read_at(n * stored.itemsize, row["offset"] + begin * stored.itemsize)
+                    found += [(*known, *part) for part in parts_of(np.frombuffer(raw, stored, n))]
+            columns = [pa.array(c, t) for c, t in zip(zip(*found), _PART_TYPES)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+_PART_TYPES = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+
+
+def sum_arrays(spark: SparkSession, path: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Sums of all datasets of all groups below ``path``: (group, dataset, total).
+
+    Each array is summed for itself, in slices, so they need not be aligned or be in all
+    files. The totals do not depend on the order: see :func:`~eventskim.operators.exact_sums`.
+    """
+    arrays = list_arrays(spark, path)
+    _column_types(arrays)  # names the array of a type that is no number
+    width = F.regexp_extract("kind", r"(\d+)$", 1).cast("int")
+    slices = F.greatest(F.lit(1), F.ceil(F.col("rows") * width / slice_bytes))
+    # An empty array has a slice too.
+    cuts = F.when(F.col("rows") > 0, cut_slices(F.col("rows"), slices)).otherwise(
+        F.array(F.struct(F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("end")))
+    )
+    cut = arrays.select("path", "group", "dataset", "kind", "offset", F.explode(cuts).alias("cut"))
+    cut = cut.select("path", "group", "dataset", "kind", "offset", "cut.begin", "cut.end")
+    tasks = cut.count()
+    if not tasks:
+        raise ValueError(f"no array below {path}")
+    return sums_of_parts(cut.repartition(tasks).mapInArrow(_array_parts, PARTS))

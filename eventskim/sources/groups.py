@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.aggregates import column_sums
+from ..operators.exact import exact_sums
 from ..operators.provenance import tag_provenance
 from ..operators.rows import FILE, ROW, stamp_rows
 from ..schema import GROUP_FIELDS, column_name, group_schema
@@ -228,9 +229,14 @@ def merge_sample(spark: SparkSession, sources: Sequence[str], target: str, group
     return groups
 
 
-def sum_groups(spark: SparkSession, root: str) -> DataFrame:
-    """Sums of all columns of all groups below ``root``: (group, dataset, total)."""
-    sums = [column_sums(read_dynamic(spark, f"{root.rstrip('/')}/{g}"), g) for g in stored_groups(spark, root)]
+def sum_groups(spark: SparkSession, root: str, exact: bool = True) -> DataFrame:
+    """Sums of all columns of all groups below ``root``: (group, dataset, total).
+
+    The sums do not depend on the order of the rows; those that are not ``exact`` may
+    differ in their last digits, and take less time.
+    """
+    add = exact_sums if exact else column_sums
+    sums = [add(read_dynamic(spark, f"{root.rstrip('/')}/{g}"), g) for g in stored_groups(spark, root)]
     if not sums:
         raise ValueError(f"no group below {root}")
     return reduce(DataFrame.unionAll, sums)

@@ -1,7 +1,7 @@
 """Event joins and reductions against brute force, with duplicates, NULL keys and a hot event."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from eventskim.operators import (
     count_under_cuts,
     filter_jet,
     join_event,
+    join_event_by_id,
     join_leading,
     leading,
 )
@@ -172,3 +173,32 @@ def test_hot_event_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_counts_of_a_hot_event(spark):
+    """A third of the rows in one event; its rows are dealt over parts, and the counts are whole."""
+    schema = "Tau_runNum int, Tau_lumisec int, Tau_evtNum long, Tau_pt double, Tau_eta double"
+    rows = [(1, 2, 7 if i % 3 == 0 else i, float(i % 50), float(i % 7) - 3) for i in range(3000)]
+    rows += [(1, None, 7, 40.0, 1.0), (None, None, None, 40.0, 1.0), (1, 2, 7, 30.0, 1.0), (1, 2, 7, 30.0, 1.0)]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    cuts = {"n": F.col("Tau_pt") > 20, "m": (F.col("Tau_pt") > 20) & (F.col("Tau_eta") > 0)}
+    got = [sorted(map(tuple, count_under_cuts(df, "Tau", cuts, salts=s).collect())) for s in (1, 2, 16)]
+    by_event = {}
+    for r in rows:
+        if None not in r:
+            n, m = by_event.get(r[:3], (0, 0))
+            by_event[r[:3]] = (n + (r[3] > 20), m + (r[3] > 20 and r[4] > 0))
+    want = sorted((*r, *by_event[r[:3]]) for r in rows if None not in r and all(by_event[r[:3]]))
+    assert got == [want] * 3
+    with pytest.raises(ValueError, match="one part"):
+        count_under_cuts(df, "Tau", cuts, salts=0)
+
+
+def test_join_by_id_is_the_null_safe_join(spark):
+    keys = [(1, 2, 3), (1, 2, None), (None, 2, 3), (None, None, None), (1, 2, 4), (1, 2, 3)]
+    objects = spark.createDataFrame([(*k, float(i)) for i, k in enumerate(keys)], "Tau_runNum int, Tau_lumisec int, Tau_evtNum long, Tau_pt double")
+    info = spark.createDataFrame([(*k, float(i) / 2) for i, k in enumerate(keys[:4])], "runNum int, lumiSec int, evtNum long, rhoIso double")
+    plain, by_id = join_event(objects, info, "Tau"), join_event_by_id(objects, info, "Tau")
+    assert Counter(map(tuple, plain.collect())) == Counter(map(tuple, by_id.drop("_hash", "_event").collect()))
+    tops = [Counter(map(tuple, leading(df, "Tau", ["Tau_pt", "rhoIso"], "N").collect())) for df in (plain, by_id)]
+    assert tops[0] == tops[1] and len(tops[0]) == 5

@@ -1,0 +1,75 @@
+"""Sums that are right to the last bit, in any order."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from eventskim.operators import exact_sums
+from eventskim.operators.exact import PARTS, parts_of, sums_of_parts
+from eventskim.sources import sum_arrays
+
+
+def odd_doubles(rng):
+    """Numbers of all sizes, powers of two and their neighbours, the least doubles."""
+    out = [rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.randrange(-1074, 1000) for _ in range(2000)]
+    out += [2.0**k for k in range(-1074, 1000, 3)] + [-(2.0**k) * (1 - 2**-53) for k in range(-1020, 1000, 7)]
+    return out + [5e-324, -5e-324, 2.0**-1022, 0.0, -0.0, 2.0**53 - 1, 2.0**53 + 2, 1e300, -1e300]
+
+
+def total(df):
+    return {r.dataset: r.total for r in exact_sums(df, "G").collect()}
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_equal_to_the_bit(spark, parts):
+    rng = random.Random(2)
+    for values in (odd_doubles(rng), [0.1] * 999, [rng.gauss(0, 1) for _ in range(3000)], [1e16, 1.0, -1e16], [2.0**-1074] * 3):
+        rng.shuffle(values)
+        df = spark.createDataFrame([(x,) for x in values], "x double").repartition(parts)
+        assert total(df)["x"] == math.fsum(values)
+
+
+def test_all_numeric_types(spark):
+    rows = [(127, -(2**63), 2**63 - 1, 0.1, "t"), (-128, -(2**63), 5, 3e38, "t"), (None, None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, "a tinyint, `b.c` bigint, d bigint, e float, s string")
+    floats = [float(np.float32(x)) for x in (0.1, 3e38)] * 3
+    assert total(df) == {"a": -3.0, "b.c": float(-6 * 2**63), "d": float(3 * (2**63 + 4)), "e": math.fsum(floats)}
+    with pytest.raises(ValueError, match="no numeric column"):
+        exact_sums(df.select("s"), "G")
+
+
+def test_nothing_and_special_values(spark):
+    of = lambda *xs: total(spark.createDataFrame([(x,) for x in xs], "x double"))["x"]
+    assert of() is None and of(None, None) is None and of(None, 2.5) == 2.5 and of(0.0, -0.0) == 0.0
+    inf = float("inf")
+    assert of(inf, 1.0) == inf and of(-inf, None) == -inf
+    assert math.isnan(of(inf, -inf)) and math.isnan(of(float("nan"), inf))
+    assert of(1.7e308, 1.7e308) == inf and of(1.7e308, 1.7e308, -1.7e308) == 1.7e308
+
+
+def test_a_hot_value_combines_before_the_shuffle(spark):
+    df = spark.range(300_000).select(F.when(F.col("id") % 3 == 0, F.lit(0.1)).otherwise(F.col("id") / 7).alias("x"))
+    want = math.fsum(0.1 if i % 3 == 0 else i / 7 for i in range(300_000))
+    assert total(df)["x"] == want
+
+
+def test_parts_of_arrays(spark):
+    rng = random.Random(3)
+    for values in (np.array(odd_doubles(rng)), np.array([2**62, -5, 2**62]), np.array([1, 0], bool), np.array([0.1], "f4")):
+        parts = [("G", "x", *p) for chunk in np.array_split(values, 4) for p in parts_of(chunk)]
+        (row,) = sums_of_parts(spark.createDataFrame(parts, PARTS)).collect()
+        assert row.total == math.fsum(values.tolist())
+
+
+def test_sums_of_arrays_that_are_not_aligned(spark, tmp_path):
+    for name, values in {"a/G/x": [0.1] * 10, "b/sub/G/x": [0.2] * 7, "b/sub/G/y.n": [3, 4], "b/H/e": []}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        np.save(tmp_path / f"{name}.npy", np.array(values))
+    sums = {(r.group, r.dataset): r.total for r in sum_arrays(spark, str(tmp_path), slice_bytes=24).collect()}
+    assert sums == {("G", "x"): math.fsum([0.1] * 10 + [0.2] * 7), ("G", "y_n"): 7.0, ("H", "e"): None}
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no array below"):
+        sum_arrays(spark, str(tmp_path / "none"))
