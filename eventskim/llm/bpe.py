@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEPT, Recent, mapped
+from .common import Recent, mapped
 
 # Ranges that the tokenizer's Unicode tables (16.0) leave unassigned and
 # newer ones do not.
@@ -46,6 +46,12 @@ PIECE = regex.compile(
 _LATIN = re.compile(r"[\t\n\r -~\xc0-\xd6\xd8-\xf6\xf8-\u01ff]*")
 _LATIN_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 
+#: Words, pieces and pairs that an encoder remembers: so many of each twice.
+_REMEMBERED = 240_000
+#: Marks that are a piece of their own behind a letter and at the end of a word.
+_MARKS = frozenset(".,;:!?)")
+_FIRST_LATER = "\u0558"
+
 
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in the vocabulary file."""
@@ -74,18 +80,19 @@ class Bpe:
         letters = byte_letters()
         self.letters = bytes.maketrans(b"", b"").decode("latin-1").translate(dict(enumerate(letters)))
         to_byte = {letter: b for b, letter in enumerate(letters)}
-        self.rank: dict[tuple[int, int], int] = {}
-        size = 1 + max([*self.vocab.values(), *(t["id"] for t in spec["added_tokens"])])
+        self.rank: dict[int, int] = {}  # by left * size + right
+        self.size = size = 1 + max([*self.vocab.values(), *(t["id"] for t in spec["added_tokens"])])
         made = [-1] * size  # merge that makes the token, -1 for single bytes
         parts = [(i, i) for i in range(size)]
         for k, merge in enumerate(spec["model"]["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             left, right, whole = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.rank[left, right] = k
+            self.rank[left * size + right] = k
             if made[whole] < 0:
                 made[whole], parts[whole] = k, (left, right)
         self.made, self.parts = made, parts
         self.bytes: list[bytes] = [b""] * size
+        self.single = {letter: self.vocab[letter] for letter in letters if letter in self.vocab}
         self.automaton = ahocorasick.Automaton()
         whole = set()  # tokens that their own text is encoded as
         for token, i in sorted(self.vocab.items(), key=lambda item: made[item[1]]):
@@ -94,12 +101,15 @@ class Bpe:
                 a, b = parts[i]
                 if made[i] < 0 or a in whole and b in whole and self.goes_with(a, b, made[i]):
                     whole.add(i)
-                    self.automaton.add_word(token, (len(token), i))
+                    if len(token) > 1:
+                        self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in added.items():
             self.bytes[i] = content.encode()
         self.added = added
+        self.starts = np.cumsum([0, *map(len, self.bytes)])
+        self.joined = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.split_added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
 
     def goes_with(self, left: int, right: int, before: float = float("inf")) -> bool:
@@ -109,11 +119,12 @@ class Bpe:
         that ranks before the merge just undone would have been merged instead; of
         equal ranks the one further left comes first.
         """
+        rank, made, size = self.rank, self.made, self.size
         while True:
-            across = self.rank.get((left, right))
+            across = rank.get(left * size + right)
             if across is not None and across < before:
                 return False
-            a, b = self.made[left], self.made[right]
+            a, b = made[left], made[right]
             if a < 0 and b < 0:
                 return True
             if a > b:
@@ -123,8 +134,12 @@ class Bpe:
 
     def decode(self, ids: bytes) -> str:
         """Text of packed ids; bytes that are not UTF-8 become replacement characters."""
-        tokens = np.frombuffer(ids, "<u4").tolist()
-        return b"".join(map(self.bytes.__getitem__, tokens)).decode("utf-8", "replace")
+        tokens = np.frombuffer(ids, "<u4").astype(np.int64)
+        starts = self.starts[tokens]
+        lengths = self.starts[tokens + 1] - starts
+        ends = np.cumsum(lengths)
+        shift = np.repeat(starts - ends + lengths, lengths)
+        return self.joined[shift + np.arange(len(shift))].tobytes().decode("utf-8", "replace")
 
 
 class Encoder:
@@ -132,42 +147,58 @@ class Encoder:
 
     def __init__(self, bpe: Bpe):
         self.bpe = bpe
-        self.known: dict[tuple[int, int], bool] = {}
-        self.piece = Recent(self._encode_piece)
-        self.after_space = Recent(self._encode_after_space)
-
-    def _encode_piece(self, piece: str) -> bytes:
-        """Ids of a piece as little-endian 32-bit integers."""
-        text = piece.encode().decode("latin-1").translate(self.bpe.letters)
-        n, known = len(text), self.known
-        last: list[tuple[int, int] | None] = [None] * (n + 1)
+        self.size = bpe.size
+        #: Whether two tokens go together, by left * size + right.
+        self.known: dict[int, bool] = {}
+        self.piece = Recent(lambda piece: self._encode_letters(piece.encode().decode("latin-1").translate(bpe.letters)))
+        self.after_space = Recent(self._encode_after_space, _REMEMBERED)
+        self.space = bpe.letters[0x20]
+
+    def _encode_letters(self, text: str) -> bytes:
+        """Ids of a piece, given in the vocabulary's letters, as little-endian 32-bit integers."""
+        n, known, size = len(text), self.known, self.size
+        # The token that the prefix up to each letter ends with, and the letter before it.
+        # Longer tokens are tried first; if none fits, it is the letter's own.
+        last, before = list(map(self.bpe.single.__getitem__, text)), list(range(-1, n - 1))
+        settled = -1
         for end, (length, token) in self.bpe.automaton.iter(text):
-            if last[end + 1] is not None:
+            if end == settled:
                 continue
-            start = end + 1 - length
-            if start:
-                pair = (last[start][1], token)
-                fits = known.get(pair)
-                if fits is None:
-                    if len(known) >= KEPT:
-                        known.clear()
-                    fits = known[pair] = self.bpe.goes_with(*pair)
+            start = end - length
+            if start >= 0:
+                pair = last[start] * size + token
+                try:
+                    fits = known[pair]
+                except KeyError:
+                    fits = self._fits(pair)
                 if not fits:
                     continue
-            last[end + 1] = (start, token)
-        ids = []
-        while n:
-            n, token = last[n]
-            ids.append(token)
+            last[end], before[end], settled = token, start, end
+        ids, end = [], n - 1
+        while end >= 0:
+            ids.append(last[end])
+            end = before[end]
         ids.reverse()
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _fits(self, pair: int) -> bool:
+        if len(self.known) >= 2 * _REMEMBERED:
+            self.known.clear()
+        fits = self.known[pair] = self.bpe.goes_with(*divmod(pair, self.size))
+        return fits
+
     def _encode_after_space(self, word: str) -> bytes:
+        # Letters that bytes and vocabulary share, with a mark behind them or not.
+        if word.isascii():
+            if word.isalpha():
+                return self._encode_letters(self.space + word)
+            if word[-1:] in _MARKS and word[:-1].isalpha():
+                return self.after_space[word[:-1]] + self.piece[word[-1]]
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Spaced
-        found = pieces(" " + word)
+        found = [" " + word] if word.isalpha() and max(word) < _FIRST_LATER else pieces(" " + word)
         if len(found) == 1:  # remembered as a word
-            return self._encode_piece(found[0])
+            return self._encode_letters(found[0].encode().decode("latin-1").translate(self.bpe.letters))
         return b"".join(map(self.piece.__getitem__, found))
 
     def _encode_plain(self, text: str) -> bytes:

@@ -46,14 +46,14 @@ KEPT = 120_000  # entries of a cache generation
 class Recent(dict):
     """``make(key)`` for every key; two generations of bounded size are remembered."""
 
-    def __init__(self, make: Callable):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable, kept: int = KEPT):
+        self.make, self.kept, self.older = make, kept, {}
 
     def __missing__(self, key: str):
         found = self.older.get(key)
         if found is None:
             found = self.make(key)
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.older = dict(self)
             self.clear()
         self[key] = found
