@@ -35,6 +35,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def row_hash(*columns: str) -> Column:
+    """128 bits of the values of ``columns``, in which NULL differs from all values."""
+    values = [v for c in columns for v in (F.col(c), F.col(c).isNull())]
+    return F.struct(F.xxhash64(*values).alias("a"), F.xxhash64(F.lit(1), *values).alias("b"))
+
+
 def uniform(*keys: Column) -> Column:
     """A number in [0, 1) that depends on ``keys`` alone."""
     return F.shiftrightunsigned(F.xxhash64(*keys), 11) / F.lit(float(1 << 53))

@@ -15,12 +15,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, fixed, let, uniform
+from .common import WORD_PATTERN, fixed, let, row_hash, uniform
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 CHUNK = 64
+#: Equal rows that one task makes of one.
+STEP = 1024
 
 
 def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, weights=WEIGHTS) -> DataFrame:
@@ -83,12 +85,16 @@ def _step(state: Column, unit: Column, seed: int) -> Column:
 
 
 def pivotal_copies(rows: DataFrame, targets: DataFrame, seed: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """``rows(key, source, size)`` with ``source_size``, ``target`` and ``copies``.
+    """Copies of ``rows(key, source, size)``: key, source, size, source_size, target, copies, n.
 
-    ``targets`` is the result of :func:`source_targets`. ``copies`` is the floor or
-    the ceiling of ``target / source_size``; each source's ``copies * size`` sum to its
-    target but for at most half of one row's size. Draws depend on the keys and ``seed``, so a
-    rerun agrees. Repeated rows of equal key, source and size are rounded as one.
+    ``targets`` is the result of :func:`source_targets`. ``n`` rows of equal key, source
+    and size have ``copies`` each, the floor or the ceiling of ``target / source_size``;
+    such rows are in one or two rows of the result. Each source's ``n * copies * size`` sum
+    to its target but for at most half of one row's size. Draws depend on the keys and
+    ``seed``, so a rerun agrees.
+
+    Of k equal rows that are wanted p times more, as many as k p has wholes are certain.
+    What is left of k p is one row's probability, so that no unit has more mass than a row.
     """
     wanted = (
         rows.groupBy("key", "source", "size")
@@ -100,36 +106,27 @@ def pivotal_copies(rows: DataFrame, targets: DataFrame, seed: int = 0, chunk: in
         .drop("__source")
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    wanted = fixed(wanted.withColumn("__base", F.floor(rate)).withColumn("__p", rate - F.floor(rate)))
+    wanted = wanted.withColumn("base", F.floor(rate))
+    more = (rate - F.col("base")) * F.col("times")
+    wanted = fixed(wanted.withColumn("certain", F.floor(more)).withColumn("__p", more - F.col("certain")))
     open_ = (F.col("__p") > 0) & (F.col("size") > 0)
+    carried = ("key", "size", "times", "source_size", "target", "base", "certain")
     unit = F.struct(
         F.xxhash64("key", F.lit(seed)).alias("draw"),
-        "key",
-        (F.col("size") * F.col("times")).cast("double").alias("mass"),
+        F.col("size").cast("double").alias("mass"),
         F.col("__p").alias("p"),
-        "size",
-        "times",
-        "source_size",
-        "target",
-        F.col("__base").alias("base"),
+        *carried,
     )
     level = wanted.filter(open_).select(
         "source",
         F.pmod(F.xxhash64("key", "size", F.lit(seed + 1)), F.ceil(F.col("__rows") / chunk)).alias("node"),
         unit.alias("unit"),
     )
-    settled = [
-        wanted.filter(~open_).select(
-            "key", "source", "size", "times", "source_size", "target", F.col("__base").alias("copies")
-        )
-    ]
+    settled = [wanted.filter(~open_).select("source", *carried, F.col("certain").alias("more"))]
 
     def decided(df: DataFrame, u: str) -> DataFrame:
-        of = lambda name: F.col(f"{u}.{name}")
-        return df.select(
-            *(of(n).alias(n) if n != "source" else F.col(n) for n in ("key", "source", "size", "times", "source_size", "target")),
-            (of("base") + of("p").cast("long")).alias("copies"),
-        )
+        more = F.col(f"{u}.certain") + F.col(f"{u}.p").cast("long")
+        return df.select("source", *[F.col(f"{u}.{c}").alias(c) for c in carried], more.alias("more"))
 
     most = targets.agg(F.max("rows")).first()[0] or 0
     nodes = max(1, -(-most // chunk))
@@ -162,32 +159,59 @@ def pivotal_copies(rows: DataFrame, targets: DataFrame, seed: int = 0, chunk: in
     )
     settled.append(decided(last, "unit"))
     every = reduce(DataFrame.unionByName, settled)
-    return every.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("times")
+    parts = F.array(
+        F.struct((F.col("base") + 1).alias("copies"), F.col("more").alias("n")),
+        F.struct(F.col("base").alias("copies"), (F.col("times") - F.col("more")).alias("n")),
+    )
+    kept = ("key", "source", "size", "source_size", "target")
+    return every.select(*kept, F.inline(parts)).filter("n > 0")
+
+
+def repeated(df: DataFrame, n: str, step: int = STEP) -> DataFrame:
+    """Each row of ``df`` as often as its column ``n`` says, without that column.
+
+    A row that is wanted more than ``step`` times is dealt out in portions of so many.
+    """
+    few = df.filter(F.col(n) <= step)
+    portions = F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step))
+    many = df.filter(F.col(n) > step).withColumn("__portion", F.explode(portions))
+    left = F.least(F.lit(step), F.col(n) - F.col("__portion") * step)
+    many = many.withColumn(n, left.cast("long")).repartition("__portion").drop("__portion")
+    return reduce(
+        DataFrame.unionByName, [part.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))) for part in (few.filter(F.col(n) > 0), many)]
+    ).drop(n)
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """Per document: doc_id, source, size in words, source_size, target and copies.
+def mixed_copies(docs: DataFrame, key: Column, seed: int = 0) -> DataFrame:
+    """:func:`pivotal_copies` of ``docs`` (source, text) whose rows ``key`` tells apart.
 
-    NULL texts have size 0; documents of size 0 get the whole part of their source's
-    rate as copies, which take no words.
+    Rows of equal key, source and size in words share a row or two of the result.
     """
-    rows = fixed(
-        docs.select(
-            F.col("doc_id").alias("key"),
-            "source",
-            word_count(F.col("text")).alias("size"),
-        )
-    )
+    rows = fixed(docs.select(key.alias("key"), "source", word_count(F.col("text")).alias("size")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     targets = fixed(source_targets(fixed(sizes)))
-    return pivotal_copies(rows, targets, seed).withColumnRenamed("key", "doc_id")
+    return pivotal_copies(rows, targets, seed)
+
+
+def mix(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """Per document: doc_id, source, size in words, source_size, target and copies.
+
+    Documents are told apart by doc_id and text, also those whose doc_id is NULL or
+    another's too; rows that agree in both are rounded one by one all the same. NULL texts
+    have size 0; documents of size 0 get the whole part of their source's rate as copies,
+    which take no words, or one more. An empty table gives no row.
+    """
+    key = F.struct("doc_id", row_hash("text").alias("text"))
+    found = repeated(mixed_copies(docs.select("doc_id", "source", "text"), key, seed), "n")
+    return found.select(F.col("key.doc_id").alias("doc_id"), "source", "size", "source_size", "target", "copies")
 
 
 def op4_mixing(docs: DataFrame) -> DataFrame:
+    """Words that the mix takes of each document; see :func:`mix`."""
     return mix(docs).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )

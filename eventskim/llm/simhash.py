@@ -168,56 +168,74 @@ def _links_of(keys: np.ndarray, values: np.ndarray, guest: np.ndarray, threshold
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def sorted_members(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Keys (anchor, i, j) and other columns of sorted members, whole anchors at a time."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def gathered() -> tuple[np.ndarray, list[np.ndarray]]:
+        key, *columns = map(np.concatenate, zip(*held, strict=True))
+        return key, columns
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+        columns = [c.to_numpy() for c in batch.columns[3:]]
+        # The last anchor of a batch may go on in the next one.
+        cut = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key[0] != key[-1]).any() else 0
+        if cut:
+            held.append((key[:cut], *(c[:cut] for c in columns)))
+            yield gathered()
+            held = []
+        elif held and (held[-1][0][-1] != key[-1]).any():
+            yield gathered()
+            held = []
+        held.append((key[cut:], *(c[cut:] for c in columns)))
+    if held:
+        yield gathered()
+
+
 def _compare(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
-            value, guest = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            # The last anchor of a batch may go on in the next one.
-            cut = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key[0] != key[-1]).any() else 0
-            if cut:
-                held.append((key[:cut], value[:cut], guest[:cut]))
-                yield from _links_of(*map(np.concatenate, zip(*held, strict=True)), threshold)
-                held = []
-            elif held and (held[-1][0][-1] != key[-1]).any():
-                yield from _links_of(*map(np.concatenate, zip(*held, strict=True)), threshold)
-                held = []
-            held.append((key[cut:], value[cut:], guest[cut:]))
-        if held:
-            yield from _links_of(*map(np.concatenate, zip(*held, strict=True)), threshold)
+        for key, (value, guest) in sorted_members(batches):
+            yield from _links_of(key, value, guest, threshold)
 
     return run
 
 
-def close_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Links (``a``, ``b``) that connect all fingerprints at ``threshold`` or fewer differing bits.
+def deal_out(members: DataFrame, by: str, columns: tuple[str, ...]) -> DataFrame:
+    """Members (anchor, ``columns``, guest) brought together by anchor and sorted, homes first.
 
-    ``prints`` has distinct values ``print``. An anchor with more than ``SPLIT``
-    members is dealt out: its homes and its guests are cut into tiles, and each pair of
-    tiles is compared on its own, so that no task holds a hot anchor.
+    An anchor with more than ``SPLIT`` members is dealt out: its homes and its guests are
+    cut into tiles by ``by``, and each pair of tiles is compared on its own, so that no
+    task holds a hot anchor.
     """
-    members = _members(prints, threshold)
     hot = members.groupBy(F.col("anchor").alias("__anchor")).count().filter(F.col("count") > SPLIT)
     hot = fixed(hot.select("__anchor", F.ceil(F.col("count") / SPLIT).cast("int").alias("__tiles")))
     if hot.isEmpty():
-        dealt = members.select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), "print", "guest")
+        dealt = members.select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), *columns, "guest")
     else:
         tiles = F.coalesce("__tiles", F.lit(1))
-        own = F.pmod(F.xxhash64("print"), tiles).cast("int")
+        own = F.pmod(F.xxhash64(by), tiles).cast("int")
         met = members.join(hot, F.col("anchor") == F.col("__anchor"), "left").select(
-            "anchor", "print", "guest", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other")
+            "anchor", *columns, "guest", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other")
         )
         home = F.col("guest") == 0
         dealt = met.select(
             "anchor", F.when(home, F.col("own")).otherwise(F.col("other")).alias("i"),
-            F.when(home, F.col("other")).otherwise(F.col("own")).alias("j"), "print", "guest",
+            F.when(home, F.col("other")).otherwise(F.col("own")).alias("j"), *columns, "guest",
         )
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = dealt.repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "guest")
-    return sorted_.mapInArrow(released(_compare(threshold)), "a long, b long")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "guest")
+
+
+def close_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Links (``a``, ``b``) that connect all fingerprints at ``threshold`` or fewer differing bits.
+
+    ``prints`` has distinct values ``print``.
+    """
+    dealt = deal_out(_members(prints, threshold), "print", ("print",))
+    return dealt.mapInArrow(released(_compare(threshold)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

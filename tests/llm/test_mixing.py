@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from eventskim.llm.mixing import mix, op4_mixing
+from eventskim.llm.mixing import mix, op4_mixing, repeated
 
 
 def targets(sizes):
@@ -36,7 +36,7 @@ def check(rows, out):
     for doc_id, text, _, source, *_ in rows:
         sources[doc_id, words(text)].add(source)
     for r in out:
-        (source,) = sources[r.doc_id, r.size]
+        source = next(s for s in sources[r.doc_id, r.size] if r.source_size == sizes[s] and r.target == pytest.approx(want[s]))
         assert r.source_size == sizes[source] and r.target == pytest.approx(want[source])
         assert r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
         taken[source] += r.taken
@@ -70,3 +70,25 @@ def test_one_source_without_words(spark):
 
 def test_no_rows(no_docs):
     assert op4_mixing(no_docs).collect() == []
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_rows_without_ids_are_rounded_one_by_one(spark):
+    """Equal rows and different ones without ids; no unit has the mass of more than a document."""
+    big = [(i, "w " * 40, "en", "a", 1) for i in range(100)]
+    for rest in (
+        [(None, "b " * 10, "en", "b", 1)] * 1000,
+        [(None, f"b{i} " * 5, "en", "b", 1) for i in range(1500)],
+        [(7, "b " * 3, "en", "b", 1)] * 400 + [(7, "c " * 3, "en", "b", 1)] * 401 + [(None, None, "en", "b", 1)] * 30,
+    ):
+        docs = spark.createDataFrame(big + rest, SCHEMA).repartition(4)
+        check(big + rest, op4_mixing(docs).collect())
+        again = op4_mixing(docs.repartition(7)).collect()
+        assert Counter(map(tuple, again)) == Counter(map(tuple, op4_mixing(docs).collect()))
+
+
+def test_repeated_rows_are_dealt_in_portions(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 10), ("c", 3001), ("d", 0)], "k string, n long")
+    assert Counter(r.k for r in repeated(df, "n", 100).collect()) == {"a": 1, "b": 10, "c": 3001}
