@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fixed
-from .vectors import every, lifted, packed_vectors, ranked, unpacked, usual
+from .vectors import each_length, every, lifted, packed_vectors, ranked, unpacked
 
 LINES = 48
 CERTAINTY = 0.95  # for a vector as near as the k-th found to have been verified
@@ -129,31 +129,37 @@ def _solve(dim: int, most: float, k: int):
     return run
 
 
+FOUND = "query_id long, vec_id long, score double"
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of each query's ``k`` largest inner products found.
 
     Both frames come from :func:`~.vectors.packed_vectors`. Every vector is in the
-    index. A vector that has the query's id is no candidate; equal scores go to the
-    smaller id. Without data or queries there are no rows.
+    index, with those of its own length. A vector that has the query's id is no candidate;
+    equal scores go to the smaller id. Different vectors of one id are candidates each, and
+    as queries share one list. Without data or queries there are no rows.
     """
-    spark = vectors.sparkSession
-    vectors, dim, n, most = usual(fixed(vectors))
-    queries = queries.filter(F.col("dim") == dim)
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    vectors, queries = fixed(vectors), fixed(queries)
+    return ranked(each_length(vectors, queries, lambda *of: _of_length(*of, k), FOUND), k)
+
+
+def _of_length(vectors: DataFrame, queries: DataFrame, dim: int, n: int, most: float, k: int) -> DataFrame:
     slices, blocks = -(-n // SLICE_ROWS), -(-max(1, queries.count()) // BLOCK_QUERIES)
     part = lambda count: F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int")
     steps = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     # Blocks of queries meet slices of the data.
     asked = queries.select("vec_id", "vector", part(blocks).alias("block"), steps(slices).alias("slice"))
     data = vectors.select("vec_id", "vector", part(slices).alias("slice"), steps(blocks).alias("block"))
-    found = asked.groupBy("block", "slice").cogroup(data.groupBy("block", "slice")).applyInArrow(
-        _solve(dim, most, k), "query_id long, vec_id long, score double"
-    )
-    return ranked(found, k)
+    return asked.groupBy("block", "slice").cogroup(data.groupBy("block", "slice")).applyInArrow(_solve(dim, most, k), FOUND)
 
 
 def op7_ann(embeddings: DataFrame) -> DataFrame:
-    """The 20 nearest found, by inner product, of every 20th vector among all others."""
+    """The 20 nearest found, by inner product, of every 20th vector among all others of its length.
+
+    Vectors that are NULL, empty, zero or hold NULL or non-finite components take no part,
+    nor do rows without an id. Rows that agree in id and vector are one. Ties go to the
+    smaller id; an empty table gives no row. See :func:`nearest`.
+    """
     vectors = fixed(packed_vectors(embeddings, drop_zero=True))
     return nearest(vectors, vectors.filter(every(20)), 20)

@@ -10,6 +10,7 @@ bounded size, and the slices' best are merged.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +19,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fixed
-from .vectors import every, lifted, packed_vectors, ranked, unpacked, usual
+from .vectors import each_length, every, lifted, packed_vectors, ranked, unpacked
 
-PIVOTS = 64  # sampled vectors; all bounds are kept for each pair of them
+#: Sampled vectors, one for so many of the square root of all, at least and at most so many.
+PIVOT_SHARE, LEAST_PIVOTS, MOST_PIVOTS = 2, 64, 1024
+#: Rows of one id that bounds allow for; with an id of more, nothing is pruned.
+ROWS_OF_AN_ID = 64
 GROUP_QUERIES = 512
 SLICE_ROWS = 8192
-SLACK = 1e-9  # relative, for rounding in distances
+SLACK = 1e-6  # relative, for rounding in distances
+#: Squared lengths from which products may not fit in 64 bits, and from which distances are
+#: taken of vectors made smaller by a power of two, so that none is infinite.
+LARGE, TOO_LARGE, SHRINK = 2.0**62, 1e300, 2.0**-560
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -31,13 +38,13 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, square))
 
 
-def _cells(pivots: np.ndarray, most: float, lift: bool):
+def _cells(pivots: np.ndarray, most: float, lift: bool, shrink: float):
     """Each vector's nearest pivot and its distance; queries are not lifted."""
     dim = pivots.shape[1] - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = unpacked(batch.column(1), dim)
+            x = unpacked(batch.column(1), dim) * shrink
             x = lifted(x, most) if lift else np.column_stack([x, np.zeros(len(x))])
             d = _distances(x, pivots)
             cell = d.argmin(axis=1)
@@ -100,35 +107,53 @@ def _replicas(low: np.ndarray, high: np.ndarray, group_cells: list[list[int]], b
     return run
 
 
-def _solve(dim: int, k: int):
+def _order(score: int) -> bytes:
+    """Bytes that sort as whole numbers of any size a product of doubles has."""
+    return (score + (1 << 2200)).to_bytes(280, "big")
+
+
+def _best_of(products: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest, of equal ones those that come first."""
+    if len(products) <= k:
+        return np.arange(len(products))
+    least = np.partition(products, len(products) - k)[len(products) - k]
+    above = np.flatnonzero(products > least)
+    return np.concatenate([above, np.flatnonzero(products == least)[: k - len(above)]])
+
+
+def _solve(dim: int, k: int, large: bool):
     """The ``k`` best of a slice for each query of a block: exact integer products."""
 
     def run(queries: pa.Table, data: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list] = [[], [], [], []]
         if queries.num_rows and data.num_rows:
             ids = data["vec_id"].to_numpy()
-            order = np.argsort(ids)
+            order = np.argsort(ids, kind="stable")
             ids, x = ids[order], unpacked(data["vector"], dim)[order]
             asked, q = queries["vec_id"].to_numpy(), unpacked(queries["vector"], dim)
-            most = min(k, len(ids))
+            whole = [[int(v) for v in row] for row in x] if large else []
             for a in range(0, len(q), 64):
-                part = q[a : a + 64]
-                products = part @ x.T
-                if np.abs(part).max(initial=0) * np.abs(x).max(initial=0) * dim >= 2**53:
-                    # Too large for doubles: whole numbers of any size.
-                    products = np.array([[int(sum(int(u) * int(v) for u, v in zip(r, s, strict=True))) for s in x] for r in part], object)
-                    best = np.array([sorted(range(len(ids)), key=lambda c, r=r: (-r[c], c))[: k + 1] for r in products])
-                else:
-                    # One key for score and place, so that of equal scores the smaller id is kept.
-                    keys = products.astype(np.int64) * len(ids) - np.arange(len(ids))
-                    keys[ids[None, :] == asked[a : a + 64, None]] = np.iinfo(np.int64).min
-                    best = np.argpartition(keys, len(ids) - most, axis=1)[:, len(ids) - most :]
-                rows = np.arange(len(part))[:, None]
-                own = ids[best] == asked[a : a + 64][:, None]
-                for column, values in zip(out, (asked[a : a + 64][rows] + 0 * best, ids[best], products[rows, best]), strict=True):
-                    column.append(values[~own].astype(np.int64))
-        columns = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out]
-        return pa.table(columns, names=["query_id", "vec_id", "score"])
+                part, own = q[a : a + 64], asked[a : a + 64]
+                exact = not large and np.abs(part).max(initial=0) * np.abs(x).max(initial=0) * dim < 2**53
+                # Doubles hold the products, or 64 bits do.
+                products = part @ x.T if exact else None if large else part.astype(np.int64) @ x.astype(np.int64).T
+                for i, query_id in enumerate(own):
+                    others = np.flatnonzero(ids != query_id)
+                    if large:
+                        row = [int(v) for v in part[i]]
+                        scores = {int(c): sum(u * v for u, v in zip(row, whole[c], strict=True)) for c in others}
+                        best = sorted(scores, key=lambda c: (-scores[c], c))[:k]
+                        found = [scores[c] for c in best]
+                    else:
+                        best = others[_best_of(products[i, others], k)]
+                        found = products[i, best].astype(np.int64).tolist()
+                    out[0] += [query_id] * len(best)
+                    out[1] += ids[best].tolist()
+                    out[2] += [max(-(1 << 63), min((1 << 63) - 1, s)) for s in found]
+                    out[3] += [_order(s) if large else None for s in found]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        arrays = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+        return pa.table(arrays, names=["query_id", "vec_id", "score", "exact"])
 
     return run
 
@@ -149,27 +174,43 @@ def _summary(data: DataFrame, k: int) -> DataFrame:
     return extent.join(small, "cell")
 
 
-def largest_products(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS) -> DataFrame:
+FOUND = "query_id long, vec_id long, score long, exact binary"
+
+
+def largest_products(vectors: DataFrame, queries: DataFrame, k: int, pivots: int | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of each query's ``k`` largest inner products.
 
-    Both frames come from :func:`~.vectors.packed_vectors` and hold whole numbers. A
-    vector that has the query's id is no candidate; equal scores go to the smaller id.
-    Without data or queries there are no rows.
+    Both frames come from :func:`~.vectors.packed_vectors` and hold whole numbers. Vectors
+    are compared with those of their own length. A vector that has the query's id is no
+    candidate, equal scores go to the smaller id, and different vectors of one id are
+    candidates each; as queries they share one list of ``k``. Ranks are those of the exact
+    products, whatever their size; a ``score`` beyond 64 bits is the nearest long. Without
+    data or queries there are no rows.
     """
-    spark = vectors.sparkSession
-    vectors, dim, n, most = usual(fixed(vectors))
-    queries = fixed(queries.filter(F.col("dim") == dim))
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not n or queries.isEmpty():
-        return empty
+    vectors, queries = fixed(vectors), fixed(queries)
+    most = vectors.agg(F.max("square")).first()[0]
+    large = most is not None and not most < LARGE
+    found = each_length(vectors, queries, lambda *of: _of_length(*of, large, k, pivots), FOUND)
+    # The lists of an id's vectors of several lengths are one.
+    return ranked(found, k, "exact" if large else "score")
+
+
+def _of_length(
+    vectors: DataFrame, queries: DataFrame, dim: int, n: int, most: float, large: bool, k: int, pivots: int | None
+) -> DataFrame:
+    pivots = pivots or min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(n) // PIVOT_SHARE))
+    shrink = 1.0
+    if not most < TOO_LARGE:
+        shrink, most = SHRINK, dim * (2.0**512 * SHRINK * 2.0**512) ** 2
+    of_one_id = vectors.groupBy("vec_id").count().agg(F.max("count")).first()[0]
     drawn = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("vector").toArrow()
-    centres = lifted(unpacked(drawn["vector"], dim), most)
+    centres = lifted(unpacked(drawn["vector"], dim) * shrink, most)
     between = _distances(centres, centres)
     with_cell = "vec_id long, vector binary, cell int, far double"
-    data = fixed(vectors.select("vec_id", "vector").mapInArrow(_cells(centres, most, True), with_cell))
-    asked = fixed(queries.select("vec_id", "vector").mapInArrow(_cells(centres, most, False), with_cell))
-    # Summaries: a few numbers a cell. One more neighbour than wanted, as a query may be its own.
-    need = k + 1
+    data = fixed(vectors.select("vec_id", "vector").mapInArrow(_cells(centres, most, True, shrink), with_cell))
+    asked = fixed(queries.select("vec_id", "vector").mapInArrow(_cells(centres, most, False, shrink), with_cell))
+    # Summaries: a few numbers a cell. More neighbours than wanted, as a query's own id is none.
+    need = k + min(of_one_id, ROWS_OF_AN_ID)
     nearest: list[list[float]] = [[] for _ in centres]
     sizes, farthest = np.zeros(len(centres), np.int64), np.full(len(centres), -1.0)
     for row in _summary(data, need).collect():
@@ -178,6 +219,8 @@ def largest_products(vectors: DataFrame, queries: DataFrame, k: int, pivots: int
     for row in asked.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect():
         reach[row["cell"]], counts[row["cell"]] = row["far"], row["n"]
     bound = _bounds(between, reach, nearest, need)
+    if of_one_id > ROWS_OF_AN_ID:
+        bound[:] = np.inf
     slack = SLACK * (1.0 + between.max() + np.sqrt(most)) + 1e-6
     low = between - reach[:, None] - bound[:, None] - slack
     high = between + reach[:, None] + bound[:, None] + slack
@@ -199,13 +242,15 @@ def largest_products(vectors: DataFrame, queries: DataFrame, k: int, pivots: int
         .select("g", "block", "slice", "vec_id", "vector")
     )
     key = ["g", "block", "slice"]
-    found = placed.groupBy(*key).cogroup(replicas.groupBy(*key)).applyInArrow(
-        _solve(dim, k), "query_id long, vec_id long, score long"
-    )
-    return ranked(found, k)
+    return placed.groupBy(*key).cogroup(replicas.groupBy(*key)).applyInArrow(_solve(dim, k, large), FOUND)
 
 
 def op6_topk(embeddings: DataFrame) -> DataFrame:
-    """The 5 largest integer inner products of every 50th vector with all others."""
+    """The 5 largest integer inner products of every 50th vector with all others of its length.
+
+    Vectors that are NULL, empty or hold NULL or non-finite components take no part, nor
+    do rows without an id. Rows that agree in id and vector are one. Ties go to the smaller id;
+    an empty table gives no row. See :func:`largest_products`.
+    """
     vectors = fixed(packed_vectors(embeddings, scale=256.0))
     return largest_products(vectors, vectors.filter(every(50)), 5)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,12 @@ def _pack(scale: float | None, drop_zero: bool):
                 if i is None or not v.is_valid or v.values.null_count:
                     continue
                 x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                if not np.isfinite(x).all():
+                if not len(x) or not np.isfinite(x).all():
                     continue
                 if scale is not None:
                     x = np.floor(x * scale)
+                    if not np.isfinite(x).all():
+                        continue
                 if drop_zero and not x.any():
                     continue
                 ids.append(i)
@@ -40,24 +43,29 @@ def packed_vectors(df: DataFrame, scale: float | None = None, drop_zero: bool =
     """``vec_id``, ``vector`` (little-endian doubles), ``dim`` and ``square`` (squared length).
 
     ``scale`` turns each component x into floor(scale * x). Rows without an id, without
-    a vector, with NULL or non-finite components, and, with ``drop_zero``, without any
-    other component than zero are left out, as are vectors of another length than most
-    have (the longer, of two as frequent). Of rows that share an id the one with the
-    smallest bytes stands for all.
+    a vector or components, with NULL or non-finite components (also after scaling), and,
+    with ``drop_zero``, without any other component than zero are left out. Rows that agree
+    in id and vector are one; different vectors of one id are all kept.
     """
     rows = df.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_pack(scale, drop_zero), VECTOR_SCHEMA)
-    one = F.min(F.struct("vector", "dim", "square")).alias("v")
-    return rows.groupBy("vec_id").agg(one).select("vec_id", "v.vector", "v.dim", "v.square")
+    return rows.groupBy("vec_id", "vector").agg(F.min("dim").alias("dim"), F.min("square").alias("square"))
 
 
-def usual(vectors: DataFrame) -> tuple[DataFrame, int, int, float]:
-    """The vectors of the usual length, that length, their number and largest squared length."""
-    found = (
-        vectors.groupBy("dim").agg(F.count("*").alias("n"), F.max("square").alias("m")).orderBy(F.desc("n"), F.desc("dim")).first()
-    )
-    if found is None:
-        return vectors, 0, 0, 0.0
-    return vectors.filter(F.col("dim") == found["dim"]), found["dim"], found["n"], found["m"]
+def each_length(
+    vectors: DataFrame, queries: DataFrame, search: Callable[[DataFrame, DataFrame, int, int, float], DataFrame], schema: str
+) -> DataFrame:
+    """``search(vectors, queries, dim, rows, largest square)`` for every length of queries, together.
+
+    Vectors are searched among those of their own length.
+    """
+    asked = {r["dim"] for r in queries.select("dim").distinct().collect()}
+    known = vectors.groupBy("dim").agg(F.count("*").alias("n"), F.max("square").alias("most")).orderBy("dim").collect()
+    parts = [
+        search(vectors.filter(F.col("dim") == r["dim"]), queries.filter(F.col("dim") == r["dim"]), r["dim"], r["n"], r["most"])
+        for r in known
+        if r["dim"] in asked and r["n"] > 1
+    ]
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
 
 
 def unpacked(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -73,9 +81,9 @@ def lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(rest)])
 
 
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of each query, ties to the smaller vec_id."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+def ranked(found: DataFrame, k: int, by: str = "score") -> DataFrame:
+    """The ``k`` best of each query by the column ``by``, ties to the smaller vec_id."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

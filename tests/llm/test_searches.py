@@ -51,15 +51,72 @@ def test_exact_join(spark, seed, monkeypatch):
         assert out[q] == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
-def test_exact_join_of_few_and_of_large(spark):
-    rows = [(0, [3e14, 1.0], 0, None, None, None), (50, [3e14, 2.0], 0, None, None, None), (3, [1.0, 1e3], 0, None, None, None)]
-    with pytest.raises(Exception, match=".*"):
-        # Products beyond 64 bits have no place in a long column.
-        op6_topk(spark.createDataFrame(rows, SCHEMA)).collect()
+def wanted(rows, query_every, k, scale, zero):
+    """All pairs, by id and distinct vector, within each length."""
+    kept = {}
+    for i, e, *_ in rows:
+        if i is not None and e and all(v is not None and math.isfinite(v) for v in e) and (zero or any(e)):
+            v = tuple(math.floor(256 * x) for x in e) if scale else tuple(e)
+            kept[i, v] = v
+    out = {}
+    for (q, u) in kept:
+        if q % query_every == 0:
+            out.setdefault(q, []).extend((-sum(a * b for a, b in zip(u, v)), i) for (i, _), v in kept.items() if i != q and len(v) == len(u))
+    return {q: [(r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:k])] for q, found in out.items() if found}
+
+
+def test_exact_join_of_few(spark):
     out = by_query(op6_topk(spark.createDataFrame([(0, [1.0], 0, None, None, None), (7, [2.0], 0, None, None, None)], SCHEMA)).collect())
     assert out == {0: [(1, 7, 256 * 512)]}
 
 
+@pytest.mark.parametrize("most", [2.0**14, 2.0**20, 2.0**25, 2.0**27, 2.0**40, 1e30, 1e200])
+def test_exact_join_of_large_components(spark, most):
+    """Products from 2^45 to far beyond 64 bits; ranks are exact, and scores the nearest longs."""
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.uniform(-most, most, size=(600, 8))) / 256
+    x[50:60] = x[50]
+    rows = [(int(i), [float(v) for v in e], 0, None, None, None) for i, e in enumerate(x)]
+    out = by_query(op6_topk(spark.createDataFrame(rows, SCHEMA.replace("float", "double"))).collect())
+    clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+    assert out == {q: [(r, i, clamp(s)) for r, i, s in found] for q, found in wanted(rows, 50, 5, True, True).items()}
+
+
+def test_many_rows_of_large_components(spark):
+    """A slice of thousands of vectors whose products just fit in doubles."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(-20_000, 20_000, size=(8000, 64)) / 1.0
+    rows = [(int(i), [float(v) for v in e], 0, None, None, None) for i, e in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA).filter("vec_id % 50 <> 0 OR vec_id IN (0, 50, 100, 150)")
+    out = by_query(op6_topk(df).collect())
+    products = (x * 256).astype(object)
+    kept = [i for i in range(8000) if i % 50 or i <= 150]
+    ints = np.array([[int(v) for v in products[i]] for i in kept], np.int64)
+    for q in (0, 50, 100, 150):
+        scores = ints @ ints[kept.index(q)]
+        best = sorted((-int(s), i) for s, i in zip(scores, kept) if i != q)[:5]
+        assert out[q] == [(r + 1, i, -s) for r, (s, i) in enumerate(best)]
+
+
+@pytest.mark.parametrize("ids", [1, 90])
+def test_lengths_and_vectors_of_one_id(spark, ids):
+    """Two lengths, and different vectors under one id; an id with a third of all vectors."""
+    rng = np.random.default_rng(6)
+    rows = [(i if i % 3 else 100, rng.normal(size=3 if i % 5 else 4).round(2).tolist(), 0, None, None, None) for i in range(3 * ids + 110)]
+    rows += [(20 * i, rng.normal(size=4).round(2).tolist(), 0, None, None, None) for i in range(30)]
+    rows += rows[:40]
+    df = spark.createDataFrame(rows, SCHEMA.replace("float", "double")).repartition(3)
+    assert by_query(op6_topk(df).collect()) == wanted(rows, 50, 5, True, True)
+    found, want = by_query(op7_ann(df).collect()), wanted(rows, 20, 20, False, False)
+    assert found.keys() == want.keys()
+    hit = total = 0
+    for q in want:
+        assert len(found[q]) == len(want[q])
+        total += len(want[q])
+        hit += len({(i, round(s, 6)) for _, i, s in want[q]} & {(i, round(s, 6)) for _, i, s in found[q]})
+    assert hit / total > 0.9
+
+
 def test_bound_holds():
     rng = np.random.default_rng(3)
     data, queries, pivots = rng.normal(size=(400, 3)), rng.normal(size=(50, 3)), rng.normal(size=(8, 3))
