@@ -362,7 +362,7 @@ def oracle_sql() -> dict[str, str]:
         "sums_of_unlike_files": _unlike(_sums("Muon")),
         "row_index_of_any_table": """SELECT n, 0::BIGINT AS least, n - 1 AS largest,
   CAST(n * (n - 1) / 2 AS DOUBLE) AS total, n AS distinct_numbers
-FROM (SELECT COUNT(*) AS n FROM orders WHERE o_custkey % 7 <> 0) counted""",
+FROM (SELECT COUNT(*) AS n FROM orders) counted""",
         "row_index_of_all_orders": "SELECT o_orderkey, o_custkey, TRUE AS numbered FROM orders",
         "read_group_by_run": _one(
             "Electron",
@@ -376,6 +376,8 @@ FROM (SELECT COUNT(*) AS n FROM orders WHERE o_custkey % 7 <> 0) counted""",
         "scan_arrays_range": _RANGE,
         "scan_arrays_pushed": _RANGE,
         "vjet_filter_arrays_format": _VJETS,
+        "vjet_filter_paired": _VJETS,
+        "vjet_leading_paired": f"WITH vjets AS ({_VJETS})\n{_VJET_TOP}",
         "merge_groups_by_run": _one("GenEvtInfo"),
         "merge_job": _one("Info", f"*, {_tags(MERGED_NAME)}"),
         "provenance_tags": f"SELECT o_orderkey, {_tags('orders')} FROM orders",

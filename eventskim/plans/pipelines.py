@@ -134,7 +134,12 @@ def select_paired_vjets(pairs: DataFrame) -> DataFrame:
 
 
 def leading_vjets(vjet: DataFrame, addvjet: DataFrame) -> DataFrame:
-    return leading(select_vjets(vjet, addvjet), "CA15Puppi", VJET_FIELDS, "N")
+    return leading_paired_vjets(select_vjets(vjet, addvjet))
+
+
+def leading_paired_vjets(selected: DataFrame) -> DataFrame:
+    """Leading jet of each event, of those that :func:`select_paired_vjets` gives."""
+    return leading(selected, "CA15Puppi", VJET_FIELDS, "N")
 
 
 def leading_jets(jet: DataFrame, info: DataFrame) -> DataFrame:

@@ -45,6 +45,7 @@ from ..sources import (
     read_columns,
     read_dynamic,
     read_group,
+    read_paired,
     register_arrays,
     scan_arrays,
     sum_arrays,
@@ -287,6 +288,25 @@ def vjet_filter_arrays_format(spark: SparkSession, d: str) -> DataFrame:
     return p.select_paired_vjets(scan_arrays(spark, path, *groups))
 
 
+def _paired_vjets(spark: SparkSession, d: str) -> DataFrame:
+    """Both groups of wide jets as files of their own, read side by side and selected."""
+    root, groups = work_dir(spark, "paired"), ("CA15Puppi", "AddCA15Puppi")
+    for group in groups:
+        write_group(_dotted(view(spark, d, group), group), root, group)
+    return p.select_paired_vjets(read_paired(spark, root, *groups))
+
+
+@_query
+def vjet_filter_paired(spark: SparkSession, d: str) -> DataFrame:
+    return _paired_vjets(spark, d)
+
+
+@_query
+def vjet_leading_paired(spark: SparkSession, d: str) -> DataFrame:
+    """Leading wide jets from paired files: the only exchange is that by event."""
+    return p.leading_paired_vjets(_paired_vjets(spark, d))
+
+
 def _samples(spark: SparkSession, d: str, root: str, group: str) -> list[str]:
     """``group`` stored as a folder for each run; the folders."""
     rows = view(spark, d, group).withColumn("sample", F.col("runNum"))
@@ -611,7 +631,7 @@ def row_index(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def row_index_of_any_table(spark: SparkSession, d: str) -> DataFrame:
     """What the numbers of any table's rows are: each once, from 0 on without gaps."""
-    numbered = add_row_index(load(spark, d, "orders").filter("o_custkey % 7 <> 0").repartition(5, "o_orderkey"))
+    numbered = add_row_index(load(spark, d, "orders").repartition(5, "o_orderkey"))
     return numbered.agg(
         F.count(F.lit(1)).alias("n"),
         F.min("_index").alias("least"),

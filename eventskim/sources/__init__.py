@@ -16,6 +16,7 @@ from .groups import (
     write_group,
     write_histogram,
 )
+from .paired import read_paired
 
 __all__ = [
     "bind_group",
@@ -28,6 +29,7 @@ __all__ = [
     "read_dynamic",
     "read_folder",
     "read_group",
+    "read_paired",
     "register_arrays",
     "scan_arrays",
     "stored_groups",

@@ -29,8 +29,10 @@ _NUMBERS = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatT
 
 def wider_type(a: T.DataType, b: T.DataType) -> T.DataType:
     """The type that holds the values of both; numbers of 64 bits and fractions have none."""
-    if a == b:
+    if a == b or b == T.NullType():
         return a
+    if a == T.NullType():
+        return b
     if a not in _NUMBERS or b not in _NUMBERS:
         raise ValueError(f"{a.simpleString()} and {b.simpleString()} have no common type")
     fractions = {a, b} & {T.FloatType(), T.DoubleType()}
@@ -132,6 +134,8 @@ def _folder_column(rows: Sequence, lacking: str | None) -> FolderColumn:
     stored: dict[str, str] = {}
     for row in rows:
         stored.setdefault(row["dataset"].lower(), row["dataset"])
+    if kind == T.NullType():
+        kind = T.IntegerType()  # no file has a value
     return FolderColumn(name, kind, tuple(stored.values()), lacking)
 
 

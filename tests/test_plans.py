@@ -13,6 +13,7 @@ from eventskim.sources import read_group
 
 PYTHON_QUERIES = {"muon_filter_udf", "scan_colgroup", "scan_colgroup_columns", "vjet_filter_aligned_scan"}
 PYTHON_QUERIES |= {"scan_arrays_format", "scan_arrays_range", "scan_arrays_pushed", "vjet_filter_arrays_format"}
+PYTHON_QUERIES |= {"vjet_filter_paired", "vjet_leading_paired"}
 # Python rounds one total for each column.
 PYTHON_QUERIES |= {"exact_sums_of_groups", "sums_of_arrays", "sums_of_root"}
 
@@ -142,3 +143,10 @@ def test_pileup_moves_each_electron_once(spark, root, static):
     electrons, info = read_group(spark, root, "Electron"), read_group(spark, root, "Info")
     assert shuffles(p.leading_electrons(electrons, info, subtract_pileup=True, by_id=True)) == 2
     assert shuffles(p.leading_electrons(electrons, info, subtract_pileup=True)) == 3
+
+
+def test_paired_files_move_no_row(spark, sf_dir, static):
+    """Only slices, of a file each, are dealt out; then rows by event."""
+    dealt = lambda name: plan(queries.queries()[name](spark, sf_dir)).count("Exchange hashpartitioning")
+    assert dealt("vjet_filter_paired") == 0 and dealt("vjet_leading_paired") <= 1
+    assert "Join" not in plan(queries.queries()["vjet_leading_paired"](spark, sf_dir))
