@@ -26,7 +26,11 @@ from pyspark.sql import functions as F
 from .common import mixed, utf8, word_hashes
 
 WINDOW = 20
-CHUNK_BYTES = 4 << 20  # text of a chunk; a range holds the hashes of as much text
+#: Text of a chunk at least and at most; a range holds the hashes of as much text. Between the
+#: two it grows with the square root of all text, since every chunk sends a row to every range.
+LEAST_CHUNK, MOST_CHUNK, CHUNK_ROOT = 4 << 20, 64 << 20, 70
+#: Documents of a chunk, however short.
+CHUNK_ROWS = 200_000
 LAST = np.iinfo(np.int64).max  # a missing doc_id comes after all others
 _FIRST, _SECOND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
@@ -50,6 +54,7 @@ class Chunk:
 
     table: pa.Table
     ids: np.ndarray
+    split: np.ndarray  # whether other chunks may hold rows of a document's id
     doc: np.ndarray  # of each word
     start: np.ndarray  # of each word, within its document
     words: np.ndarray
@@ -61,7 +66,8 @@ class Chunk:
         table, ids = table.take(pa.array(order)).combine_chunks(), ids[order]
         words, doc = word_hashes(*utf8(table["text"]))
         begins = np.searchsorted(doc, np.arange(len(ids)))
-        return cls(table, ids, doc, np.arange(len(words)) - begins[doc] if len(words) else doc, words)
+        split = table["__split"].combine_chunks().to_numpy(zero_copy_only=False)
+        return cls(table, ids, split, doc, np.arange(len(words)) - begins[doc] if len(words) else doc, words)
 
     def inside(self, n: int) -> np.ndarray:
         """Whether the ``n`` words from each position on are of one document."""
@@ -184,8 +190,9 @@ def _of_kind(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
 def _extended(chunk: Chunk, answers: pa.Table, window: int, ranges: int):
     """The windows around a chunk's hits, grouped by equal hashes.
 
-    Returns positions, group of each, each group's first hash, second hash and doc_id
-    of its earliest window, and whether a window is later than that.
+    Returns positions, group of each, each group's first hash, second hash, doc_id and
+    start of its earliest window, and whether a window is later than that. The start is
+    zero where no other chunk has rows of the id.
     """
     n = block_words(window)
     at, hashes, blocks = chunk.probes(n)
@@ -197,18 +204,21 @@ def _extended(chunk: Chunk, answers: pa.Table, window: int, ranges: int):
     at, one, two, key = at[order], one[order], two[order], key[order]
     new = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(at) else np.zeros(0, bool)
     group, begins = np.cumsum(new) - 1, np.flatnonzero(new)
-    return at, group, one[begins], two[begins], chunk.ids[chunk.doc[at[begins]]], key > key[begins][group]
+    first = at[begins]
+    doc = chunk.doc[first]
+    start = np.where(chunk.split[doc], chunk.start[first], 0).astype(np.uint32)
+    return at, group, one[begins], two[begins], chunk.ids[doc], start, key > key[begins][group]
 
 
 def _window_rows(window: int, ranges: int):
-    """Step 3: each chunk's windows around hits, once each, with the smallest doc_id there."""
+    """Step 3: each chunk's windows around hits, once each, with the earliest place there."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         spans, numbers, number = [], np.zeros(0, np.int32), 0
-        one = two = ids = np.zeros(0, np.uint64)
+        one = two = ids = starts = np.zeros(0, np.uint64)
         if table.num_rows and answers.num_rows:
             number = table["__chunk"][0].as_py()
-            _, _, one, two, ids, _ = _extended(Chunk.of(table), answers, window, ranges)
+            _, _, one, two, ids, starts, _ = _extended(Chunk.of(table), answers, window, ranges)
             spans, numbers = _ranges(one, ranges)
         return pa.table(
             {
@@ -217,6 +227,7 @@ def _window_rows(window: int, ranges: int):
                 "one": pa.array([one[a:b].tobytes() for a, b in spans], pa.binary()),
                 "two": pa.array([two[a:b].tobytes() for a, b in spans], pa.binary()),
                 "ids": pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()),
+                "starts": pa.array([starts[a:b].tobytes() for a, b in spans], pa.binary()),
             }
         )
 
@@ -224,17 +235,18 @@ def _window_rows(window: int, ranges: int):
 
 
 def _match_windows(table: pa.Table) -> pa.Table:
-    """Step 4: which windows of a range have a smaller doc_id in another chunk."""
+    """Step 4: which windows of a range have an earlier place in another chunk."""
     parts = {c: [np.frombuffer(x.as_py(), np.uint64) for x in table[c]] for c in ("one", "two", "ids")}
     sizes = [len(x) for x in parts["one"]]
     one, two, ids = (np.concatenate(parts[c]) for c in ("one", "two", "ids"))
     ids = ids.view(np.int64)
-    order = np.lexsort((ids, two, one))
-    a, b = one[order], two[order]
+    starts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table["starts"]])
+    order = np.lexsort((starts, ids, two, one))
+    a, b, c, d = one[order], two[order], ids[order], starts[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    least = ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    least = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = np.empty(len(ids), bool)
-    later[order] = ids[order] > least
+    later[order] = (c > c[least]) | ((c == c[least]) & (d > d[least]))
     return _answers(table, 2, sizes, later)
 
 
@@ -251,7 +263,7 @@ def _kept(window: int, ranges: int, columns: list[str]):
         table, n_docs = chunk.table, len(chunk.ids)
         covered = np.zeros(len(chunk.words) + 1, np.int64)
         if answers.num_rows:
-            at, group, one, _, _, later = _extended(chunk, answers, window, ranges)
+            at, group, one, _, _, _, later = _extended(chunk, answers, window, ranges)
             later = later | _marked(_of_kind(answers, 2), one, ranges)[group]
             np.add.at(covered, at[later], 1)
             np.add.at(covered, at[later] + window, -1)
@@ -279,30 +291,54 @@ def _kept(window: int, ranges: int, columns: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def chunked(docs: DataFrame, columns: list[str], chunk_bytes: int | None = None, chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, int]:
+    """``docs`` with ``__id``, ``__chunk`` and ``__split``, and the number of chunks.
+
+    Rows of an id are in one chunk, but for ids, NULL among them, with more text or rows
+    than a chunk should have: their rows are dealt over all chunks (``__split``).
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    total, rows = docs.agg(F.sum(size.cast("long")), F.count("*")).first()
+    total = total or 0
+    chunk_bytes = chunk_bytes or max(LEAST_CHUNK, min(MOST_CHUNK, int(CHUNK_ROOT * total**0.5)))
+    n = max(total // chunk_bytes, rows // chunk_rows) + 1
+    large = (
+        docs.groupBy(F.col("doc_id").alias("__large")).agg(F.sum(size.cast("long")).alias("bytes"), F.count("*").alias("rows"))
+        .filter((F.col("bytes") > chunk_bytes) | (F.col("rows") > chunk_rows))
+    )
+    # At most twice as many as chunks.
+    known = docs.join(F.broadcast(large.select("__large", F.lit(True).alias("__is"))), F.col("doc_id").eqNullSafe(F.col("__large")), "left")
+    split = F.coalesce("__is", F.lit(False))
+    # Equal rows of one id are apart as well.
+    spread = F.when(split, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id"))
+    placed = known.select(
+        *columns,
+        F.col("doc_id").cast("long").alias("__id"),
+        split.alias("__split"),
+        F.pmod(spread, F.lit(n)).cast("int").alias("__chunk"),
+    )
+    return placed, n
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, chunk_bytes: int | None = None) -> DataFrame:
     """``docs`` with ``kept`` (the words left, joined by spaces), ``n_words``, ``n_removed``, ``removed``.
 
     A word goes if ``window`` words around it also start earlier: in a smaller doc_id,
     or before in the same document; ``removed`` lists the spans of such words. NULL
     text has no words. Rows that share a doc_id share its positions, so that repeated
     rows are no repeats of each other; rows without a doc_id count as one after all
-    others. Columns of these four names are replaced.
+    others. Columns of these four names are replaced. An empty table gives no row.
+    ``chunk_bytes`` is chosen by the size of all text where it is not given.
     """
     made = ("kept", "n_words", "n_removed", "removed")
     columns = [c for c in docs.columns if c not in made]
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // chunk_bytes) + 1
-    placed = docs.select(
-        *columns,
-        F.col("doc_id").cast("long").alias("__id"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("__chunk"),
-    )
+    placed, n = chunked(docs, columns, chunk_bytes)
     chunks = placed.groupBy("__chunk")
     asked = chunks.applyInArrow(_probe_rows(window, n), "range int, chunk int, low binary, twice binary, block binary")
     answer = "chunk int, kind int, range int, bits binary"
     hits = asked.groupBy("range").applyInArrow(_match_blocks, answer)
     windows = chunks.cogroup(hits.groupBy("chunk")).applyInArrow(
-        _window_rows(window, n), "range int, chunk int, one binary, two binary, ids binary"
+        _window_rows(window, n), "range int, chunk int, one binary, two binary, ids binary, starts binary"
     )
     later = windows.groupBy("range").applyInArrow(_match_windows, answer)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)

@@ -6,12 +6,15 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from eventskim.llm import simhash
 from eventskim.llm.components import components
-from eventskim.llm.repeats import op8_repeats, remove_repeats
+from eventskim.llm.repeats import chunked, op8_repeats, remove_repeats
 from eventskim.llm.simhash import anchors, close_links, fingerprint, op10_simhash
 
+from .conftest import text_of
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -173,3 +176,20 @@ def test_components(spark, seed):
     out = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.root for r in out} == want and len(out) == len(want)
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    """A third of all rows without an id, some of them equal: no chunk holds much more than it should."""
+    rng = random.Random(3)
+    shared = text_of(rng, 60)
+    rows = [(None if i % 3 == 0 else i, text_of(rng, 150) + (f" {shared} " if i % 20 == 0 else " ") + text_of(rng, 150)) for i in range(900)]
+    rows += [(None, rows[0][1])] * 200 + [(7, text_of(rng, 300)) for _ in range(200)] + [(None, "")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    size = 30_000
+    placed, n = chunked(docs, ["doc_id", "text"], size, 100)
+    held = placed.groupBy("__chunk").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows")).collect()
+    assert n > 10 and max(r.bytes for r in held) < 4 * size and max(r.rows for r in held) < 400
+    assert placed.filter("__split").select("doc_id").distinct().count() == 2
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    out = remove_repeats(docs, chunk_bytes=size).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, out), key=key) == sorted(without_repeats(rows), key=key)
