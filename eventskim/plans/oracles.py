@@ -398,6 +398,13 @@ FROM (SELECT COUNT(*) AS n FROM orders) counted""",
         "electron_leading": _electron_top("SELECT * FROM top"),
         "electron_leading_pileup": _electron_top("SELECT * FROM top", pileup=True),
         "electron_leading_pileup_split": _electron_top("SELECT * FROM top", pileup=True),
+        "electron_leading_sql": _electron_top("SELECT * FROM top", pileup=True),
+        "muon_leading_sql": _with(
+            ["Muon"],
+            _top("muons", "Muon", _kin("Muon"), extra=", CAST(0.105658369 AS DOUBLE) AS Muon_Mass"),
+            muons=_muons(1),
+        ),
+        "jet_selection_sql": _with(["AK4Puppi"], f"SELECT * EXCLUDE (passfilter) FROM ({_jets('AK4Puppi', 'AK4Puppi', 30, 4.5)}) jets"),
         "electron_count": _electron_top("SELECT COUNT(*) AS n FROM top"),
         "electron_pt_range": _electron_top(
             "SELECT MIN(Electron_pt) AS min_value, MAX(Electron_pt) AS max_value FROM top"

@@ -54,6 +54,7 @@ from ..sources import (
     write_histogram,
 )
 from . import pipelines as p
+from .sql_analyses import LEADING_ELECTRONS, LEADING_MUONS, SELECTED_JETS, run_sql
 from .fixtures import VIEWS, load, stored, view, write_arrays
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,6 +498,23 @@ def step_lookup_range_join(spark: SparkSession, d: str) -> DataFrame:
     return step_lookup_join(electrons, "Electron_eta", ELECTRON_AREA, "area")
 
 
+@_query
+def electron_leading_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The electron analysis as one SQL text over named views."""
+    groups = {g: view(spark, d, g) for g in ("Electron", "Info")}
+    return run_sql(spark, LEADING_ELECTRONS, **groups)
+
+
+@_query
+def muon_leading_sql(spark: SparkSession, d: str) -> DataFrame:
+    return run_sql(spark, LEADING_MUONS, Muon=view(spark, d, "Muon"))
+
+
+@_query
+def jet_selection_sql(spark: SparkSession, d: str) -> DataFrame:
+    return run_sql(spark, SELECTED_JETS, AK4Puppi=view(spark, d, "AK4Puppi"))
+
+
 # --- photons ---------------------------------------------------------------------
 
 

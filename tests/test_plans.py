@@ -8,6 +8,7 @@ from eventskim.functions import ELECTRON_AREA
 from eventskim.operators import count_under_cuts, filter_muon, join_event, stamp_rows, step_lookup_join
 from eventskim.plans import pipelines as p
 from eventskim.plans import queries
+from eventskim.plans.sql_analyses import LEADING_ELECTRONS, LEADING_MUONS, run_sql
 from eventskim.schema import event_key
 from eventskim.sources import read_group
 
@@ -150,3 +151,16 @@ def test_paired_files_move_no_row(spark, sf_dir, static):
     dealt = lambda name: plan(queries.queries()[name](spark, sf_dir)).count("Exchange hashpartitioning")
     assert dealt("vjet_filter_paired") == 0 and dealt("vjet_leading_paired") <= 1
     assert "Join" not in plan(queries.queries()["vjet_leading_paired"](spark, sf_dir))
+
+
+def test_sql_has_the_plan_of_the_columns(spark, root, static):
+    """Functions of the session become the expressions that the operators use."""
+    def shape(df):
+        text = re.sub(r"#\d+L?|_pre_\w+|plan_id=\d+", "", plan(df))
+        return sorted(re.findall(r"(?:Join|Exchange hashpartitioning|FileScan parquet|PushedFilters: \[[^\]]*\]|Aggregate)", text))
+
+    groups = {g: read_group(spark, root, g) for g in ("Electron", "Info", "Muon")}
+    sql = run_sql(spark, LEADING_ELECTRONS, **groups)
+    assert shape(sql) == shape(p.leading_electrons(groups["Electron"], groups["Info"], subtract_pileup=True))
+    assert shape(run_sql(spark, LEADING_MUONS, **groups)) == shape(p.leading_muons(groups["Muon"]))
+    assert "Python" not in plan(sql)
