@@ -356,6 +356,13 @@ def oracle_sql() -> dict[str, str]:
                 f"SELECT *, {_tags(name)} FROM GenEvtInfo WHERE evtNum % 2 = {k}" for k, name in enumerate(SAMPLES)
             ),
         ),
+        "merge_sample_twice": _with(
+            ["GenEvtInfo"],
+            "\nUNION ALL ".join(
+                f"SELECT *, {_tags(name)} FROM GenEvtInfo WHERE evtNum % 2 = {k}" for k, name in enumerate(SAMPLES)
+            ),
+        ),
+        "merge_sample_target_tags": _one("Muon", f"Muon_evtNum, Muon_pt, {_tags(MERGED_NAME)}"),
         "sums_of_root": _with(list(SAMPLE_GROUPS), "\nUNION ALL ".join(map(_sums, SAMPLE_GROUPS))),
         "scan_unlike_files": _unlike("SELECT * FROM Muon"),
         "read_columns_of_unlike_files": _unlike("SELECT Muon_evtNum, Muon_eta, Muon_pogIDBits FROM Muon"),

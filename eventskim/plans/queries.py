@@ -41,10 +41,12 @@ from ..sources import (
     copy_format,
     merge_groups,
     merge_sample,
+    merge_sample_again,
     read_colgroup,
     read_columns,
     read_dynamic,
     read_group,
+    read_merged,
     read_paired,
     register_arrays,
     scan_arrays,
@@ -333,16 +335,38 @@ def merge_job(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _merged_sample(spark: SparkSession, d: str) -> str:
-    """All groups of two samples, of low and of high event numbers, merged."""
+    """All groups of two samples, merged."""
+    root, sources = _two_samples(spark, d)
+    merge_sample(spark, sources, f"{root}/merged")
+    return f"{root}/merged"
+
+
+def _two_samples(spark: SparkSession, d: str) -> tuple[str, list[str]]:
+    """A work folder with both samples, of low and of high event numbers."""
     root = work_dir(spark, "merge")
     sources = [f"{root}/{name}" for name in SAMPLES]
     for group in SAMPLE_GROUPS:
         low = F.col(event_key(group)[2]) % 2 == 0
-        rows = view(spark, d, group)
         for source, kept in zip(sources, (low, ~low)):
-            write_group(rows.filter(kept), source, group)
-    merge_sample(spark, sources, f"{root}/merged")
-    return f"{root}/merged"
+            write_group(view(spark, d, group).filter(kept), source, group)
+    return root, sources
+
+
+@_query
+def merge_sample_twice(spark: SparkSession, d: str) -> DataFrame:
+    """Samples merged one after another, and once more both: each row is there once."""
+    root, sources = _two_samples(spark, d)
+    for some in (sources[1:], sources[:1], sources):
+        merge_sample_again(spark, some, f"{root}/merged")
+    return read_merged(spark, f"{root}/merged", "GenEvtInfo")
+
+
+@_query
+def merge_sample_target_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Rows tagged with the name of the merged sample, whichever they come from."""
+    root, sources = _two_samples(spark, d)
+    merge_sample(spark, sources, f"{root}/{MERGED_NAME}", ["Muon"], tag="target")
+    return spark.read.parquet(f"{root}/{MERGED_NAME}/Muon").select("Muon_evtNum", "Muon_pt", "stype", "snum")
 
 
 @_query

@@ -8,9 +8,11 @@ from .groups import (
     copy_format,
     merge_groups,
     merge_sample,
+    merge_sample_again,
     read_columns,
     read_dynamic,
     read_group,
+    read_merged,
     stored_groups,
     sum_groups,
     write_group,
@@ -24,11 +26,13 @@ __all__ = [
     "folder_columns",
     "merge_groups",
     "merge_sample",
+    "merge_sample_again",
     "read_colgroup",
     "read_columns",
     "read_dynamic",
     "read_folder",
     "read_group",
+    "read_merged",
     "read_paired",
     "register_arrays",
     "scan_arrays",

@@ -203,32 +203,107 @@ def stored_groups(spark: SparkSession, root: str) -> list[str]:
     return [*(g for g in GROUP_FIELDS if g in folders), *others]
 
 
-def merge_sample(spark: SparkSession, sources: Sequence[str], target: str, groups: Sequence[str] | None = None) -> list[str]:
+def _last_part(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def _common_groups(spark: SparkSession, sources: Sequence[str]) -> list[str]:
+    """All groups of all samples; one that a sample lacks is an error."""
+    stored = {source: stored_groups(spark, source) for source in sources}
+    groups = list(dict.fromkeys(g for found in stored.values() for g in found))
+    missing = [f"{g} in {source}" for g in groups for source, found in stored.items() if g not in found]
+    if missing:
+        raise ValueError(f"missing groups: {missing}")
+    return groups
+
+
+def _tagged(spark: SparkSession, sources: Sequence[str], group: str, target: str, tag: str) -> list[DataFrame]:
+    """The rows of ``group`` of each sample, with the tags that are stored with them."""
+    if tag not in ("sample", "target"):
+        raise ValueError("tag is 'sample' or 'target'")
+    return [
+        tag_provenance(
+            read_folder(spark, f"{source.rstrip('/')}/{group}", rename=False),
+            F.lit(_last_part(source if tag == "sample" else target)),
+        )
+        for source in sources
+    ]
+
+
+def merge_sample(
+    spark: SparkSession, sources: Sequence[str], target: str, groups: Sequence[str] | None = None, tag: str = "sample"
+) -> list[str]:
     """Merge samples, folders of groups, into a new one at ``target``; the merged groups.
 
     Each row is stored with the tags ``stype`` and ``snum`` of its sample's name, the
-    last part of its folder. All groups of all samples are merged, and one that a sample
-    lacks is an error; or those in ``groups`` are. The first sample gives the columns,
-    and types must hold the others'.
+    last part of its folder, or with ``tag="target"`` of the merged folder's. All groups of
+    all samples are merged, and one that a sample lacks is an error; or those in
+    ``groups`` are. The first sample gives the columns, and types must hold the others'.
+    A target that exists is an error; :func:`merge_sample_again` may be run twice.
     """
-    if not groups:
-        stored = {source: stored_groups(spark, source) for source in sources}
-        groups = list(dict.fromkeys(g for found in stored.values() for g in found))
-        missing = [f"{g} in {source}" for g in groups for source, found in stored.items() if g not in found]
-        if missing:
-            raise ValueError(f"missing groups: {missing}")
-    groups = list(groups)
+    groups = list(groups) if groups else _common_groups(spark, sources)
     for group in groups:
-        tagged = []
-        for source in sources:
-            rows = read_folder(spark, f"{source.rstrip('/')}/{group}", rename=False)
-            tagged.append(tag_provenance(rows, F.lit(source.rstrip("/").rsplit("/", 1)[-1])))
+        tagged = _tagged(spark, sources, group, target, tag)
         schema = tagged[0].schema
         merged = reduce(DataFrame.unionAll, [_appended(rows, schema) for rows in tagged])
         merged.write.mode("errorifexists").parquet(f"{target.rstrip('/')}/{group}")
     return groups
 
 
+#: Column that names the folders of a merged group's samples.
+SAMPLE = "sample"
+
+
+def merge_sample_again(
+    spark: SparkSession, sources: Sequence[str], target: str, groups: Sequence[str] | None = None, tag: str = "sample"
+) -> list[str]:
+    """:func:`merge_sample` into a target whose groups have a folder for each sample.
+
+    What a folder held is replaced as a whole, so merging twice, or once more after a merge
+    that failed half-way, gives the same rows, and samples may be merged one after another
+    or anew. The columns and types of a group are those of its first merge, and no later
+    value is cut. Samples are told apart by the last part of their folders, which must
+    differ. :func:`read_merged` reads a group.
+    """
+    names = [_last_part(source) for source in sources]
+    if len(set(names)) < len(names):
+        raise ValueError(f"samples of one name: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    groups = list(groups) if groups else _common_groups(spark, sources)
+    for group in groups:
+        path = f"{target.rstrip('/')}/{group}"
+        tagged = _tagged(spark, sources, group, target, tag)
+        schema = read_merged(spark, target, group).schema if _holds_files(spark, path) else tagged[0].schema
+        for name, rows in zip(names, tagged):
+            rows = _appended(rows, schema)
+            # A folder of its own for each: what another sample's holds is left as it is.
+            rows.write.mode("overwrite").parquet(f"{path}/{SAMPLE}={name}")
+    return groups
+
+
+def _holds_files(spark: SparkSession, path: str) -> bool:
+    """Whether any sample's folder below ``path`` was written to its end."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    whole = store.globStatus(context._jvm.org.apache.hadoop.fs.Path(f"{path}/{SAMPLE}=*/_SUCCESS"))
+    return bool(whole)
+
+
+def read_merged(spark: SparkSession, target: str, group: str) -> DataFrame:
+    """The rows of a group that :func:`merge_sample_again` stored, with dataset names and tags.
+
+    Folders that a merge did not write to their end are left out.
+    """
+    context = spark.sparkContext
+    path = f"{target.rstrip('/')}/{group}"
+    root = context._jvm.org.apache.hadoop.fs.Path(f"{path}/{SAMPLE}=*/_SUCCESS")
+    store = root.getFileSystem(context._jsc.hadoopConfiguration())
+    whole = [s.getPath().getParent().toString() for s in store.globStatus(root)]
+    if not whole:
+        raise ValueError(f"no sample merged at {path}")
+    return read_folder(spark, *whole, rename=False)
+
+
 def sum_groups(spark: SparkSession, root: str, exact: bool = True) -> DataFrame:
     """Sums of all columns of all groups below ``root``: (group, dataset, total).
 

@@ -13,10 +13,12 @@ from eventskim.sources import (
     copy_format,
     merge_groups,
     merge_sample,
+    merge_sample_again,
     read_colgroup,
     read_columns,
     read_dynamic,
     read_group,
+    read_merged,
     sum_groups,
     write_group,
     write_histogram,
@@ -356,3 +358,36 @@ def test_groups_outside_the_catalogue_count(spark, tmp_path):
     with pytest.raises(ValueError, match="Later in .*ttbar_a"):
         merge_sample(spark, sources, str(tmp_path / "n"))
     assert merge_sample(spark, sources, str(tmp_path / "o"), ["Extra"]) == ["Extra"]
+
+
+def test_merging_again_gives_the_same_rows(spark, tmp_path):
+    """Twice, one sample anew with fewer rows or none, and after a merge that broke off."""
+    def sample(name, n, kind="int"):
+        path = str(tmp_path / name)
+        for group in ("GenEvtInfo", "Extra"):
+            spark.range(n).select(F.col("id").cast(kind).alias("x.n")).write.mode("overwrite").parquet(f"{path}/{group}")
+        return path
+
+    a, b = sample("ttbar_a", 5), sample("wjets_b", 3, "smallint")
+    target = str(tmp_path / "m")
+    rows = lambda g="Extra": sorted((r["x.n"], r.snum) for r in read_merged(spark, target, g).collect())
+    tags = [zlib.crc32(n.encode()) for n in ("ttbar_a", "wjets_b")]
+    want = sorted([(i, tags[0]) for i in range(5)] + [(i, tags[1]) for i in range(3)])
+    for sources in ([a, b], [a, b], [b], [a]):
+        assert merge_sample_again(spark, sources, target) == ["GenEvtInfo", "Extra"]
+        assert rows() == rows("GenEvtInfo") == want
+    # A folder that was not written to its end is no sample, and is written anew.
+    (tmp_path / "m" / "Extra" / "sample=wjets_b" / "_SUCCESS").unlink()
+    assert rows() == [(i, tags[0]) for i in range(5)]
+    merge_sample_again(spark, [a, b], target)
+    assert rows() == want
+    merge_sample_again(spark, [sample("ttbar_a", 0), b], target)
+    assert rows() == [(i, tags[1]) for i in range(3)]
+    with pytest.raises(ValueError, match="x.n is bigint, which int would cut"):
+        merge_sample_again(spark, [sample("ttbar_a", 2, "bigint")], target)
+    with pytest.raises(ValueError, match="samples of one name"):
+        merge_sample_again(spark, [a, a], target)
+    with pytest.raises(ValueError, match="tag is"):
+        merge_sample(spark, [a, b], str(tmp_path / "t"), tag="none")
+    with pytest.raises(ValueError, match="no sample merged"):
+        read_merged(spark, target, "Muon")
