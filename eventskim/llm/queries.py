@@ -33,6 +33,15 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def _bpe(docs: DataFrame) -> DataFrame:
+    """:func:`~.bpe.op2_bpe` with the public vocabulary.
+
+    NULL and empty texts have no ids; every row stands for itself, whatever its id; an
+    empty table gives no row.
+    """
+    return op2_bpe(docs, vocabulary())
+
+
 def _over(names: str, operator: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """The query that applies ``operator`` to whole tables."""
 
@@ -47,7 +56,7 @@ def _over(names: str, operator: Callable[..., DataFrame]) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": _over("documents labels", op1_toxicity),
-        "op2_bpe": _over("documents", lambda docs: op2_bpe(docs, vocabulary())),
+        "op2_bpe": _over("documents", _bpe),
         "op3_sharding": _over("documents", op3_sharding),
         "op4_mixing": _over("documents", op4_mixing),
         "op5_quality": _over("documents labels", op5_quality),
