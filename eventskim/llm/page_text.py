@@ -57,9 +57,10 @@ FURNITURE = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 #: Words of class and id that name furniture.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation "
-    "breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe "
-    "signup login share sharing social comment comments disqus respond replies reply related recommended widget toolbar "
+    "ad ads advert adverts advertisement advertising adsense adslot sponsor sponsors sponsored promo promotion promoted banner "
+    "menu submenu dropdown nav navbar topnav sidenav subnav navigation breadcrumb breadcrumbs sidebar aside rail footer cookie "
+    "cookies consent gdpr notice notices alert announcement paywall popup modal overlay newsletter subscribe signup login share "
+    "sharing social comment comments disqus discussion respond replies reply related recommended widget toolbar topbar "
     "pagination pager masthead".split()
 )
 #: Those that count on an article element too.

@@ -39,7 +39,8 @@ def test_whole_page():
         ("<div role=main>m</div>out", "m"), ("<div class='entry-content'><p>m</div>out", "m"), ("<article></article><p>out", "out"),
         ("<form><article>a</article><input></form>b", "a"), ("<aside><article class=teaser>t</article></aside>b", "b"),
         ("<article>a</article>x<article>b</article>", "a\n\nb"), ("<article><div class=sharing>s</div>a</article>", "a"),
-        ("<div class='content no-sidebar'>c</div>", "c"), ("<p>a<p>b<span>c</span>d</p>", "a\n\nbcd"), ("<b><p>x</b>y</p>z", "xy\n\nz"),
+        ("<div class='content no-sidebar'>c</div>", "c"), ("<div class=top-Nav>n</div><div id=site_alert>a</div>b", "b"),
+        ("<div class=ads-box>n</div><div class=adsorption>a</div>", "a"), ("<p>a<p>b<span>c</span>d</p>", "a\n\nbcd"), ("<b><p>x</b>y</p>z", "xy\n\nz"),
         ("<plaintext", ""), ("<textarea><p>a</textarea>b", "b"), ("<SCRIPT>a</sCript >b", "b"), ("<script>a</scripty>b", ""),
         ("x\x00y\x1cz\xa0&nbsp;w", "x\x00y z w"), ("&notit; &#0; &amp;lt;", "¬it; � &lt;"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a\n\nb\n\nc"),
     ],
