@@ -3,11 +3,10 @@
 Two texts with four fifths of their shingles in common differ in some 15 % of the bits of
 their SimHash. The bits are cut into blocks of 16, in one of which such texts mostly
 differ in one bit at most; the anchors of that block's covering code, the Hamming code,
-bring them together, as :mod:`simhash` does. Comparisons at anchors keep a least spanning
-forest of what is close in all bits: any two are joined by links no wider than their own,
-and a large group gives some links a member, not all pairs. The links are checked on the
-shingles themselves, and those that hold make groups. Then texts that have a close one are
-compared again, with those of other groups only. Two forests are kept, then three.
+bring them together, as :mod:`simhash` does. What comparisons at anchors find close in all
+bits makes neighbourhoods, for which a spanning forest of each task is enough. The texts of
+a neighbourhood then meet, and all its pairs that can be similar are checked on the shingles
+themselves. Only links that hold are thinned to forests, which join what all of them join.
 """
 
 from __future__ import annotations
@@ -16,23 +15,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fixed, mixed, released, slices, utf8, word_hashes
 from .components import components
-from .simhash import CODE_BITS, _hamming, deal_out, sorted_members
+from .simhash import CODE_BITS, _forest, _hamming, deal_out, sorted_members
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 SIMILARITY = (4, 5)
 BLOCKS = 8
 BLOCK_BITS = 16
-#: Differing bits of all 128 up to which a pair is checked; at the least similarity 19 are expected.
+#: Differing bits of all 128 up to which texts are neighbours; at the least similarity 19 are expected.
 CLOSE = 30
-#: Forests kept of what is close, in the first comparison and between the groups it makes.
-FORESTS = (2, 3)
 PAIRS = 2 << 20
+#: Links that a task holds before it gives their forest.
+LINKS = 1 << 20
+#: Shingles of a neighbourhood that are checked at a time; more are dealt out in pairs of tiles.
+TILE = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BATCH = 2 << 20
 
@@ -71,11 +72,11 @@ def _simhash(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def text_prints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, bits: bool = True) -> DataFrame:
-    """``docs`` without ``text`` and with ``node``, a hash of its words, and ``p1``, ``p2``, its SimHash.
+    """``docs`` without ``text`` and with ``node``, a hash of its words, ``shingles``, their number, and ``p1``, ``p2``, its SimHash.
 
-    Without ``bits`` there is no SimHash.
+    Without ``bits`` there is ``node`` alone.
     """
-    names = ["node", "p1", "p2"] if bits else ["node"]
+    names = ["node", "shingles", "p1", "p2"] if bits else ["node"]
     kept = [c for c in docs.columns if c != text]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept]
     source = docs.select(*kept, text)
@@ -85,7 +86,7 @@ def text_prints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, bit
             texts = batch.column(len(kept))
             for first, stop in slices(utf8(texts)[1], _BATCH):
                 part = texts.slice(first, stop - first)
-                rows = [(node, *(_simhash(s) if bits else ())) for s, node in shingle_sets(part, shingle)]
+                rows = [(node, *((len(s), *_simhash(s)) if bits else ())) for s, node in shingle_sets(part, shingle)]
                 made = [pa.array(c, pa.int64()) for c in zip(*rows)]
                 others = batch.slice(first, stop - first).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*others, *made], names=[*kept, *names])
@@ -110,7 +111,7 @@ def _anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate([np.broadcast_to(f[k], len(f[1])) for f in found]) for k in range(3))
 
 
-_OF_NODE = ("node", "root", "p1", "p2")
+_OF_NODE = ("node", "shingles", "p1", "p2")
 
 
 def _members(nodes: DataFrame) -> DataFrame:
@@ -153,22 +154,10 @@ def least_forest(a: np.ndarray, b: np.ndarray, width: np.ndarray) -> np.ndarray:
             label = new[label]
 
 
-def least_forests(a: np.ndarray, b: np.ndarray, width: np.ndarray, forests: int) -> np.ndarray:
-    """Numbers of the links of a least forest, of one of the other links, and so on."""
-    single = np.unique(np.column_stack([a, b]), axis=0, return_index=True)[1]
-    kept = []
-    for _ in range(forests):
-        if len(single):
-            chosen = least_forest(a[single], b[single], width[single])
-            kept.append(single[chosen])
-            single = np.delete(single, chosen)
-    return np.concatenate(kept)
-
-
 def _close_pairs(
-    keys: np.ndarray, node: np.ndarray, root: np.ndarray, prints: np.ndarray, guest: np.ndarray, close: int, forests: int
-) -> Iterator[pa.RecordBatch]:
-    """Forest links among the members of whole anchors, sorted so that homes come before guests."""
+    keys: np.ndarray, node: np.ndarray, shingles: np.ndarray, prints: np.ndarray, guest: np.ndarray, close: int, similarity: tuple[int, int]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning forests of the neighbours among the members of whole anchors, sorted so that homes come before guests."""
     change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
     begins, ends = np.concatenate([[0], change]), np.concatenate([change, [len(keys)]])
     group = np.repeat(np.arange(len(begins)), ends - begins)
@@ -177,6 +166,7 @@ def _close_pairs(
     size = ends[group[homes]] - first
     total, at = np.cumsum(size), 0
     bits = prints.view(np.uint64)
+    least, whole = similarity
     while at < len(homes):
         done = total[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(total, done + PAIRS, "right")))
@@ -188,53 +178,162 @@ def _close_pairs(
         some = np.flatnonzero(width <= close)
         left, right, width = left[some], right[some], width[some]
         width += np.bitwise_count(bits[left, 1] ^ bits[right, 1])
-        some = (width <= close) & (root[left] != root[right])
+        some = (width <= close) & (node[left] != node[right])
+        fewer, more = np.minimum(shingles[left], shingles[right]), np.maximum(shingles[left], shingles[right])
+        # Sets of other sizes are not similar, nor small ones that differ at all.
+        some &= (fewer * whole >= more * least) & ((fewer * (whole - least) >= least) | (width == 0))
         if some.any():
-            a, b = np.minimum(node[left[some]], node[right[some]]), np.maximum(node[left[some]], node[right[some]])
-            kept = least_forests(a, b, width[some], forests)
-            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], names=["a", "b"])
+            a, b = node[left[some]], node[right[some]]
+            kept = least_forest(a, b, width[some])
+            yield a[kept], b[kept]
 
 
-def _compare(close: int, forests: int):
+def _compare(close: int, similarity: tuple[int, int]):
+    def stars(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = _forest(*map(np.concatenate, zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, (node, root, p1, p2, guest) in sorted_members(batches):
-            yield from _close_pairs(key, node, root, np.column_stack([p1, p2]), guest, close, forests)
+        held, n = [], 0
+        for key, (node, shingles, p1, p2, guest) in sorted_members(batches):
+            for found in _close_pairs(key, node, shingles, np.column_stack([p1, p2]), guest, close, similarity):
+                held.append(found)
+                n += len(found[0])
+                if n > LINKS:
+                    yield stars(held)
+                    held, n = [], 0
+        if held:
+            yield stars(held)
 
     return run
 
 
-def candidate_links(nodes: DataFrame, close: int = CLOSE, forests: int = 1) -> DataFrame:
-    """Distinct links (``a`` < ``b``) of ``nodes`` (node, root, p1, p2) of different roots that are close in their SimHash."""
+def neighbourhoods(nodes: DataFrame, close: int = CLOSE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """``node`` and ``root`` of all ``nodes`` (node, shingles, p1, p2) that have neighbours, the root itself included.
+
+    Neighbours are close in their SimHash and of sizes that similar sets may have;
+    nodes of one root are those that neighbours join.
+    """
     dealt = deal_out(_members(nodes), "node", _OF_NODE)
-    return dealt.mapInArrow(released(_compare(close, forests)), "a long, b long").distinct()
+    links = dealt.mapInArrow(released(_compare(close, similarity)), "a long, b long").distinct()
+    # A node has a link for each task at most. All to its smallest one, of which there are few.
+    least = links.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    links = least.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l"))
+    roots = components(links.select("l.a", "l.b").distinct())
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of ranges, on end."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - begins, sizes)
 
 
-def similar_links(links: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Those of ``links`` (a, b) whose texts reach the similarity; ``texts`` has node and text.
+def similar_forest(sets: list[np.ndarray], similarity: tuple[int, int] = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of ``sets`` (of different values each) linked by a forest that joins what all similar pairs join.
 
-    The similarity is that of sets of shingles, common ones over all. Texts that no link
-    names are not moved but for one of each node and task.
+    Similar sets share one of their rarest values, as many of which are indexed as may be
+    missing in the other, and one. Sets that are joined already are not looked at again.
     """
-    wanted = links.select(F.explode(F.array("a", "b")).alias("__node")).distinct()
-    one = texts.groupBy("node").agg(F.any_value("text").alias("text"))
-    one = one.join(wanted, F.col("node") == F.col("__node"), "left_semi")
+    least, whole = similarity
+    size = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, value, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    value = rank[value]
+    value = value[np.lexsort((value, row))]
+    begin = np.cumsum(size) - size
+    prefix = np.minimum(size, size - -(-least * size // whole) + 1)
+    rare = _ranges(begin, prefix)
+    rare = rare[np.argsort(value[rare], kind="stable")]
+    free, marked, links = np.ones(len(sets), bool), np.zeros(len(count), bool), []
+
+    def index() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of = row[rare]
+        keep = free[of]
+        sizes = np.bincount(value[rare[keep]], minlength=len(count))
+        return of[keep], np.cumsum(sizes) - sizes, sizes
+
+    holders, starts, sizes = index()
+    indexed = left = len(sets)
+    for seed in range(len(sets)):
+        if not free[seed]:
+            continue
+        free[seed], waiting = False, [seed]
+        left -= 1
+        while waiting and left:
+            i = waiting.pop()
+            own = value[begin[i] : begin[i] + size[i]]
+            some = holders[_ranges(starts[own[: prefix[i]]], sizes[own[: prefix[i]]])]
+            some = np.unique(some[free[some]])
+            some = some[(size[some] * whole >= size[i] * least) & (size[i] * whole >= size[some] * least)]
+            marked[own] = True
+            # Not all at once: about TILE values.
+            cut = np.flatnonzero(np.diff(np.cumsum(size[some]) // TILE)) + 1
+            for part in np.split(some, cut) if len(some) else []:
+                common = np.add.reduceat(marked[value[_ranges(begin[part], size[part])]], np.cumsum(size[part]) - size[part], dtype=np.int64)
+                part = part[common * (least + whole) >= (size[part] + size[i]) * least]
+                links.append((np.full(len(part), i), part))
+                free[part] = False
+                left -= len(part)
+                waiting += part.tolist()
+            marked[own] = False
+            if 2 * left < indexed:
+                (holders, starts, sizes), indexed = index(), left
+    none = np.zeros(0, np.int64)
+    return tuple(map(np.concatenate, zip((none, none), *links)))
+
+
+def _similar(shingle: int, similarity: tuple[int, int]):
+    """Links that hold among the texts of each (root, i, j), of rows sorted by these."""
+
+    def links(node: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        of = np.array(node, np.int64)
+        return tuple(of[k] for k in similar_forest(sets, similarity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, sets = None, [], []
         for batch in batches:
-            for first, stop in slices(utf8(batch.column(1))[1], _BATCH):
-                part = batch.slice(first, stop - first)
-                found = [s.view(np.int64) for s, _ in shingle_sets(part.column(1), shingle)]
-                columns = [part.column(0), pa.array(found, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "shingles"])
-
-    sets = fixed(one.select("node", "text").mapInArrow(released(run), "node long, shingles array<bigint>"))
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    common = F.size(F.array_intersect("of_a", "of_b"))
-    least, whole = similarity
-    # common / (all of a and b, common once) >= least / whole
-    holds = common * (least + whole) >= (F.size("of_a") + F.size("of_b")) * least
-    return links.join(a, "a").join(b, "b").filter(holds).select("a", "b")
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            nodes, texts, at, found = batch.column(3).to_pylist(), batch.column(4), 0, []
+            for first, stop in slices(utf8(texts)[1], _BATCH):
+                for made, _ in shingle_sets(texts.slice(first, stop - first), shingle):
+                    if keys[at] != key:
+                        if len(sets) > 1:
+                            found.append(links(node, sets))
+                        key, node, sets = keys[at], [], []
+                    node.append(nodes[at])
+                    sets.append(made)
+                    at += 1
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["a", "b"])
+        if len(sets) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in links(node, sets)], names=["a", "b"])
+
+    return run
+
+
+def similar_links(near: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, tile: int = TILE) -> DataFrame:
+    """Links (a, b) that join all texts of one neighbourhood whose similarity is reached.
+
+    ``near`` has node and root, ``nodes`` node and shingles, ``texts`` node and text. The
+    similarity is that of sets of shingles, common ones over all. Every pair of a
+    neighbourhood meets: a large one is cut into tiles, of which each two meet.
+    """
+    sized = nodes.select(F.col("node").alias("__node"), "shingles")
+    sized = fixed(near.join(sized, F.col("node") == F.col("__node")).drop("__node"))
+    tiles = sized.groupBy(F.col("root").alias("__root")).agg(F.ceil(F.sum(F.col("shingles") + 16) / tile).cast("int").alias("__tiles"))
+    own = F.pmod(F.xxhash64("node"), F.col("__tiles")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("__tiles") - 1), lambda k: (F.col("__tiles") == 1) | (k != F.col("own")))
+    dealt = sized.join(tiles, F.col("root") == F.col("__root")).withColumn("own", own)
+    dealt = dealt.select(F.col("node").alias("__node"), "root", "own", F.explode(others).alias("other"))
+    one = texts.groupBy("node").agg(F.any_value("text").alias("text"))
+    met = one.join(dealt, F.col("node") == F.col("__node")).select(
+        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "text"
+    )
+    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return met.mapInArrow(released(_similar(shingle, similarity)), "a long, b long")
 
 
 def near_text_groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, close: int = CLOSE) -> DataFrame:
@@ -246,18 +345,11 @@ def near_text_groups(docs: DataFrame, text: str = "text", shingle: int = SHINGLE
     row each, an empty table gives none.
     """
     prints = fixed(text_prints(docs, text, shingle))
-    first = [F.any_value(c).alias(c) for c in ("p1", "p2")]
-    nodes = fixed(prints.groupBy("node").agg(*first).withColumn("root", F.col("node")))
+    first = [F.any_value(c).alias(c) for c in _OF_NODE[1:]]
+    nodes = fixed(prints.groupBy("node").agg(*first))
     twice = docs.select(F.col(text).alias("text"), F.col(text).alias("__text"))
     texts = text_prints(twice, "__text", shingle, bits=False)
-    links = fixed(candidate_links(nodes, close, FORESTS[0]))
-    held = fixed(similar_links(links, texts, shingle, similarity))
-    # Who has a close text at all is in some link; of these, links between groups.
-    near = links.select(F.explode(F.array("a", "b")).alias("__near")).distinct()
-    rooted = _rooted(nodes.drop("root"), components(held))
-    apart = fixed(rooted.join(near, F.col("node") == F.col("__near"), "left_semi"))
-    more = candidate_links(apart, close, FORESTS[1]).join(links, ["a", "b"], "left_anti")
-    roots = components(held.unionByName(similar_links(fixed(more), texts, shingle, similarity)))
+    roots = components(similar_links(neighbourhoods(nodes, close, similarity), nodes, texts, shingle, similarity))
     return _rooted(prints, roots).select(*[c for c in docs.columns if c != text], "node", "root")
 
 

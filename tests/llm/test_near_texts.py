@@ -3,8 +3,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from eventskim.llm.near_texts import least_forest, near_text_groups
+from eventskim.llm.near_texts import least_forest, near_text_groups, similar_forest, similar_links
 
 
 def shingles(text, n=5):
@@ -71,6 +72,62 @@ def test_groups_of_edited_texts(spark):
     assert all(len(g) == 1 for g in groups.values())
 
 
+def test_links_of_a_large_group_at_the_threshold(spark):
+    """Copies most of which fall short of one another: whoever has a similar one is joined to it."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = [edited(rng, words, rng.choice([0.02, 0.04, 0.06])) for _ in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.root for r in near_text_groups(docs).collect()}
+    want = similar_groups(texts)
+    of = defaultdict(set)
+    for i, root in enumerate(want):
+        of[root].add(out[i])
+    print("groups", len(of), sum(len(g) for g in of.values()), "of", len(texts))
+    assert len(of) < 1000 and sum(len(g) for g in of.values()) <= 0 + len(of)
+    assert len(set(out.values())) == sum(len(g) for g in of.values())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_forest_of_similar_sets(seed):
+    """The same groups as by all pairs, sets of few and of equal values among them."""
+    rng = random.Random(seed)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(100)]
+    for _ in range(8):
+        words = [f"v{rng.randrange(60)}" for _ in range(rng.randrange(5, 90))]
+        texts += [edited(rng, words, rng.choice([0, 0.02, 0.05, 0.1])) for _ in range(25)]
+    number = defaultdict(lambda: len(number))
+    sets = [np.array(sorted(number[x] for x in shingles(t)), np.uint64) for t in texts]
+    a, b = similar_forest(sets)
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        assert find(i) != find(j)
+        i, j = sorted((find(i), find(j)))
+        root[j] = i
+    want = similar_groups(texts)
+    some = [i for i in range(len(sets)) if len(sets[i])]
+    assert [find(i) for i in some] == [want[i] for i in some]
+
+
+def test_tiles_of_a_neighbourhood(spark):
+    """All pairs meet, however small the tiles."""
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*words, *(f"t{j}" for j in range(k))])) for k in range(60)]
+    texts = spark.createDataFrame(rows, "node long, text string")
+    nodes = texts.select("node", (F.col("node") + 56).alias("shingles"))
+    near = nodes.select("node", F.lit(0).cast("long").alias("root"))
+    for tile in (1 << 20, 700):
+        links = {tuple(r) for r in similar_links(near, nodes, texts, tile=tile).collect()}
+        assert len({i for link in links for i in link}) == 60
+        assert all(min(i, j) * 5 + 56 * 5 >= (max(i, j) + 56) * 4 for i, j in links)
+
+
 def test_small_texts_and_ties(spark, odd_docs, odd_rows, no_docs):
     rows = [(1, None), (2, ""), (3, " \t"), (4, "A b"), (5, "a  B"), (6, "a b c d e f"), (7, "a b c d e f g"), (8, "b a")]
     out = {r.doc_id: r.root for r in near_text_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
