@@ -9,6 +9,8 @@ from ..session import ensure_checkpoint_dir
 
 FILE, ROW = "_file", "_row"
 MISALIGNED_SHOWN = 5
+#: Rows of a file or partition that meet their base in one task: 2 to this power.
+CHUNK_BITS = 18
 
 
 def _prefixes(df: DataFrame, root: str) -> list[str]:
@@ -71,13 +73,20 @@ def check_aligned(left: DataFrame, right: DataFrame) -> None:
 def _prefix_sums(counts: DataFrame, order: str) -> DataFrame:
     # One row per file or partition, never per data row.
     before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(order, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return counts.select(order, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), "_n")
 
 
 def _add_bases(rows: DataFrame, bases: DataFrame, key: str, index: str) -> DataFrame:
-    """Number the rows from their group's base. How to join is left to the engine."""
-    numbered = rows.join(bases, key).withColumn(index, F.col("_base") + F.col("_pos"))
-    return numbered.drop(key, "_pos", "_base")
+    """Number the rows from their group's base. How to join is left to the engine.
+
+    Each base has a row for each chunk of its group, so that a join that moves the rows
+    does not bring a whole file or partition to one task.
+    """
+    chunk = F.shiftright("_pos", CHUNK_BITS)
+    chunks = F.sequence(F.lit(0).cast("long"), F.shiftright(F.col("_n") - 1, CHUNK_BITS))
+    bases = bases.select(key, "_base", F.explode(chunks).alias("_chunk"))
+    numbered = rows.withColumn("_chunk", chunk).join(bases, [key, "_chunk"]).withColumn(index, F.col("_base") + F.col("_pos"))
+    return numbered.drop(key, "_chunk", "_pos", "_base")
 
 
 def index_scan_rows(df: DataFrame, index: str = "_index") -> DataFrame:

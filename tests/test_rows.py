@@ -98,6 +98,24 @@ def check_index(spark):
     assert sorted(r["id"] for r in out.collect()) == sorted(r["id"] for r in df.collect())
 
 
+def test_a_file_is_numbered_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A join that moves the rows deals one file's over tasks."""
+    monkeypatch.setattr("eventskim.operators.rows.CHUNK_BITS", 4)
+    spark.range(1000).coalesce(1).write.parquet(path := str(tmp_path / "one"))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("-1", "false")):
+        spark.conf.set(name, value)
+    try:
+        for numbered in (index_scan_rows(spark.read.parquet(path)), add_row_index(spark.read.parquet(path))):
+            rows = numbered.withColumn("task", F.spark_partition_id()).collect()
+            assert sorted(r["_index"] for r in rows) == list(range(1000))
+            assert len({r.task for r in rows}) > 4
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
 def test_provenance(spark, tmp_path):
     path = tmp_path / "TTJets_13TeV_all.h5"
     rows = spark.range(3)
