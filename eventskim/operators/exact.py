@@ -1,7 +1,7 @@
 """Sums of doubles that do not depend on the order of their terms.
 
 A double is a whole number m times a power of two 2^s. Terms of equal s are added as
-whole numbers, before and after the shuffle, which is exact; a column has some 2,000
+whole numbers, in each task and after the shuffle, which is exact; a column has some 2,000
 values of s at most. Each column's few totals are then put together as one long whole
 number, and that is rounded once.
 """
@@ -18,31 +18,12 @@ from pyspark.sql import types as T
 
 from ..session import ship_package
 
-#: Least exponent of a double's last bit.
-_LEAST = -1074
 #: Whole numbers are added in three parts of so many bits, which overflows beyond 10^13 terms.
 _BITS = 19
 #: In place of s, for terms that are no numbers.
 _INFINITE, _MINUS_INFINITE, _NAN = 9997, 9998, 9999
 
 
-def _scaled(terms: DataFrame) -> DataFrame:
-    """``terms`` (dataset, x) as (dataset, s, m0, m1, m2): x = m 2^s, m whole, below 2^55 and in parts."""
-    x, s = F.col("x"), F.col("s")
-    # The logarithm may be off by one at powers of two; two bits are to spare.
-    exponent = F.greatest(F.floor(F.log2(F.abs(x))).cast("int") - 53, F.lit(_LEAST))
-    infinite = F.when(x > 0, _INFINITE).otherwise(_MINUS_INFINITE)
-    special = F.when(F.isnan(x), _NAN).when(F.abs(x) == float("inf"), infinite).when(x == 0, 0)
-    terms = terms.withColumn("s", F.when(x.isNotNull(), F.coalesce(special, exponent)))
-    # Two steps, as 2^1074 is no double. Powers of two are exact.
-    half = F.floor(s / 2).cast("int")
-    m = x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - s)
-    whole = terms.select("dataset", "s", F.when(s < _INFINITE, m).cast("bigint").alias("m"))
-    mask = (1 << _BITS) - 1
-    cut = [F.shiftright("m", k * _BITS) for k in range(3)]
-    return whole.select("dataset", "s", *[(c.bitwiseAND(F.lit(mask)) if k < 2 else c).alias(f"m{k}") for k, c in enumerate(cut)])
-
-
 def _rounded(parts: list[dict]) -> float | None:
     """The double nearest to the sum of m 2^s over ``parts``; None for none."""
     found = {p["s"] for p in parts} - {None}
@@ -99,38 +80,91 @@ def _sum_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(totals, pa.float64())], names=["group", "dataset", "total"])
 
 
+class _Totals:
+    """Whole numbers added up by s: the same terms as :func:`parts_of`, kept over many arrays."""
+
+    #: Bits of the lower part of a 53-bit number. Sums of either part of 2^25 numbers are exact as doubles.
+    LOWER = 26
+    ROWS = 1 << 25
+
+    def __init__(self) -> None:
+        self.found: dict[int, int] = {}
+
+    def _add(self, s: int, m: int) -> None:
+        self.found[s] = self.found.get(s, 0) + m
+
+    def add(self, values: np.ndarray) -> None:
+        for at in range(0, len(values), self.ROWS):
+            self._add_some(values[at : at + self.ROWS])
+
+    def _add_some(self, values: np.ndarray) -> None:
+        if values.dtype.kind in "iu":
+            values = values.astype(np.int64)
+            # Neither half of so many numbers overflows.
+            high = values >> 32
+            self._add(0, (int(high.sum()) << 32) + int((values - (high << 32)).sum()))
+            return
+        x = values.astype(np.float64)
+        fraction, exponent = np.frexp(x)
+        if not np.isfinite(fraction).all():
+            finite = np.isfinite(x)
+            for s, some in ((_NAN, np.isnan(x)), (_INFINITE, x == np.inf), (_MINUS_INFINITE, x == -np.inf)):
+                if some.any():
+                    self._add(s, 0)
+            fraction, exponent = fraction[finite], exponent[finite]
+        if not len(fraction):
+            return
+        least = int(exponent.min())
+        at = exponent - least
+        scaled = fraction * 2.0 ** (53 - self.LOWER)
+        upper = np.floor(scaled)
+        uppers = np.bincount(at, upper)
+        lowers = np.bincount(at, (scaled - upper) * 2.0**self.LOWER)
+        for k in np.flatnonzero((uppers != 0) | (lowers != 0)).tolist() or [0]:
+            self._add(least + k - 53, (int(uppers[k]) << self.LOWER) + int(lowers[k]))
+
+    def parts(self) -> list[tuple[int, int, int, int]]:
+        mask = (1 << _BITS) - 1
+        return [(s, m & mask, (m >> _BITS) & mask, m >> (2 * _BITS)) for s, m in self.found.items()]
+
+
+def _parts_of_rows(group: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [_Totals() for _ in names]
+        for batch in batches:
+            for total, column in zip(totals, batch.columns):
+                total.add((column.drop_null() if column.null_count else column).to_numpy(zero_copy_only=False))
+        rows = [(group, name, *part) for name, total in zip(names, totals) for part in total.parts()]
+        if rows:
+            types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "dataset", "s", "m0", "m1", "m2"])
+
+    return run
+
+
 def exact_sums(df: DataFrame, group: str) -> DataFrame:
     """Sum of every numeric column, one row each: (group, dataset, total).
 
     The total is the double nearest to the exact sum of a column's values, whatever the
     order in which they are added: NULL without any, NaN or infinite as in IEEE arithmetic.
-    Decimals are taken as the nearest doubles. One shuffle of partial sums, and another of
-    their few totals.
+    Decimals are taken as the nearest doubles. Tasks add up their rows column by column; one
+    shuffle of their partial sums, and another of the few totals.
     """
     ship_package(df.sparkSession)
     fields = [f for f in df.schema if isinstance(f.dataType, T.NumericType)]
     if not fields:
         raise ValueError(f"group {group} has no numeric column")
 
-    def term(k: int, x: Column) -> Column:
-        return F.struct(F.lit(k).alias("dataset"), x.cast("double").alias("x"))
-
-    parts = []
-    for k, f in enumerate(fields):
+    def number(f: T.StructField) -> Column:
         x = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.LongType):
-            # Two numbers that doubles hold.
-            high = F.shiftleft(F.shiftright(x, 32), 32)
-            parts += [term(k, high), term(k, x - high)]
-        else:
-            parts.append(term(k, x))
-    # A NULL for each column, so that one without rows has its row.
-    every = F.array(*[term(k, F.lit(None)) for k in range(len(fields))])
-    terms = df.select(F.inline(F.array(*parts))).unionAll(df.sparkSession.range(1).select(F.inline(every)))
-    # Keyed by numbers, which the many rows before the shuffle are cheaper to combine by.
-    added = _scaled(terms).groupBy("dataset", "s").agg(*[F.sum(f"m{k}").alias(f"m{k}") for k in range(3)])
-    name = F.get(F.array(*[F.lit(f.name) for f in fields]), "dataset")
-    parts = ("s", "m0", "m1", "m2")
-    gathered = added.groupBy("dataset").agg(F.collect_list(F.struct(*parts)).alias("parts"))
-    named = gathered.select(F.lit(group).alias("group"), name.alias("dataset"), "parts")
-    return named.mapInArrow(_sum_of_parts, "group string, dataset string, total double")
+        return x.cast("double") if isinstance(f.dataType, T.DecimalType) else x
+
+    names = [f.name for f in fields]
+    numbers = df.select(*[number(f).alias(f"c{k}") for k, f in enumerate(fields)])
+    parts = numbers.mapInArrow(_parts_of_rows(group, names), PARTS)
+    # A row for each column, so that one without values has its row.
+    every = F.explode(F.array(*[F.lit(name) for name in names])).alias("dataset")
+    none = df.sparkSession.range(1).select(F.lit(group).alias("group"), every, F.lit(None).cast("int").alias("s"))
+    none = none.select("*", *[F.lit(None).cast("long").alias(f"m{k}") for k in range(3)])
+    return sums_of_parts(parts.unionAll(none))

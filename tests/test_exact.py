@@ -56,6 +56,13 @@ def test_a_hot_value_combines_before_the_shuffle(spark):
     assert total(df)["x"] == want
 
 
+def test_rows_are_not_taken_apart(spark):
+    """Columns are added up in place: no row for each of their values."""
+    df = spark.range(100).selectExpr("id / 3 AS x", "id AS n")
+    plan = exact_sums(df, "G")._jdf.queryExecution().executedPlan().toString()
+    assert "inline" not in plan and plan.count("Generate") == 1
+
+
 def test_parts_of_arrays(spark):
     rng = random.Random(3)
     for values in (np.array(odd_doubles(rng)), np.array([2**62, -5, 2**62]), np.array([1, 0], bool), np.array([0.1], "f4")):
